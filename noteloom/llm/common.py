@@ -108,23 +108,25 @@ def tokens(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarr
 def components(links: DataFrame) -> DataFrame:
     """Connected components of the undirected links (a, b): rows (node, label), label the least node.
 
-    Rounds of least-neighbour labelling and pointer jumping; each round is checkpointed, nothing but the
-    number of changed labels reaches the driver. Loops and repeated links are harmless."""
-    links = links.where("a is not null and b is not null and a <> b").select("a", "b")
-    edges = saved(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = saved(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    while True:
-        near = (
-            edges.join(labels, edges.b == labels.node)
-            .groupBy("a").agg(F.min("label").alias("near"))
-        )
-        hooked = labels.join(near, labels.node == near.a).select(
-            "node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("at"), F.col("label").alias("further"))
-        new = saved(
-            hooked.join(jump, hooked.label == jump.at, "left")
-            .select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
-        changed = new.where("label <> old").count()
-        labels = new.select("node", "label")
-        if not changed:
-            return labels
+    Rounds of contraction: every node hooks onto its least smaller neighbour, trees are flattened by pointer jumping,
+    and links are rewritten to the roots, until none is left. Each step is checkpointed; only counts reach the driver, and
+    no join makes more rows than there are links. Loops and repeated links are harmless."""
+    a, b = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
+    edges = saved(links.where("a is not null and b is not null and a <> b").select(a, b).distinct())
+    labels = saved(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node")))
+    while edges.count():
+        roots = edges.groupBy(F.col("a").alias("at")).agg(F.min("b").alias("root"))
+        while True:
+            above = roots.select(F.col("at").alias("up"), F.col("root").alias("top"))
+            stepped = saved(roots.join(above, roots.root == above.up, "left").select(
+                "at", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("moved")))
+            roots = stepped.select("at", "root")
+            if not stepped.where("moved").count():
+                break
+        labels = saved(labels.join(roots, labels.label == roots["at"], "left").select(
+            "node", F.coalesce("root", "label").alias("label")))
+        up = roots.select(F.col("at").alias("at2"), F.col("root").alias("root2"))
+        moved = edges.join(roots, edges.a == roots["at"]).select(F.col("root").alias("a"), "b")
+        moved = moved.join(up, moved.b == up.at2, "left").select("a", F.coalesce("root2", "b").alias("b"))
+        edges = saved(moved.where("a <> b").select(a, b).distinct())
+    return labels

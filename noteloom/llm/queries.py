@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import decontaminate, mixing
 from .simhash import near_duplicates
 
 
@@ -9,9 +10,17 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_decontaminate(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_simhash": op7_simhash}
-ORACLE: dict = {}
+def op8_mix(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_decontaminate, op7_simhash, op8_mix)}
+ORACLE = {"op4_decontaminate": decontaminate.ORACLE, "op8_mix": mixing.ORACLE}
