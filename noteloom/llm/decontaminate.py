@@ -26,18 +26,21 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _hashes(ws: Column, k: int) -> Column:
-    """A hash for each shingle of the words; a shorter text is one shingle."""
-    h = F.transform(ws, lambda w: F.xxhash64(w))
-    n = F.size(ws)
+def _with_hashes(df: DataFrame, k: int) -> DataFrame:
+    """df (with words w) and hashes: one for each shingle; a shorter text is one shingle. The word hashes are a column of
+    their own, so that the shingles read them instead of computing them anew for each place."""
+    df = df.withColumn("h", F.transform("w", lambda w: F.xxhash64(w)))
+    n, h = F.size("h"), F.col("h")
     many = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)]))
-    return F.when(n >= k, many).when(n > 0, F.array(F.xxhash64(F.concat_ws(" ", ws))))
+    return df.withColumn("hashes", F.when(n >= k, many).when(n > 0, F.array(F.xxhash64(h))).otherwise(F.lit([]).cast("array<bigint>")))
 
 
-def _strings(ws: Column, k: int) -> Column:
-    n = F.size(ws)
-    many = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.concat_ws(" ", F.slice(ws, i, k)))
-    return F.array_distinct(F.when(n >= k, many).when(n > 0, F.array(F.concat_ws(" ", ws))))
+def _with_strings(df: DataFrame, k: int) -> DataFrame:
+    """df (with words w) and strings: its distinct shingles."""
+    n, w = F.size("w"), F.col("w")
+    many = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.concat_ws(" ", F.slice(w, i, k)))
+    return df.withColumn("strings", F.array_distinct(
+        F.when(n >= k, many).when(n > 0, F.array(F.concat_ws(" ", w))).otherwise(F.lit([]).cast("array<string>"))))
 
 
 def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
@@ -54,24 +57,28 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, thre
     ignored."""
     spare = F.col("q") - F.ceil(F.col("q") * threshold - 1e-9)
     top = F.pow(F.lit(2), F.floor(F.log2("q")) + 1) - 1
+    named = items.where(F.col("item_id").isNotNull()).select("item_id", words(F.col("text")).alias("w")).distinct()
     tests = saved(
-        items.where(F.col("item_id").isNotNull()).select("item_id", words(F.col("text")).alias("w")).distinct()
-        .select("item_id", _strings(F.col("w"), shingle).alias("strings"), F.array_distinct(_hashes(F.col("w"), shingle)).alias("hashes"))
+        _with_hashes(_with_strings(named, shingle), shingle)
+        .select("item_id", "strings", F.array_sort(F.array_distinct("hashes")).alias("hashes"))
         .withColumn("q", F.size("strings")).where("q > 0")
         .withColumn("m", F.greatest(spare, top - F.ceil(top * threshold - 1e-9)).cast("int") + 1)
     )
-    sketch = saved(tests.select(F.explode(F.slice(F.array_sort("hashes"), F.lit(1), F.col("m"))).alias("hash"), "item_id"))
+    sketch = saved(tests.select(F.explode(F.slice("hashes", F.lit(1), F.col("m"))).alias("hash"), "item_id"))
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    shingles = texts.select("doc_id", F.explode(_hashes(words(F.col("text")), shingle)).alias("hash"))
+    split = texts.select("doc_id", words(F.col("text")).alias("w"))
+    # explode_outer: explode would add a filter on hashes, which pushed below its columns computes them for every shingle
+    shingles = _with_hashes(split, shingle).select("doc_id", F.explode_outer("hashes").alias("hash"))
     candidates = saved(
         shingles.join(_maybe_broadcast(sketch, sketch.count()), "hash").select("doc_id", "item_id").distinct())
     ids = candidates.select("doc_id").distinct()
+    found = texts.join(_maybe_broadcast(ids, ids.count()), "doc_id").select("doc_id", words(F.col("text")).alias("w"))
     held = (
-        texts.join(_maybe_broadcast(ids, ids.count()), "doc_id")
-        .join(candidates, "doc_id").select("doc_id", "item_id", "text")
+        _with_strings(found, shingle).select("doc_id", F.col("strings").alias("own"))
+        .join(candidates, "doc_id")
         .join(_maybe_broadcast(tests.select("item_id", "strings", "q"), 100 * tests.count()), "item_id")
         .select("doc_id", "item_id", F.col("q").cast("long").alias("n_item_shingles"),
-                F.size(F.array_intersect("strings", _strings(words(F.col("text")), shingle))).cast("long").alias("n_shared"))
+                F.size(F.array_intersect("strings", "own")).cast("long").alias("n_shared"))
         .withColumn("containment", F.col("n_shared") / F.col("n_item_shingles"))
         .where(F.col("n_shared") >= F.ceil(F.col("n_item_shingles") * threshold - 1e-9))
     )
