@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing
+from . import decontaminate, mixing, quality
 from .simhash import near_duplicates
 
 
@@ -10,6 +10,10 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_decontaminate(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -22,5 +26,5 @@ def op8_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_decontaminate, op7_simhash, op8_mix)}
+QUERIES = {f.__name__: f for f in (op2_quality, op4_decontaminate, op7_simhash, op8_mix)}
 ORACLE = {"op4_decontaminate": decontaminate.ORACLE, "op8_mix": mixing.ORACLE}
