@@ -21,7 +21,7 @@ RANK = 8
 SAMPLE = 8192
 THRESHOLD = 0.3
 STATS = 14
-_EPOCHS, _BATCH, _RATE, _L2 = 12, 128, 0.08, 2e-5
+_EPOCHS, _BATCH, _RATE, _L2 = 25, 64, 0.1, 2e-5
 _UPPER = np.zeros(256, bool); _UPPER[65:91] = True
 _ALPHA = np.zeros(256, bool); _ALPHA[65:91] = _ALPHA[97:123] = _ALPHA[128:] = True
 _DIGIT = np.zeros(256, bool); _DIGIT[48:58] = True

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality
+from . import decontaminate, mixing, ngram, quality
 from .simhash import near_duplicates
 
 
@@ -18,6 +18,10 @@ def op4_decontaminate(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_ngram(spark, sf_dir):
+    return ngram.score(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -26,5 +30,5 @@ def op8_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op4_decontaminate, op7_simhash, op8_mix)}
+QUERIES = {f.__name__: f for f in (op2_quality, op4_decontaminate, op5_ngram, op7_simhash, op8_mix)}
 ORACLE = {"op4_decontaminate": decontaminate.ORACLE, "op8_mix": mixing.ORACLE}
