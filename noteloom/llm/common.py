@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -130,3 +131,20 @@ def components(links: DataFrame) -> DataFrame:
         moved = moved.join(up, moved.b == up.at2, "left").select("a", F.coalesce("root2", "b").alias("b"))
         edges = saved(moved.where("a <> b").select(a, b).distinct())
     return labels
+
+
+#: Rows up to which a counted frame of ids is broadcast (about 16 bytes each); beyond, the join is shuffled.
+BROADCAST_IDS = 400_000
+
+
+def only_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of df whose key is in ids (distinct, already saved): by broadcast if ids is counted small."""
+    few = ids.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written once as Parquet into the shared checkpoint folder, and read from there."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, ngram, quality
+from . import decontaminate, mixing, ngram, quality, suffixes
 from .simhash import near_duplicates
 
 
@@ -10,6 +10,10 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffixes(spark, sf_dir):
+    return suffixes.dedupe_report(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -30,5 +34,5 @@ def op8_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op4_decontaminate, op5_ngram, op7_simhash, op8_mix)}
+QUERIES = {f.__name__: f for f in (op1_suffixes, op2_quality, op4_decontaminate, op5_ngram, op7_simhash, op8_mix)}
 ORACLE = {"op4_decontaminate": decontaminate.ORACLE, "op8_mix": mixing.ORACLE}
