@@ -87,6 +87,12 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, thre
         "doc_id", "item_id", "best.n_item_shingles", "best.n_shared", "best.containment")
 
 
+def clean(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the documents that hold a benchmark item; rows without a doc_id stay."""
+    ids = saved(contaminated(docs, items, shingle, threshold).select("doc_id").distinct())
+    return docs.join(_maybe_broadcast(ids, ids.count()), "doc_id", "left_anti").select(*docs.columns)
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w
            FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),

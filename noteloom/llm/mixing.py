@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, saved, shuffle_parts
+from .common import BROADCAST_IDS, WORD, saved, shuffle_parts
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -90,15 +90,20 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
 def emit(docs: DataFrame, **kind) -> DataFrame:
     """The mixed documents: each row of docs as often as mix() takes it, with copy numbered from 0. A doc_id that stands
     in several rows is told apart by text and source."""
-    taken = mix(docs, **kind).where("copies > 0").select(F.col("doc_id").alias("id"), "size", "copies")
-    taken = taken.withColumn("turn", F.row_number().over(Window.partitionBy("id", "size").orderBy("copies")))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    docs = docs.withColumn("_size", size)
-    turn = F.row_number().over(Window.partitionBy("doc_id", "_size").orderBy(F.col("source"), F.xxhash64("text")))
-    both = docs.withColumn("_turn", turn).join(
-        taken, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_size") == F.col("size")) & (F.col("_turn") == F.col("turn")))
-    return both.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int")))).select(
-        *[c for c in docs.columns if c not in ("_size", "copy")], "copy")
+    taken = saved(mix(docs, **kind).select(F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_size"), F.col("copies").alias("_mix_copies")))
+    rows, ids = taken.agg(F.count("*"), F.count_distinct("_mix_id")).first()
+    some = taken.where("_mix_copies > 0")
+    if rows == ids:
+        some = some.select("_mix_id", "_mix_copies")
+        both = docs.join(F.broadcast(some) if rows <= BROADCAST_IDS else some, F.col("doc_id") == F.col("_mix_id"))
+    else:
+        size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+        some = some.withColumn("_turn2", F.row_number().over(Window.partitionBy("_mix_id", "_mix_size").orderBy("_mix_copies")))
+        turn = F.row_number().over(Window.partitionBy("doc_id", "_size").orderBy(F.col("source"), F.xxhash64("text")))
+        both = docs.withColumn("_size", size).withColumn("_turn", turn).join(
+            some, F.col("doc_id").eqNullSafe(F.col("_mix_id")) & (F.col("_size") == F.col("_mix_size")) & (F.col("_turn") == F.col("_turn2")))
+    repeat = F.explode(F.sequence(F.lit(0), (F.col("_mix_copies") - 1).cast("int"))).alias("copy")
+    return both.select(*[docs[c] for c in docs.columns if c != "copy"], repeat)
 
 
 ORACLE = r"""

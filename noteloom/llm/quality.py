@@ -160,12 +160,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     return fit([(np.frombuffer(i, np.uint16), np.frombuffer(x, np.float32), np.frombuffer(s, np.float64), int(y > 0)) for i, x, s, y in rows])
 
 
-def score(docs: DataFrame, machine: Machine, columns: list[str] | None = None) -> DataFrame:
-    """The named columns of docs (all, if none are named) and quality_score of the whole text; null texts score as empty."""
+def score(docs: DataFrame, machine: Machine, columns: list[str] | None = None, name: str = "_quality_score") -> DataFrame:
+    """The named columns of docs (all, if none are named) and, as name, the score of the whole text; null texts score as empty."""
     columns = columns or docs.columns
     model = docs.sparkSession.sparkContext.broadcast(machine)  # BUCKETS * (RANK + 1) numbers, whatever the corpus
-    wide = docs.select(*[docs[c] for c in columns], docs["text"].alias("quality_score"))
-    schema = docs.select(*columns).schema.add("quality_score", "double")
+    wide = docs.select(*[docs[c] for c in columns], docs["text"].alias(name))
+    schema = docs.select(*columns).schema.add(name, "double")
 
     def run(batches):
         for batch in batches:
@@ -184,5 +184,11 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold
     text; repeated rows get equal rows; without labels every score is 0.5; an empty table gives no rows; other columns
     are ignored."""
     scored = score(docs.select("doc_id", "text"), train(docs, labels, sample), ["doc_id"])
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"),
-                         (F.col("quality_score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_quality_score").alias("score"),
+                         (F.col("_quality_score") >= threshold).cast("int").alias("predicted"))
+
+
+def accept(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without those that the classifier rejects."""
+    scored = score(docs, train(docs, labels, sample))
+    return scored.where(F.col("_quality_score") >= threshold).select(*docs.columns)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, components, saved
+from .common import as_bytes, components, only_ids, saved
 
 SEED = 42
 RADIUS = 4
@@ -116,3 +116,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("fp").alias("key"), F.coalesce("group_least", "least").alias("component_id"))
     return rows.join(by_fp, rows.fp == by_fp.key).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def dedupe(docs: DataFrame) -> DataFrame:
+    """docs with one document of each component left, the one of smallest doc_id (once, if its row is repeated). Rows without a
+    doc_id stay."""
+    found = saved(near_duplicates(docs).where("doc_id is not null").select("doc_id", "component_id"))
+    rows, ids = found.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    first = saved(found.where("doc_id = component_id").select("doc_id").distinct())
+    kept = only_ids(docs.where("doc_id is not null"), first)
+    if rows > ids:
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))

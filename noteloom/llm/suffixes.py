@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, mix64, only_ids, saved, shuffle_parts, stored
+from .common import BROADCAST_IDS, as_bytes, chunks, mix64, only_ids, saved, shuffle_parts, stored
 
 LENGTH = 100
 K = 24
@@ -278,16 +278,20 @@ def dedupe_report(docs: DataFrame, length: int = LENGTH, group: int = GROUP) ->
 def dedupe(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """docs with repeated bytes cut from text (bytes left of a cut character are dropped with it) and n_chars set anew;
     documents of which nothing is left go. Documents that lose nothing are unchanged."""
-    cut = stored(cuts(docs, length, group, with_text=True)).select(F.col("doc_id").alias("cut_id"), "kept")
+    cut = stored(cuts(docs, length, group, with_text=True)).select(F.col("doc_id").alias("_cut_id"), "kept")
 
     def decode(batches):
         for batch in batches:
             texts = [None if x is None else x.decode("utf-8", "ignore") for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["cut_id", "cut_text"])
-
-    new = cut.mapInArrow(decode, "cut_id bigint, cut_text string")
-    joined = docs.join(new, docs.doc_id == new.cut_id, "left").where("cut_text is null or cut_text <> ''")
-    return joined.select(*[
-        F.coalesce("cut_text", docs.text).alias("text") if c == "text"
-        else F.when(F.col("cut_text").isNotNull(), F.length("cut_text").cast(docs.schema[c].dataType)).otherwise(docs[c]).alias(c) if c == "n_chars"
-        else docs[c] for c in docs.columns])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["_cut_id", "_cut_text"])
+
+    new = cut.mapInArrow(decode, "_cut_id bigint, _cut_text string").where("_cut_text <> ''")
+    ids = saved(cut.select("_cut_id"))
+    few = ids.count() <= BROADCAST_IDS
+    ids = F.broadcast(ids) if few else ids
+    same = docs.join(ids, docs.doc_id == ids._cut_id, "left_anti")
+    changed = docs.drop("text").join(ids, docs.doc_id == ids._cut_id, "left_semi").join(new, F.col("doc_id") == new._cut_id)
+    return same.unionByName(changed.select(*[
+        F.col("_cut_text").alias("text") if c == "text"
+        else F.length("_cut_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars"
+        else F.col(c) for c in docs.columns]))
