@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of all word rules here: space and tab to carriage return.
@@ -148,3 +148,22 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def prefix_sums(rows: DataFrame, keys: list[str], order: list[str], sums: dict[str, str]) -> DataFrame:
+    """rows with running sums (the row included) of columns within the rows of equal keys in the given order, nulls first.
+
+    Rows are sorted into ranges, each range's sums by key are added up over the ranges, and each range is summed by itself:
+    no task holds a key. Rows that are equal in keys and order should be interchangeable."""
+    n = shuffle_parts(rows.sparkSession)
+    dealt = saved(rows.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()))
+    by = dealt.groupBy("_part", *keys).agg(*[F.sum(c).alias(f"_all_{c}") for c in sums])
+    ahead = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = by.select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_k_{k}") for k in keys],
+                       *[F.coalesce(F.sum(f"_all_{c}").over(ahead), F.lit(0)).alias(f"_b_{c}") for c in sums])
+    inside = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col("_part") == F.col("_p")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    own = dealt.withColumns({f"_i_{c}": F.sum(c).over(inside) for c in sums})
+    return own.join(before, same).select(*rows.columns, *[(F.col(f"_b_{c}") + F.col(f"_i_{c}")).alias(out) for c, out in sums.items()])

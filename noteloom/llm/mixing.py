@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, WORD, saved, shuffle_parts
+from .common import BROADCAST_IDS, WORD, prefix_sums, saved
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -41,24 +41,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
 
 
 def ranked(rows: DataFrame) -> DataFrame:
-    """rows (doc_id, source, size) with rank: the place within the source by size and doc_id, from 1.
-
-    Rows are sorted into ranges, counts of each range and source are summed up over the ranges, and each range is
-    numbered by itself, so no task holds a source. Rows that are equal are interchangeable, so the ranks do not depend
-    on where ranges are cut."""
-    spark = rows.sparkSession
-    dealt = saved(rows.repartitionByRange(shuffle_parts(spark), F.col("source").asc_nulls_last(), "size", "doc_id")
-                  .withColumn("part", F.spark_partition_id()))
-    counts = dealt.groupBy("part", "source").count()
-    ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(F.col("part").alias("p"), F.col("source").alias("s"),
-                           F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("ahead"))
-    inside = F.row_number().over(Window.partitionBy("part", "source").orderBy("size", "doc_id"))
-    return (
-        dealt.withColumn("inside", inside)
-        .join(counts, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s")))
-        .select("doc_id", "source", "size", (F.col("ahead") + F.col("inside")).alias("rank"))
-    )
+    """rows (doc_id, source, size) with rank: the place within the source by size and doc_id, from 1."""
+    return prefix_sums(rows.withColumn("one", F.lit(1).cast("long")), ["source"], ["size", "doc_id"], {"one": "rank"})
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, ngram, quality, suffixes
+from . import decontaminate, mixing, neighbours, ngram, perspectives, quality, suffixes
 from .simhash import near_duplicates
 
 
@@ -26,6 +26,10 @@ def op5_ngram(spark, sf_dir):
     return ngram.score(table(spark, sf_dir, "documents"))
 
 
+def op6_perspectives(spark, sf_dir):
+    return perspectives.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op7_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -34,5 +38,9 @@ def op8_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffixes, op2_quality, op4_decontaminate, op5_ngram, op7_simhash, op8_mix)}
-ORACLE = {"op4_decontaminate": decontaminate.ORACLE, "op8_mix": mixing.ORACLE}
+def op9_neighbours(spark, sf_dir):
+    return neighbours.every_hundredth(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffixes, op2_quality, op4_decontaminate, op5_ngram, op6_perspectives, op7_simhash, op8_mix, op9_neighbours)}
+ORACLE = {"op4_decontaminate": decontaminate.ORACLE, "op6_perspectives": perspectives.ORACLE, "op8_mix": mixing.ORACLE}
