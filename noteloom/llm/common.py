@@ -66,16 +66,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-_POWERS = [np.ones(1, np.uint64)]
+BASE = 0x9E3779B97F4A7C15
+_POWERS: dict[int, np.ndarray] = {}
 
 
-def powers(n: int) -> np.ndarray:
+def powers(n: int, base: int = BASE) -> np.ndarray:
     """The first n powers of an odd 64-bit base, modulo 2^64."""
-    if len(_POWERS[0]) < n:
+    if len(_POWERS.get(base, ())) < n:
         size = 1 << max(10, int(n - 1).bit_length())
         with np.errstate(over="ignore"):
-            _POWERS[0] = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, 0x9E3779B97F4A7C15 | 1, np.uint64)])
-    return _POWERS[0][:n]
+            _POWERS[base] = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, base, np.uint64)])
+    return _POWERS[base][:n]
 
 
 SPACE = np.zeros(256, bool)

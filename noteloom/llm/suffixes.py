@@ -4,13 +4,17 @@ Anchors. Of the K-byte strings in every window of LENGTH bytes the one of least
 window's anchor. Equal windows have their anchor at the same place, so a repeated window has a repeated anchor, and
 only suffixes at repeated anchors, with the bytes before them that a window can reach, have to be compared.
 
+Contexts. What a window can reach around an anchor is its context. Occurrences whose whole context equals an earlier one's
+(by a 64-bit hash among the occurrences of one anchor) are covered by it, and are decided without their bytes. Only the first
+occurrence of each different context goes on, and only if its anchor has several.
+
 Suffix array. These suffixes are sorted by Spark within partitions by anchor: each partition is a (sparse) suffix array.
 It is scanned with a stack over the common prefixes of neighbours, which gives the nodes of the interval tree:
 all occurrences that share the next r bytes. Within a node, the left contexts are told apart in the same way
 (from the anchor backwards): a class that shares l bytes is a maximal repeat of l + r bytes with all its occurrences, left- and
 right-diverse. If it has LENGTH bytes or more, all but its first occurrence are removed.
 
-Occurrences whose whole context equals an earlier one's are decided as they stream by. An anchor with more than GROUP different
+An anchor with more than GROUP different
 contexts is not gathered: its windows are hashed and reduced to their first places by a plain aggregation.
 """
 
@@ -23,15 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, as_bytes, chunks, mix64, only_ids, saved, shuffle_parts, stored
+from .common import BASE, BROADCAST_IDS, as_bytes, chunks, mix64, only_ids, powers, saved, shuffle_parts, stored
 
 LENGTH = 100
-K = 24
+K = 32
 #: Different contexts of an anchor that are compared in memory (about 200 bytes each); more are aggregated.
 GROUP = 100_000
-_PIECE = 4 << 20
+_PIECE = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE = np.uint64(BASE)
+_BYTE = np.random.default_rng(5).integers(0, 1 << 64, 256, np.uint64)
 
 
 def _grams(data: np.ndarray, k: int) -> np.ndarray:
@@ -59,36 +64,38 @@ def _least(values: np.ndarray, window: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (window - size)], values[window - size:])
 
 
-def anchors(texts: list[bytes], length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text number, place) of the anchors of all windows of the texts."""
-    out = []
+def anchors(texts: list[bytes], length: int = LENGTH, k: int = K) -> list[np.ndarray]:
+    """Of the anchors of all windows of the texts: hash, hash of the context, text number, place, and the context's bytes
+    before and from the anchor on. An anchor whose windows lie in two pieces of a long text counts in each."""
+    out = [[np.zeros(0, np.uint64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4]]
     for number, text in enumerate(texts):
-        if len(text) <= _PIECE:
-            continue
-        step = _PIECE - length + 1  # each window lies in one piece
-        for at in range(0, len(text) - length + 1, step):
-            h, _, place = anchors([text[at:at + _PIECE]], length, k)
-            out.append((h, np.full(len(h), number), place + at))
+        if len(text) > _PIECE:
+            step = _PIECE - length + 1  # each window lies in one piece
+            for at in range(0, len(text) - length + 1, step):
+                h, c, _, place, before, after = anchors([text[at:at + _PIECE]], length, k)
+                out.append([h, c, np.full(len(h), number), place + at, before, after])
     some = [i for i, t in enumerate(texts) if length <= len(t) <= _PIECE]
-    for a, b in chunks([texts[i] for i in some]):
+    for a, b in chunks([texts[i] for i in some], _PIECE):
         own = some[a:b]
         sizes = np.array([len(texts[i]) for i in own])
         first = np.r_[0, np.cumsum(sizes)[:-1]]
-        grams = _grams(np.frombuffer(b"".join(texts[i] for i in own), np.uint8), k)
+        data = np.frombuffer(b"".join(texts[i] for i in own), np.uint8)
+        grams = _grams(data, k)
         key = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
         place = (_least(key, length - k + 1) & _PLACE).astype(np.int64)
-        valid = np.ones(len(place) + 1, bool)
+        valid = np.ones(len(place), bool)
         for end in (first + sizes)[:-1]:
             valid[end - length + 1:end] = False
-        place = place[valid[:-1]]
-        place = place[np.r_[True, place[1:] != place[:-1]]]
+        window = np.flatnonzero(valid)
+        place = place[window]
+        run = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        low, high, place = window[run], window[np.r_[run[1:] - 1, len(window) - 1]] + length, place[run]
+        sums = np.r_[np.uint64(0), np.cumsum(_BYTE[data] * powers(len(data)))]
+        context = (sums[high] - sums[low]) * powers(len(data), pow(BASE, -1, 1 << 64))[low]
+        context = mix64(context ^ ((place - low) << 8 | (high - low)).astype(np.uint64))
         which = np.searchsorted(first, place, side="right") - 1
-        out.append((grams[place], np.array(own)[which], place - first[which]))
-    if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h, number, place = (np.concatenate(x) for x in zip(*out))
-    _, keep = np.unique(np.stack([number, place]), axis=1, return_index=True) if any(len(t) > _PIECE for t in texts) else (0, slice(None))
-    return h[keep], number[keep], place[keep]
+        out.append([grams[place], context, np.array(own)[which], place - first[which], place - low, high - place])
+    return [np.concatenate(x) for x in zip(*out)]
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -114,22 +121,26 @@ def intervals(strings: list[bytes]) -> list[tuple[int, int, int]]:
 
 
 def repeats(group: list[tuple[bytes, bytes, tuple]], length: int) -> list[tuple[tuple, int, int]]:
-    """Of the suffixes at one anchor (right bytes, reversed left bytes, (doc, place)), sorted by right bytes, all occurrences of
-    maximal repeats of length bytes or more but each one's first: (occurrence, bytes before, bytes after the anchor)."""
+    """Of the suffixes at one anchor (right bytes, reversed left bytes, (doc, place)), sorted by right bytes, those that occur in maximal
+    repeats of length bytes or more, but not first: (occurrence, bytes before, bytes from the anchor on); one row for each, since
+    all its repeats hold the anchor."""
     if len(group) == 2:
         (r1, l1, o1), (r2, l2, o2) = group
         r, left = _common(r1, r2), _common(l1, l2)
         return [(max(o1, o2), left, r)] if r + left >= length and o1 != o2 else []
-    out = []
+    widest: dict[tuple, tuple[int, int]] = {}
     for r, first, last in intervals([g[0] for g in group]):
         inside = sorted((g[1], g[2]) for g in group[first:last + 1] if len(g[1]) >= length - r)
         if len(inside) < 2:
             continue
         for left, a, b in intervals([x[0] for x in inside]):
-            if left + r >= length and b > a:
+            if left + r >= length:
                 start = min(x[1] for x in inside[a:b + 1])
-                out += [(x[1], left, r) for x in inside[a:b + 1] if x[1] > start]
-    return out
+                for _, o in inside[a:b + 1]:
+                    if o > start:
+                        x, y = widest.get(o, (0, 0))
+                        widest[o] = max(x, left), max(y, r)
+    return [(o, a, b) for o, (a, b) in widest.items()]
 
 
 def _scan(length: int, most: int):
@@ -189,34 +200,44 @@ def _windows(length: int):
     return run
 
 
-def spans(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
-    """(spans, texts): the removed spans (doc_id, a, b) in bytes, overlapping as they come, and the stored texts of all
-    documents that may have one. docs: doc_id long and text."""
+def removals(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
+    """(doc_id, text, cut, spans) of the documents that lose bytes: cut has whole contexts to remove, packed as place << 16 | bytes
+    before << 8 | bytes from the place on; spans has further ones (a, b). They overlap as they come."""
+    if not K <= length < 256:
+        raise ValueError(f"length must be {K} to 255")
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def find(batches):
         for batch in batches:
-            h, number, place = anchors(as_bytes(batch.column(1)), length)
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[number] if len(ids) else ids), pa.array(place.astype(np.int32))], ["h", "doc_id", "p"])
-
-    found = rows.mapInArrow(find, "h bigint, doc_id bigint, p int")
-    again = F.count(F.lit(1)).over(Window.partitionBy("h"))
-    repeated = stored(found.withColumn("n", again).where("n > 1").groupBy("doc_id").agg(F.collect_set(F.struct("p", "h")).alias("at")))
+            texts, ids = as_bytes(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False)
+            for i, j in chunks(texts):
+                h, c, number, place, before, after = anchors(texts[i:j], length)
+                at = place << 16 | before << 8 | after
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(ids[i:j][number]), pa.array(at)], ["h", "c", "doc_id", "at"])
+
+    same, anchor = Window.partitionBy("h", "c"), Window.partitionBy("h")
+    found = rows.mapInArrow(find, "h bigint, c bigint, doc_id bigint, at bigint").repartition(shuffle_parts(docs.sparkSession), "h")
+    first = F.struct("doc_id", "at") == F.min(F.struct("doc_id", "at")).over(same)
+    repeated = (
+        found.withColumn("first", first).withColumn("lo", F.min("c").over(anchor)).withColumn("hi", F.max("c").over(anchor))
+        .where("not first or lo <> hi")
+        .groupBy("doc_id").agg(F.collect_set(F.when(F.col("first"), F.struct("at", "h"))).alias("ask"),
+                               F.collect_set(F.when(~F.col("first"), F.col("at"))).alias("cut"))
+    )
+    repeated = stored(repeated)
     texts = stored(only_ids(rows, saved(repeated.select("doc_id"))).dropDuplicates(["doc_id"]))
-    reach = length - K
 
     def around(batches):
         for batch in batches:
-            for d, text, at in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist()):
-                h, p = [x["h"] for x in at], [x["p"] for x in at]
+            for d, text, ask in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist()):
+                spots = [(x["h"], x["at"] >> 16, x["at"] >> 8 & 255, x["at"] & 255) for x in ask]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(h, pa.int64()), pa.array([d] * len(p), pa.int64()), pa.array(p, pa.int64()),
-                    pa.array([text[i:i + length] for i in p], pa.binary()),
-                    pa.array([text[max(0, i - reach):i][::-1] for i in p], pa.binary())], ["h", "doc_id", "p", "right", "left"])
+                    pa.array([x[0] for x in spots], pa.int64()), pa.array([d] * len(spots), pa.int64()), pa.array([x[1] for x in spots], pa.int64()),
+                    pa.array([text[p:p + n] for _, p, _, n in spots], pa.binary()),
+                    pa.array([text[p - n:p][::-1] for _, p, n, _ in spots], pa.binary())], ["h", "doc_id", "p", "right", "left"])
 
     suffixes = (
-        texts.join(repeated, "doc_id").select("doc_id", "text", "at")
+        texts.join(repeated.where("size(ask) > 0"), "doc_id").select("doc_id", "text", "ask")
         .mapInArrow(around, "h bigint, doc_id bigint, p bigint, right binary, left binary")
         .repartition(shuffle_parts(docs.sparkSession), "h").sortWithinPartitions("h", "right", "left", "doc_id", "p")
     )
@@ -227,7 +248,8 @@ def spans(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> tuple[Da
         first = over.groupBy("w").agg(F.min(F.struct("doc_id", "a")).alias("first")).withColumnRenamed("w", "w1")
         late = over.join(first, F.col("w") == F.col("w1")).where(F.struct("doc_id", "a") > F.col("first"))
         direct = direct.union(late.select("doc_id", "a", (F.col("a") + length).alias("b")))
-    return direct, texts
+    by_doc = direct.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    return texts.join(repeated.select("doc_id", "cut"), "doc_id").join(by_doc, "doc_id", "left").where("size(cut) > 0 or spans is not null")
 
 
 def merged(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -243,21 +265,19 @@ def merged(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def cuts(docs: DataFrame, length: int = LENGTH, group: int = GROUP, with_text: bool = False) -> DataFrame:
     """For the documents that lose bytes: (doc_id, n_removed, n_spans, kept_sha256, kept), kept (the remaining bytes) null unless
     asked for."""
-    found, texts = spans(docs, length, group)
-    by_doc = found.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("cut"))
-
     def run(batches):
         for batch in batches:
             out = [[], [], [], [], []]
-            for d, text, cut in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist()):
-                runs = merged([(x["a"], x["b"]) for x in cut])
+            for d, text, cut, spans in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), *(c.to_pylist() for c in batch.columns[2:])):
+                whole = [((x >> 16) - (x >> 8 & 255), (x >> 16) + (x & 255)) for x in cut]
+                runs = merged(whole + [(x["a"], x["b"]) for x in spans or ()])
                 edges = [0, *(e for r in runs for e in r), len(text)]
                 kept = b"".join(text[i:j] for i, j in zip(edges[0::2], edges[1::2]))
                 for col, v in zip(out, (d, len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept if with_text else None)):
                     col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], ["doc_id", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return texts.join(by_doc, "doc_id").select("doc_id", "text", "cut").mapInArrow(
+    return removals(docs, length, group).select("doc_id", "text", "cut", "spans").mapInArrow(
         run, "doc_id bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
 
 
