@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, neighbours, ngram, perspectives, quality, suffixes
+from . import decontaminate, mixing, neighbours, ngram, perspectives, quality, sentences, styletree, suffixes
 from .simhash import near_duplicates
 
 
@@ -18,6 +18,10 @@ def op2_quality(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_styletree(spark, sf_dir):
+    return styletree.main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_decontaminate(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,5 +46,9 @@ def op9_neighbours(spark, sf_dir):
     return neighbours.every_hundredth(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffixes, op2_quality, op4_decontaminate, op5_ngram, op6_perspectives, op7_simhash, op8_mix, op9_neighbours)}
+def op10_sentences(spark, sf_dir):
+    return sentences.dedupe(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffixes, op2_quality, op3_styletree, op4_decontaminate, op5_ngram, op6_perspectives, op7_simhash, op8_mix, op9_neighbours, op10_sentences)}
 ORACLE = {"op4_decontaminate": decontaminate.ORACLE, "op6_perspectives": perspectives.ORACLE, "op8_mix": mixing.ORACLE}
