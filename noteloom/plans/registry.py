@@ -1,4 +1,8 @@
 """The registered queries and their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from .oracle import ORACLE
+from .queries import QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
