@@ -4,7 +4,7 @@ Anchors. Of the K-byte strings in every window of LENGTH bytes the one of least
 window's anchor. Equal windows have their anchor at the same place, so a repeated window has a repeated anchor, and
 only suffixes at repeated anchors, with the bytes before them that a window can reach, have to be compared.
 
-Contexts. What a window can reach around an anchor is its context. Occurrences whose whole context equals an earlier one's
+Contexts. (What has an equal earlier in its batch of rows is settled before the shuffle.) What a window can reach around an anchor is its context. Occurrences whose whole context equals an earlier one's
 (by a 64-bit hash among the occurrences of one anchor) are covered by it, and are decided without their bytes. Only the first
 occurrence of each different context goes on, and only if its anchor has several.
 
@@ -98,6 +98,19 @@ def anchors(texts: list[bytes], length: int = LENGTH, k: int = K) -> list[np.nda
     return [np.concatenate(x) for x in zip(*out)]
 
 
+def _later(h: np.ndarray, c: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which occurrences have the anchor and context of another one that stands earlier."""
+    order = np.lexsort((at, doc))
+    order = order[np.argsort((h ^ (c << np.uint64(1)))[order], kind="stable")]
+    a, b = order[1:], order[:-1]
+    same = (h[a] == h[b]) & (c[a] == c[b])
+    run = np.cumsum(np.r_[True, ~same]) - 1
+    first = order[np.flatnonzero(np.r_[True, ~same])][run]
+    out = np.zeros(len(h), bool)
+    out[order] = (doc[order] != doc[first]) | (at[order] != at[first])
+    return out
+
+
 def _common(a: bytes, b: bytes) -> int:
     """Length of the common prefix."""
     n = min(len(a), len(b))
@@ -210,16 +223,24 @@ def removals(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataF
     def find(batches):
         for batch in batches:
             texts, ids = as_bytes(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False)
+            parts = []
             for i, j in chunks(texts):
                 h, c, number, place, before, after = anchors(texts[i:j], length)
-                at = place << 16 | before << 8 | after
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(ids[i:j][number]), pa.array(at)], ["h", "c", "doc_id", "at"])
+                parts.append((h, c, ids[i:j][number], place << 16 | before << 8 | after))
+            if not parts:
+                continue
+            h, c, doc, at = (np.concatenate(x) for x in zip(*parts))
+            again = _later(h, c, doc, at)
+            # what has an earlier equal in its batch is decided: it is dealt by its document, not by its anchor
+            h = np.where(again, mix64(doc.astype(np.uint64)), h)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(doc), pa.array(at), pa.array(again)], ["h", "c", "doc_id", "at", "again"])
 
     same, anchor = Window.partitionBy("h", "c"), Window.partitionBy("h")
-    found = rows.mapInArrow(find, "h bigint, c bigint, doc_id bigint, at bigint").repartition(shuffle_parts(docs.sparkSession), "h")
-    first = F.struct("doc_id", "at") == F.min(F.struct("doc_id", "at")).over(same)
+    found = rows.mapInArrow(find, "h bigint, c bigint, doc_id bigint, at bigint, again boolean").repartition(shuffle_parts(docs.sparkSession), "h")
+    place = lambda c: F.when(~F.col("again"), F.col(c))
+    first = ~F.col("again") & (F.struct("doc_id", "at") == F.min(F.when(~F.col("again"), F.struct("doc_id", "at"))).over(same))
     repeated = (
-        found.withColumn("first", first).withColumn("lo", F.min("c").over(anchor)).withColumn("hi", F.max("c").over(anchor))
+        found.withColumn("first", first).withColumn("lo", F.min(place("c")).over(anchor)).withColumn("hi", F.max(place("c")).over(anchor))
         .where("not first or lo <> hi")
         .groupBy("doc_id").agg(F.collect_set(F.when(F.col("first"), F.struct("at", "h"))).alias("ask"),
                                F.collect_set(F.when(~F.col("first"), F.col("at"))).alias("cut"))
