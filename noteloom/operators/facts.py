@@ -27,32 +27,33 @@ def as_triples(batch: DataFrame, today: str) -> DataFrame:
 
 
 def _latest(rows: DataFrame) -> DataFrame:
-    """The row of highest seq for each id: a hash aggregate, so repeats are reduced before the shuffle."""
-    best = F.max_by(F.struct(*COLUMNS[1:]), F.col("seq")).alias("r")
+    """The row of highest (gen, seq) for each id: an aggregate, so repeats are reduced before the shuffle."""
+    best = F.max_by(F.struct(*COLUMNS[1:]), F.struct("gen", "seq")).alias("r")
     return rows.groupBy("id").agg(best).select("id", *[f"r.{c}" for c in COLUMNS[1:]])
 
 
 def upsert(triples: DataFrame | None, batch: DataFrame, today: str) -> DataFrame:
-    """triples with a batch added in order of seq. A fact that is there is replaced with its window, confidence and source."""
-    new = as_triples(batch, today)
+    """triples with a batch added in order of seq (of any type that has an order). A fact that is there is replaced with its window, confidence and source."""
+    new = as_triples(batch, today).withColumn("gen", F.lit(1))
     if triples is not None:
-        old = triples.select(*COLUMNS).withColumn("seq", F.lit(None).cast(new.schema["seq"].dataType))
-        new = old.unionByName(new).withColumn("seq", F.coalesce("seq", F.lit(-(1 << 62)).cast(new.schema["seq"].dataType)))
+        none = F.lit(None).cast(new.schema["seq"].dataType)
+        new = triples.select(*COLUMNS).withColumn("seq", none).withColumn("gen", F.lit(0)).unionByName(new)
     return _latest(new)
 
 
 def upsert_entities(entities: DataFrame | None, batch: DataFrame) -> DataFrame:
     """entities with a batch (name, type, seq) added: the first type of a name stays."""
-    new = batch.select(T.entity_id("name").alias("id"), "name", F.coalesce("type", F.lit("unknown")).alias("type"), F.col("seq").cast("double").alias("seq"))
+    new = batch.select(T.entity_id("name").alias("id"), "name", F.coalesce("type", F.lit("unknown")).alias("type"), "seq", F.lit(1).alias("gen"))
     if entities is not None:
-        new = entities.select("id", "name", "type").withColumn("seq", F.lit(float("-inf"))).unionByName(new)
-    return new.groupBy("id").agg(F.min_by(F.struct("name", "type"), "seq").alias("r")).select("id", "r.name", "r.type")
+        none = F.lit(None).cast(new.schema["seq"].dataType)
+        new = entities.select("id", "name", "type").withColumn("seq", none).withColumn("gen", F.lit(0)).unionByName(new)
+    return new.groupBy("id").agg(F.min_by(F.struct("name", "type"), F.struct("gen", "seq")).alias("r")).select("id", "r.name", "r.type")
 
 
 def entities_of(batch: DataFrame) -> DataFrame:
     """(name, type, seq) of both ends of every fact; literals such as tags and dates count as well."""
     ends = F.explode(F.array(F.struct(F.col("subject").alias("name"), F.lit(0).alias("end")), F.struct(F.col("object").alias("name"), F.lit(1).alias("end"))))
-    return batch.select("seq", ends.alias("e")).select("e.name", F.lit("unknown").alias("type"), (F.col("seq") * 2 + F.col("e.end")).alias("seq"))
+    return batch.select("seq", ends.alias("e")).select("e.name", F.lit("unknown").alias("type"), F.struct("seq", F.col("e.end").alias("end")).alias("seq"))
 
 
 def invalidate(triples: DataFrame, closes: DataFrame, today: str) -> DataFrame:
@@ -146,9 +147,9 @@ def attempts(notes: DataFrame) -> DataFrame:
 
 def populate(triples: DataFrame | None, entities: DataFrame | None, notes: DataFrame, today: str) -> tuple[DataFrame, DataFrame]:
     """(triples, entities) after the notes' facts are added: facts that were there are opened again."""
-    found = candidates(notes, today).withColumn("seq", F.col("ord") * F.lit(1 << 24) + F.col("at"))
-    described = notes.where(F.length("description") > 10).select(
-        F.col("stem").alias("name"), F.lit("note").alias("type"), ((F.col("ord") + 1) * F.lit(1 << 25) - 1).alias("seq"))
+    found = candidates(notes, today).withColumn("seq", F.struct("ord", "at"))
+    after = F.struct(F.struct("ord", F.lit((1 << 31) - 1).alias("at")).alias("seq"), F.lit(0).alias("end")).alias("seq")
+    described = notes.where(F.length("description") > 10).select(F.col("stem").alias("name"), F.lit("note").alias("type"), after)
     return upsert(triples, found, today), upsert_entities(entities, entities_of(found).unionByName(described))
 
 

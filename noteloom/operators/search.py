@@ -10,14 +10,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
 
 # Chunk size in words, least length of a chunk, the largest limit, and the weight of shared words.
 CHUNK_WORDS, LEAST_CHARS, CAP, BOOST = 512, 20, 100, 0.3
 RESULT = ["qid", "rank", "path", "content_excerpt", "score", "match_type"]
-#: Queries that one block holds; blocks are broadcast one at a time, so what is broadcast is bounded.
-BLOCK = 256
+#: Queries in a block (as many as are broadcast at most), and chunks in a part.
+BLOCK, PART = 256, 20_000
 
 
 def chunk(notes: DataFrame, path: str = "rel_path", text: str = "content", size: int = CHUNK_WORDS) -> DataFrame:
@@ -95,57 +96,55 @@ def vector(chunks: DataFrame, queries: DataFrame, limit: int = 5, hybrid: bool =
     return best_by_path(scored, limit)
 
 
-def vector_blocks(chunks: DataFrame, queries: DataFrame, limit: int = 5, hybrid: bool = False, block: int = BLOCK) -> DataFrame:
-    """As vector(), for many queries: blocks of queries against Arrow batches of chunks with one matrix product each; of each batch only
-    what can be among a query's best stays, so rows sent grow with batches and not with chunks."""
-    names = ["qid", "chunk", "score"]
-    todo = queries.select("qid", "embedding", "query").orderBy("qid").toLocalIterator()
-    out, rows = None, []
-    keep = chunks.select("hash", "path", "ord", "embedding", "text")
-
-    def one(rows):
-        ids = [r.qid for r in rows]
-        q = np.array([r.embedding for r in rows], float)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        asked = [set((r.query or "").lower().split()) for r in rows]
-        kind = queries.schema["qid"].dataType.simpleString()
-
-        def run(batches):
-            for b in batches:
-                v = np.array(b.column(3).to_pylist(), float).reshape(b.num_rows, -1)
-                if not b.num_rows:
-                    continue
-                s = q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T
-                extra = np.zeros_like(s)
-                if hybrid:
-                    have = [set((t or "").lower().split()) for t in b.column(4).to_pylist()]
-                    extra = np.array([[BOOST * len(a & h) / len(a) if a else 0.0 for h in have] for a in asked])
-                    s = s + extra
-                paths, ords = b.column(1).to_pylist(), b.column(2).to_pylist()
-                texts, found = b.column(4).to_pylist(), []
-                for i, qid in enumerate(ids):
-                    seen = set()
-                    for j in sorted(range(len(paths)), key=lambda j: (-s[i, j], ords[j])):
-                        if paths[j] not in seen:
-                            seen.add(paths[j])
-                            t = texts[j] or ""
-                            found.append((qid, paths[j], ords[j], t[:300] + "..." if len(t) > 300 else t, float(s[i, j]), "hybrid" if extra[i, j] > 0 else "semantic"))
-                            if len(seen) >= min(limit, CAP):
-                                break
-                cols = list(zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["qid", "path", "ord", "content_excerpt", "score", "match_type"])
-
-        return keep.mapInArrow(run, f"qid {kind}, path string, ord bigint, content_excerpt string, score double, match_type string")
-
-    for r in todo:
-        rows.append(r)
-        if len(rows) == block:
-            out = one(rows) if out is None else out.union(one(rows))
-            rows = []
-    if rows or out is None:
-        out = one(rows) if out is None else out.union(one(rows))
-    del names
-    return best_by_path(out, limit)
+def _best_of_part(limit: int, hybrid: bool, qid: pa.DataType):
+    kinds = [("qid", qid), ("path", pa.string()), ("ord", pa.int64()), ("content_excerpt", pa.string()), ("score", pa.float64()), ("match_type", pa.string())]
+
+    def unit(column) -> np.ndarray:
+        v = np.array(column.to_pylist(), float)
+        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+    def run(chunks, queries):
+        found = []
+        if chunks.num_rows and queries.num_rows:
+            s = unit(queries.column("q_vector")) @ unit(chunks.column("vector")).T
+            extra = np.zeros_like(s)
+            texts = [t or "" for t in chunks.column("text").to_pylist()]
+            if hybrid:
+                have = [set(t.lower().split()) for t in texts]
+                asked = [set((q or "").lower().split()) for q in queries.column("query").to_pylist()]
+                extra = np.array([[BOOST * len(a & h) / len(a) if a else 0.0 for h in have] for a in asked])
+                s = s + extra
+            paths, ords = chunks.column("path").to_pylist(), chunks.column("ord").to_pylist()
+            for i, q in enumerate(queries.column("qid").to_pylist()):
+                seen = set()
+                for j in np.lexsort((ords, -s[i])):
+                    if paths[j] not in seen:
+                        seen.add(paths[j])
+                        t = texts[j]
+                        found.append((q, paths[j], ords[j], t[:300] + "..." if len(t) > 300 else t, float(s[i, j]), "hybrid" if extra[i, j] > 0 else "semantic"))
+                        if len(seen) >= min(limit, CAP):
+                            break
+        cols = list(zip(*found)) if found else [[]] * len(kinds)
+        return pa.Table.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, kinds)], [n for n, _ in kinds])
+
+    return run
+
+
+def vector_blocks(chunks: DataFrame, queries: DataFrame, limit: int = 5, hybrid: bool = False, block: int = BLOCK, part: int = PART) -> DataFrame:
+    """As vector(), for many queries: chunks dealt into parts by path, queries into blocks, and one matrix product for each part and
+    block. A part gives a query's best paths only, so what is sent grows with parts and not with chunks."""
+    rows = chunks.select("path", "ord", "text", F.col("embedding").alias("vector"))
+    asked = queries.select("qid", "query", F.col("embedding").alias("q_vector"))
+    parts, blocks = max(1, -(-rows.count() // part)), max(1, -(-asked.count() // block))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.withColumn("part", deal("path", parts)).withColumn("block", every(blocks))
+    right = asked.withColumn("block", deal("qid", blocks)).withColumn("part", every(parts))
+    kind = asked.schema["qid"].dataType
+    scored = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(
+        _best_of_part(limit, hybrid, to_arrow_type(kind)),
+        f"qid {kind.simpleString()}, path string, ord bigint, content_excerpt string, score double, match_type string")
+    return best_by_path(scored, limit)
 
 
 def in_wing(results: DataFrame, wings: DataFrame, limit: int = 5) -> DataFrame:

@@ -30,7 +30,7 @@ O["kg_triples_upsert"] = f"""SELECT {_ID} AS id, {_RES} FROM (SELECT *, row_numb
 O["kg_triples_reupsert"] = f"""SELECT {_ID} AS id, {_RES} FROM (SELECT *, row_number() OVER (PARTITION BY subject, predicate, object ORDER BY seq DESC) AS rn FROM
  (SELECT -1 AS seq, {_RES} FROM ({WIN}) w UNION ALL SELECT seq, {_RES} FROM ({RAW}) r WHERE seq % 3 = 0) u) q WHERE rn = 1"""
 O["kg_entities"] = f"""SELECT left(sha256(name), 16) AS id, name, arg_min(type, seq) AS type FROM (SELECT subject AS name, 'unknown' AS type, seq * 2 AS seq FROM ({RAW}) a
-UNION ALL SELECT object, 'unknown', seq * 2 + 1 FROM ({RAW}) b UNION ALL SELECT object, 'key', seq * 2 - 1 FROM ({RAW}) c) e GROUP BY name"""
+UNION ALL SELECT object, 'unknown', seq * 2 + 1 FROM ({RAW}) b UNION ALL SELECT object, 'key', seq * 2 - 0.5 FROM ({RAW}) c) e GROUP BY name"""
 O["kg_asof_grid"] = f"""SELECT subject, as_of, count(*) AS facts FROM ({WIN}) t JOIN (SELECT printf('2024-01-%02d', i) AS as_of FROM range(1, 31) r(i)) d
 ON {_HOLDS.format('as_of')} GROUP BY subject, as_of"""
 O["kg_relation"] = f"SELECT {_RES} FROM ({WIN}) t WHERE predicate = 'click' AND CAST(split_part(subject, ':', 2) AS INT) % 5 = 0"

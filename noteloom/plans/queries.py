@@ -62,7 +62,7 @@ def kg_triples_reupsert(spark, d):
 @query
 def kg_entities(spark, d):
     batch = K.entities_of(X.frame(spark, d, X.TRIPLES_RAW))
-    typed = X.frame(spark, d, X.TRIPLES_RAW).select(F.col("object").alias("name"), F.lit("key").alias("type"), (F.col("seq") * 2 - 1).alias("seq"))
+    typed = X.frame(spark, d, X.TRIPLES_RAW).select(F.col("object").alias("name"), F.lit("key").alias("type"), F.struct((F.col("seq") - 1).alias("seq"), F.lit(2).alias("end")).alias("seq"))
     return K.upsert_entities(None, batch.unionByName(typed))
 
 
