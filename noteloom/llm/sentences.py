@@ -77,7 +77,7 @@ def covered(docs: DataFrame, span: int = SPAN, least: int = WORDS) -> DataFrame:
 
 
 def dedupe(docs: DataFrame, span: int = SPAN, least: int = WORDS) -> DataFrame:
-    """(doc_id, n_sentences, n_removed, removed_bytes, kept_sha256, text) for every row of docs; text is what remains.
+    """(doc_id, n_removed, removed_bytes, kept_sha256, text) for every row of docs: sentences and bytes removed, and what remains.
 
     Null and empty texts have no sentences; a null doc_id loses nothing and is no earlier copy; rows that share a doc_id are repeats of
     one document, and none of them is the other's earlier copy; an empty table gives no rows; other columns are ignored."""
@@ -86,20 +86,22 @@ def dedupe(docs: DataFrame, span: int = SPAN, least: int = WORDS) -> DataFrame:
     ids = saved(cut.select("doc_id"))
     both = only_ids(docs.select("doc_id", "text"), ids).join(cut, "doc_id").select("doc_id", "text", "starts")
     few = ids.count() <= BROADCAST_IDS
-    rest = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").withColumn("starts", F.lit(None).cast("array<int>"))
+    rest = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")
+    none = F.lit(0).cast("long")
+    whole = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    rest = rest.select("doc_id", none.alias("n_removed"), none.alias("removed_bytes"), whole.alias("kept_sha256"), "text")
 
     def run(batches):
         for batch in batches:
-            out = [[], [], [], [], []]
-            for raw, text, starts in zip(batch.column(1).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist()):
+            out = [[], [], [], []]
+            for text, starts in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist()):
                 parts = sentences(text)
-                gone = {j for i in starts or () for j in range(i, min(i + span, len(parts)))}
-                kept = b"".join(text[a:b] for j, (a, b, _) in enumerate(parts) if j not in gone) if gone else text
-                for col, v in zip(out, (len(parts), len(gone), len(text) - len(kept), hashlib.sha256(kept).hexdigest(), None if raw is None else kept.decode("utf-8", "replace"))):
+                gone = {j for i in starts for j in range(i, min(i + span, len(parts)))}
+                kept = b"".join(text[a:b] for j, (a, b, _) in enumerate(parts) if j not in gone)
+                for col, v in zip(out, (len(gone), len(text) - len(kept), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace"))):
                     col.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(out, kinds)]], ["doc_id", "n_sentences", "n_removed", "removed_bytes", "kept_sha256", "text"])
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(out, kinds)]], ["doc_id", "n_removed", "removed_bytes", "kept_sha256", "text"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return both.union(rest).mapInArrow(
-        run, f"doc_id {kind}, n_sentences bigint, n_removed bigint, removed_bytes bigint, kept_sha256 string, text string")
+    return both.mapInArrow(run, f"doc_id {kind}, n_removed bigint, removed_bytes bigint, kept_sha256 string, text string").union(rest)
