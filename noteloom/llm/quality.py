@@ -90,6 +90,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], rank: int =
     size = BUCKETS + STATS
     machine = Machine(0.0, np.zeros(size), rng.normal(0, 0.05, (size, rank)), np.zeros(STATS), np.ones(STATS))
     if not rows:
+        machine.v[:] = 0
         return machine
     stats = np.array([r[2] for r in rows])
     label = np.array([r[3] for r in rows], float)

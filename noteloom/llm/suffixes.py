@@ -230,6 +230,8 @@ def removals(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataF
             if not parts:
                 continue
             h, c, doc, at = (np.concatenate(x) for x in zip(*parts))
+            if not len(h):
+                continue
             again = _later(h, c, doc, at)
             # what has an earlier equal in its batch is decided: it is dealt by its document, not by its anchor
             h = np.where(again, mix64(doc.astype(np.uint64)), h)
