@@ -107,6 +107,19 @@ def tokens(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarr
     return np.searchsorted(bounds, starts, side="right"), starts, lengths, hashes
 
 
+def later(h: np.ndarray, c: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which rows have the keys (h, c) of another row that stands earlier by doc and at."""
+    order = np.lexsort((at, doc))
+    order = order[np.argsort((h ^ (c << np.uint64(1)))[order], kind="stable")]
+    a, b = order[1:], order[:-1]
+    same = (h[a] == h[b]) & (c[a] == c[b])
+    run = np.cumsum(np.r_[True, ~same]) - 1
+    first = order[np.flatnonzero(np.r_[True, ~same])][run]
+    out = np.zeros(len(h), bool)
+    out[order] = (doc[order] != doc[first]) | (at[order] != at[first])
+    return out
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of the undirected links (a, b): rows (node, label), label the least node.
 

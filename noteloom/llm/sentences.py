@@ -1,86 +1,129 @@
 """Substring deduplication over sliding spans of sentences.
 
-Texts are cut into sentences; long ones are cut further, at commas and the like, and after LONGEST words. Every run of SPAN
-consecutive sentences with at least WORDS words is hashed (128 bits over its lower-cased words), and the hashes are joined over
-the corpus. A sentence goes if a run that covers it also stands earlier: in a document of smaller doc_id, or further ahead in the
-same one.
+Texts are cut into sentences: after words that end in a full stop, exclamation or question mark, and at line ends; long ones
+are cut further after about every CUT-th word, chosen by the word's hash, and after a word said twice, so that equal passages are cut alike wherever they
+stand. Every run of consecutive sentences - at least SPAN, and as many as it takes to hold WORDS words - is hashed (128 bits over its
+lower-cased words), and the hashes are joined over the corpus. A sentence goes if a run that covers it also stands earlier: in a
+document of smaller doc_id, or further ahead in the same one.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, as_bytes, only_ids, saved, stored
-
-SPAN, WORDS = 3, 12
-CLAUSE, LONGEST = 8, 16
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+\s*")
-
-
-def sentences(text: bytes) -> list[tuple[int, int, bytes]]:
-    """(first byte, end, lower-cased words) of the sentences, which make up the text."""
-    out, at = [], 0
-    for line in text.splitlines(keepends=True):
-        start, words = at, []
-        for m in _WORD.finditer(line):
-            word = m[0].rstrip()
-            words.append(word)
-            end = at + m.end()
-            last = word[-1:]
-            if last in b".!?" or len(words) >= LONGEST or last in b",;:" and len(words) >= CLAUSE:
-                out.append((start, end, b" ".join(words).lower()))
-                start, words = end, []
-        at += len(line)
-        if words:
-            out.append((start, at, b" ".join(words).lower()))
-        elif start < at:
-            if out:
-                out[-1] = (out[-1][0], at, out[-1][2])
-            else:
-                out.append((start, at, b""))
-    return out
-
-
-def runs(text: bytes, span: int = SPAN, least: int = WORDS) -> list[tuple[int, bytes]]:
-    """(first sentence, hash) of every run of span sentences with enough words. Sentences without words count none."""
-    parts = [s[2] for s in sentences(text)]
-    counts = [p.count(b" ") + 1 if p else 0 for p in parts]
-    return [(i, xxhash.xxh3_128_digest(b"\n".join(parts[i:i + span]))) for i in range(len(parts) - span + 1) if sum(counts[i:i + span]) >= least]
+from .common import BASE, BROADCAST_IDS, as_bytes, chunks, later, mix64, only_ids, powers, saved, stored, tokens
+
+SPAN, WORDS, CUT = 3, 12, 12
+_SECOND = 0xD1342543DE82EF95  # the other base of the run hashes
+_STOP = np.zeros(256, bool)
+_STOP[list(b".!?")] = True
+
+
+@dataclass
+class Sentences:
+    """Sentences of several texts: text number, first and end byte in it (they make up the text), first word and word after the
+    last, and the hashes of all words."""
+
+    text: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    words: np.ndarray
+
+
+def split(texts: list[bytes]) -> Sentences:
+    """The sentences of the texts; a text without words has none."""
+    which, starts, lengths, hashes = tokens(texts)
+    none = np.zeros(0, np.int64)
+    if not len(starts):
+        return Sentences(none, none, none, none, none, hashes)
+    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    lines = np.cumsum(data == 10)
+    after = starts + lengths
+    following = np.r_[starts[1:], len(data) - 1]
+    cut = _STOP[data[after - 1]] | (lines[following] > lines[after - 1]) | ((hashes >> np.uint64(20)) % np.uint64(CUT) == 0)
+    cut |= np.r_[False, hashes[1:] == hashes[:-1]]
+    cut |= np.r_[which[1:] != which[:-1], True]
+    last = np.flatnonzero(cut) + 1
+    first = np.r_[0, last[:-1]]
+    text = which[first]
+    offset = np.r_[0, np.cumsum([len(t) + 1 for t in texts])]
+    begins = np.r_[True, text[1:] != text[:-1]]
+    start = np.where(begins, 0, starts[first] - offset[text])
+    size = np.array([len(t) for t in texts])
+    end = np.where(np.r_[begins[1:], True], size[text], np.r_[start[1:], 0])
+    return Sentences(text, start, end, first, last, hashes)
+
+
+def runs(s: Sentences, span: int = SPAN, least: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first sentence, sentence after the last, hash, second hash) of the runs."""
+    n = len(s.first)
+    i = np.arange(n)
+    after = np.maximum(i + span, np.searchsorted(s.last, s.first + least) + 1)
+    i = i[after <= n]
+    after = after[: len(i)] if len(i) == n else after[i]
+    i, after = (x[s.text[i] == s.text[after - 1]] for x in (i, after)) if len(i) else (i, after)
+    a, b = s.first[i], s.last[after - 1] if len(i) else i
+    out = []
+    for base in (BASE, _SECOND):
+        sums = np.r_[np.uint64(0), np.cumsum(s.words * powers(len(s.words), base))]
+        out.append(mix64((sums[b] - sums[a]) * powers(len(s.words) + 1, pow(base, -1, 1 << 64))[a] + (b - a).astype(np.uint64)))
+    return i, after, out[0], out[1]
 
 
 def covered(docs: DataFrame, span: int = SPAN, least: int = WORDS) -> DataFrame:
-    """(doc_id, starts): the first sentences of the runs of a document that stand earlier as well. docs: doc_id long and text."""
+    """(doc_id, starts): the first sentences of the runs of a document that stand earlier as well. docs: doc_id long and text.
+
+    What has an equal earlier in its batch of rows is settled before the shuffle."""
 
     def run(batches):
         for batch in batches:
-            hashes, ids, starts, again = [], [], [], []
-            for d, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
-                seen = set()
-                for i, h in runs(text, span, least):
-                    hashes.append(h)
-                    ids.append(d)
-                    starts.append(i)
-                    again.append(h in seen)
-                    seen.add(h)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(again, pa.bool_())], ["h", "doc_id", "i", "again"])
-
-    found = stored(docs.mapInArrow(run, "h binary, doc_id bigint, i int, again boolean"))
-    first = found.where("not again").groupBy(F.col("h").alias("h1")).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    late = found.where("not again").join(first, F.col("h") == F.col("h1")).where("doc_id > lo").select("doc_id", "i")
+            texts, ids = as_bytes(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False)
+            parts = []
+            for a, b in chunks(texts):
+                s = split(texts[a:b])
+                i, _, h, g = runs(s, span, least)
+                begin = np.searchsorted(s.text, np.arange(b - a))
+                parts.append((h, g, ids[a:b][s.text[i]], i - begin[s.text[i]]))
+            if not parts:
+                continue
+            h, g, doc, at = (np.concatenate(x) for x in zip(*parts))
+            if len(h):
+                again = later(h, g, doc, at)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(doc), pa.array(at.astype(np.int32)), pa.array(again)], ["h", "g", "doc_id", "i", "again"])
+
+    found = stored(docs.mapInArrow(run, "h bigint, g bigint, doc_id bigint, i int, again boolean"))
+    new = found.where("not again")
+    # a document's own first of a run is in `new` once for each batch; two rows of one document are repeats of it
+    first = new.groupBy(F.col("h").alias("h1"), F.col("g").alias("g1")).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    late = new.join(first, (F.col("h") == F.col("h1")) & (F.col("g") == F.col("g1"))).where("doc_id > lo").select("doc_id", "i")
     return late.union(found.where("again").select("doc_id", "i")).groupBy("doc_id").agg(F.collect_set("i").alias("starts"))
 
 
+def dropped(text: bytes, starts, span: int = SPAN, least: int = WORDS) -> tuple[int, bytes]:
+    """(sentences removed, bytes that remain) of a text without the runs that begin at the given sentences."""
+    s = split([text])
+    i, after, _, _ = runs(s, span, least)
+    ends = dict(zip(i.tolist(), after.tolist()))
+    gone = np.zeros(len(s.first), bool)
+    for at in starts:
+        gone[at:ends[at]] = True
+    kept = b"".join(text[a:b] for a, b, x in zip(s.start.tolist(), s.end.tolist(), gone.tolist()) if not x)
+    return int(gone.sum()), kept
+
+
 def dedupe(docs: DataFrame, span: int = SPAN, least: int = WORDS) -> DataFrame:
     """(doc_id, n_removed, removed_bytes, kept_sha256, text) for every row of docs: sentences and bytes removed, and what remains.
 
-    Null and empty texts have no sentences; a null doc_id loses nothing and is no earlier copy; rows that share a doc_id are repeats of
-    one document, and none of them is the other's earlier copy; an empty table gives no rows; other columns are ignored."""
+    Null, empty and blank texts have no sentences and stay; a null doc_id loses nothing and is no earlier copy; rows that share a doc_id
+    are repeats of one document, and none of them is the other's earlier copy; an empty table gives no rows; other columns are ignored."""
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     cut = stored(covered(rows, span, least))
     ids = saved(cut.select("doc_id"))
@@ -95,10 +138,8 @@ def dedupe(docs: DataFrame, span: int = SPAN, least: int = WORDS) -> DataFrame:
         for batch in batches:
             out = [[], [], [], []]
             for text, starts in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist()):
-                parts = sentences(text)
-                gone = {j for i in starts for j in range(i, min(i + span, len(parts)))}
-                kept = b"".join(text[a:b] for j, (a, b, _) in enumerate(parts) if j not in gone)
-                for col, v in zip(out, (len(gone), len(text) - len(kept), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace"))):
+                gone, kept = dropped(text, starts, span, least)
+                for col, v in zip(out, (gone, len(text) - len(kept), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace"))):
                     col.append(v)
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(out, kinds)]], ["doc_id", "n_removed", "removed_bytes", "kept_sha256", "text"])

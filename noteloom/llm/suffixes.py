@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BASE, BROADCAST_IDS, as_bytes, chunks, mix64, only_ids, powers, saved, shuffle_parts, stored
+from .common import BASE, BROADCAST_IDS, as_bytes, chunks, later, mix64, only_ids, powers, saved, shuffle_parts, stored
 
 LENGTH = 100
 K = 32
@@ -98,19 +98,6 @@ def anchors(texts: list[bytes], length: int = LENGTH, k: int = K) -> list[np.nda
     return [np.concatenate(x) for x in zip(*out)]
 
 
-def _later(h: np.ndarray, c: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Which occurrences have the anchor and context of another one that stands earlier."""
-    order = np.lexsort((at, doc))
-    order = order[np.argsort((h ^ (c << np.uint64(1)))[order], kind="stable")]
-    a, b = order[1:], order[:-1]
-    same = (h[a] == h[b]) & (c[a] == c[b])
-    run = np.cumsum(np.r_[True, ~same]) - 1
-    first = order[np.flatnonzero(np.r_[True, ~same])][run]
-    out = np.zeros(len(h), bool)
-    out[order] = (doc[order] != doc[first]) | (at[order] != at[first])
-    return out
-
-
 def _common(a: bytes, b: bytes) -> int:
     """Length of the common prefix."""
     n = min(len(a), len(b))
@@ -232,7 +219,7 @@ def removals(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataF
             h, c, doc, at = (np.concatenate(x) for x in zip(*parts))
             if not len(h):
                 continue
-            again = _later(h, c, doc, at)
+            again = later(h, c, doc, at)
             # what has an earlier equal in its batch is decided: it is dealt by its document, not by its anchor
             h = np.where(again, mix64(doc.astype(np.uint64)), h)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(doc), pa.array(at), pa.array(again)], ["h", "c", "doc_id", "at", "again"])

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -9,6 +10,8 @@ from noteloom.llm import sentences as Z
 from noteloom.llm import simhash as H
 from noteloom.llm import suffixes as X
 
+from noteloom.llm.common import tokens
+
 from .conftest import frame
 
 
@@ -138,21 +141,58 @@ def test_simhash_odd(spark, odd, none):
     assert kept.count(1) == 1 and 2 not in kept and 11 not in kept and 4 not in kept and kept.count(None) == 1 and H.dedupe(odd).columns == odd.columns
 
 
+def slow_sentences(raw):
+    """(words, bytes) of the sentences, word by word."""
+    out, words, start = [], [], 0
+    found = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    for k, (a, b) in enumerate(found):
+        words.append(raw[a:b].lower())
+        following = found[k + 1][0] if k + 1 < len(found) else len(raw)
+        h = int(tokens([raw[a:b]])[3][0])
+        if raw[b - 1:b] in (b".", b"!", b"?") or b"\n" in raw[b:following] or (h >> 20) % Z.CUT == 0 or words[-2:-1] == words[-1:] or k and raw[slice(*found[k - 1])].lower() == words[-1] or k + 1 == len(found):
+            out.append((words, raw[start:following]))
+            words, start = [], following
+    return out
+
+
+def slow_runs(parts):
+    for i in range(len(parts)):
+        for j in range(i + Z.SPAN, len(parts) + 1):
+            flat = tuple(w for p in parts[i:j] for w in p[0])
+            if len(flat) >= Z.WORDS:
+                yield i, j, flat
+                break
+
+
 def test_sentences(spark, prose, odd, none):
-    docs = copies(prose, 4)
+    docs = copies(prose, 4) + [(5 * 10**8, "WORD!! OF!! THE!! " * 20), (5 * 10**8 + 1, "x y\n\n" + prose(60))]
     got = {r.doc_id: r for r in Z.dedupe(frame(spark, [(i, t, "s") for i, t in docs])).collect()}
     seen, removed = set(), 0
     for i, t in sorted(docs):
         raw, gone = t.encode(), set()
-        parts = Z.sentences(raw)
-        assert b"".join(raw[a:b] for a, b, _ in parts) == raw
-        for k, h in Z.runs(raw):
-            if h in seen:
-                gone |= {k, k + 1, k + 2}
-            seen.add(h)
-        kept = b"".join(raw[a:b] for j, (a, b, _) in enumerate(parts) if j not in gone)
+        parts = slow_sentences(raw)
+        assert b"".join(p[1] for p in parts) == raw or not parts
+        for a, b, flat in slow_runs(parts):
+            if flat in seen:
+                gone |= set(range(a, b))
+            seen.add(flat)
+        kept = b"".join(p[1] for j, p in enumerate(parts) if j not in gone) if gone else raw
         assert (got[i].n_removed, got[i].kept_sha256, got[i].text) == (len(gone), hashlib.sha256(kept).hexdigest(), kept.decode())
         removed += len(gone)
     assert removed
-    by = {r.doc_id: r for r in Z.dedupe(odd).collect()}
-    assert Z.dedupe(odd).count() == odd.count() and by[2].text == "" and by[3].text is None and by[1].n_removed == 0 and Z.dedupe(none).count() == 0
+    rows = Z.dedupe(odd).collect()
+    by = {r.doc_id: r for r in rows}
+    assert len(rows) == odd.count() and by[2].text == "" and by[3].text is None and by[1].n_removed == 0 and by[5].text.isspace() and Z.dedupe(none).count() == 0
+    assert by[None].n_removed == 0 and by[8].text == "one"
+
+
+def test_long_passages_are_caught(prose):
+    """A passage of over 50 words is found in any surroundings, most of it."""
+    for k in range(30):
+        passage, a, b = prose(55), prose(20), prose(33)
+        cases = [f"{a} {passage} {b}".encode(), f"{b[:-3]} {passage}".encode()]
+        hashes = []
+        for t in cases:
+            s = Z.split([t])
+            hashes.append({(int(h), int(g)) for h, g in zip(*Z.runs(s)[2:])})
+        assert hashes[0] & hashes[1], k
