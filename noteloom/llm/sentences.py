@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import BASE, BROADCAST_IDS, as_bytes, chunks, later, mix64, only_ids, powers, saved, stored, tokens
 
-SPAN, WORDS, CUT = 3, 12, 12
+SPAN, WORDS, CUT = 2, 12, 8
 _SECOND = 0xD1342543DE82EF95  # the other base of the run hashes
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
