@@ -49,7 +49,7 @@ def split(texts: list[bytes]) -> Sentences:
     after = starts + lengths
     following = np.r_[starts[1:], len(data) - 1]
     cut = _STOP[data[after - 1]] | (lines[following] > lines[after - 1]) | ((hashes >> np.uint64(20)) % np.uint64(CUT) == 0)
-    cut |= np.r_[False, hashes[1:] == hashes[:-1]]
+    cut |= np.r_[False, (hashes[1:] == hashes[:-1]) & (which[1:] == which[:-1])]
     cut |= np.r_[which[1:] != which[:-1], True]
     last = np.flatnonzero(cut) + 1
     first = np.r_[0, last[:-1]]

@@ -196,3 +196,13 @@ def test_long_passages_are_caught(prose):
             s = Z.split([t])
             hashes.append({(int(h), int(g)) for h, g in zip(*Z.runs(s)[2:])})
         assert hashes[0] & hashes[1], k
+
+
+def test_split_alone_and_together(prose):
+    texts = [t.encode() for t in ("a b same", "same c d e", "", "same same x", prose(30), "x", prose(50))]
+    both = Z.split(texts)
+    for i, t in enumerate(texts):
+        one = Z.split([t])
+        mine = both.text == i
+        assert list(zip(one.start, one.end)) == list(zip(both.start[mine], both.end[mine]))
+        assert [tuple(x)[2:] for x in zip(*Z.runs(one))] == [(h, g) for k, _, h, g in zip(*Z.runs(both)) if mine[k]]
