@@ -135,6 +135,17 @@ def traverse(c: Catalogue, starts: DataFrame) -> DataFrame:
         "wing", "room", "tunnel", "other", "hall", F.coalesce("drawers", F.lit(0)).cast("long").alias("drawers"))
 
 
+def lookup(c: Catalogue, rooms: DataFrame) -> DataFrame:
+    """(wing, room, there, path) for rooms asked for: a row for each drawer, one without a path if there are none."""
+    known = c.rooms.withColumn("_there", F.lit(True))
+    return rooms.join(known, ["wing", "room"], "left").join(c.drawers.select("wing", "room", "path"), ["wing", "room"], "left").select(
+        "wing", "room", F.coalesce("_there", F.lit(False)).alias("there"), "path")
+
+
+def by_room(tunnels: DataFrame, room: str) -> DataFrame:
+    return tunnels.where(F.col("room") == room)
+
+
 def room_counts(c: Catalogue) -> DataFrame:
     """(wing, room, drawers), rooms without drawers too."""
     n = c.drawers.groupBy("wing", "room").agg(F.count("*").alias("drawers"))

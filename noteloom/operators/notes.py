@@ -34,6 +34,11 @@ def excluding(notes: DataFrame, patterns=None) -> DataFrame:
     return notes.where(~hit)
 
 
+def has_links() -> F.Column:
+    """Whether a note links to anything."""
+    return F.size(T.link_targets("content")) > 0
+
+
 def links(notes: DataFrame) -> DataFrame:
     """(source, at, target): every link of every note in order."""
     return notes.select(F.col("rel_path").alias("source"), F.posexplode(T.link_targets("content")).alias("at", "target"))

@@ -206,5 +206,16 @@ O["write_routes"] = f"""SELECT vault, split_part(coalesce(file_path, concat(fold
 (SELECT *, {_SROUTE} AS vault FROM (SELECT content, tags, CASE WHEN doc_id % 2 = 0 THEN rel_path END AS file_path, {_PICK(3, R.UNKNOWN[2])} AS folder FROM ({_SCLS}) c) d) e GROUP BY 1, 2"""
 _C4 = "CASE WHEN ord % 4 = 0 THEN trim(substr(content, 1, 50), concat(' ', chr(10), chr(9), chr(13))) ELSE substr(content, 1, 500) END"
 O["section_extract"] = f"SELECT rel_path, CASE WHEN ord % 4 = 0 AND {_C4} = '' THEN substr(concat('intro', chr(10), '## Current Focus', chr(10), substr(content, 1, 50), chr(10), '## Next', chr(10), 'x'), 1, 500) ELSE {_C4} END AS focus FROM ({NOTES}) n"
+O["rpc_guard"] = f"""SELECT CASE WHEN turn % 4 = 2 THEN 'Unknown tool: rm' WHEN conv_id % 5 IN (0, 1) THEN 'Invalid vault_path' END AS error, CAST(least(conv_id * 40, 100) AS INT) AS "limit", count(*) AS requests
+FROM ({MSG}) m GROUP BY 1, 2"""
+_CHUNKED = """SELECT left(sha256(concat(path, ':', CAST(i AS VARCHAR))), 16) AS hash, path, CAST(i AS INT) AS chunk_index, t AS text FROM (SELECT path, i, array_to_string(w[i + 1:i + 512], ' ') AS t FROM
+(SELECT path, w, unnest(range(0, len(w), 512)) AS i FROM (SELECT rel_path AS path, {words} AS w FROM ({notes}) a WHERE {where}) b) c) d WHERE length(trim(t)) >= 20"""
+O["index_update"] = (_CHUNKED.format(words=_W("content"), notes=NOTES, where="ord % 10 NOT IN (0, 4)") + " UNION ALL "
+                     + _CHUNKED.format(words=_W("concat('rewritten ', content)"), notes=NOTES, where="ord % 10 = 0"))
+O["user_sessions"] = """SELECT user_id, min(ts) AS began, max(ts) AS last, count(*) AS messages FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM
+(SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events) a) b GROUP BY user_id, s"""
+O["notes_with_links"] = f"SELECT rel_path FROM ({NOTES}) n WHERE len({_RAWLINKS}) > 0"
+O["palace_point_lookup"] = f"""SELECT a.wing, a.room, r.wing IS NOT NULL AS there, d.path FROM (SELECT wing, room FROM ({R_}) x WHERE length(wing) % 3 = 0 UNION ALL SELECT 'NOWHERE', 'x') a
+LEFT JOIN ({R_}) r ON r.wing = a.wing AND r.room = a.room LEFT JOIN ({D_}) d ON d.wing = a.wing AND d.room = a.room"""
 # "at" is a keyword of DuckDB; quoted, except in a message text
 ORACLE = {k: re.sub(r"\bat\b(?! least)", '"at"', v) for k, v in O.items()}

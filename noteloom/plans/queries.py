@@ -365,3 +365,41 @@ def section_extract(spark, d):
     """Sections of notes, or their start."""
     n = notes(spark, d).select("rel_path", F.expr("case when ord % 4 = 0 then concat('intro\n## Current Focus\n', substr(content, 1, 50), '\n## Next\nx') else content end").alias("content"))
     return n.select("rel_path", T.section_or_start("content", "Current Focus").alias("focus"))
+
+
+@query
+def rpc_guard(spark, d):
+    """The guard in front of the tools, over many requests."""
+    from .. import rpc
+
+    m = messages(spark, d).select("conv_id", "turn", F.expr("case turn % 4 when 0 then 'ao_search' when 1 then 'ao_classify' when 2 then 'rm' else 'ao_status' end").alias("name"),
+                                  F.expr("map('vault_path', case conv_id % 5 when 0 then '/' when 1 then 'a/../b' else 'vault' end, 'limit', cast(conv_id * 40 as string))").alias("arguments"))
+    return rpc.guarded(m).groupBy("error", "limit").agg(F.count("*").alias("requests"))
+
+
+@query
+def index_update(spark, d):
+    """Chunks after some notes were written anew and others removed."""
+    n = notes(spark, d)
+    new = n.where("ord % 10 = 0").withColumn("content", F.concat(F.lit("rewritten "), "content"))
+    return S.update_chunks(S.chunk(n), new, n.where("ord % 10 = 4").select(F.col("rel_path").alias("path")))
+
+
+@query
+def user_sessions(spark, d):
+    """Sessions of users by gaps of half an hour."""
+    from ..streaming import streams
+
+    return streams.session_counts(spark.read.parquet(f"{d}/events.parquet")).select("user_id", F.col("session.start").alias("began"), "last", "messages")
+
+
+@query
+def notes_with_links(spark, d):
+    return notes(spark, d).where(N.has_links()).select("rel_path")
+
+
+@query
+def palace_point_lookup(spark, d):
+    """Drawers of given rooms; rooms that aren't there have none."""
+    asked = X.frame(spark, d, X.ROOMS).where("length(wing) % 3 = 0").union(spark.createDataFrame([("NOWHERE", "x")], "wing string, room string"))
+    return C.lookup(catalogue(spark, d), asked)

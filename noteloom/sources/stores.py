@@ -84,7 +84,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame | None:
     """Chunks of a JSON index {"model", "chunks"}; None if it is missing or broken."""
     if not exists(spark, path):
         return None
-    doc = spark.read.schema(f"model string, chunks array<struct<hash:string,path:string,chunk_index:int,text:string,embedding:array<float>>>").option("multiLine", "true").json(path)
+    doc = spark.read.schema("model string, chunks array<struct<hash:string,path:string,chunk_index:int,text:string,embedding:array<float>>>").option("multiLine", "true").json(path)
     if doc.where("chunks is not null").limit(1).count() == 0:
         return None
     return doc.select(F.posexplode("chunks").alias("ord", "c")).select(F.col("ord").cast("long").alias("ord"), "c.*")
@@ -121,6 +121,12 @@ def write_notes(notes: DataFrame, root: str) -> None:
     notes.select("rel_path", "content", *keys).foreachPartition(save)
 
 
+def copy_routed(routed: DataFrame, shared: str, personal: str) -> None:
+    """Notes with vault written to the one or the other vault."""
+    for name, root in (("shared", shared), ("personal", personal)):
+        write_notes(routed.where(F.col("vault") == name), root)
+
+
 @dataclass
 class VaultConfig:
     """Two vaults and how contents are told apart."""
