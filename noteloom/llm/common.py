@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -157,10 +158,26 @@ def only_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
 
 
+_STORED: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def remove_stored() -> None:
+    """Deletes the tables that stored() has written; results that still read them can't be read again. Runs at exit as well."""
+    while _STORED:
+        spark, path = _STORED.pop()
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session has ended
+            return
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written once as Parquet into the shared checkpoint folder, and read from there."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STORED.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

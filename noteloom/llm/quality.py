@@ -133,7 +133,7 @@ def held_out(doc_id):
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """A machine from at most sample labelled documents that aren't held out. Of repeated labels of one id the highest
-    counts; of repeated documents each counts."""
+    counts, and of repeated documents one."""
     chosen = (
         labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -153,11 +153,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
                     pa.array(label[a:b], pa.int32())], ["idx", "x", "stats", "label"])
 
     got = (
-        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
         .select("text", F.col("quality").cast("int").alias("label"))
         .mapInArrow(run, "idx binary, x binary, stats binary, label int").collect()
     )
-    rows = sorted((bytes(r[0]), bytes(r[1]), bytes(r[2]), r[3]) for r in got)[: 2 * sample]
+    rows = sorted((bytes(r[0]), bytes(r[1]), bytes(r[2]), r[3]) for r in got)
     return fit([(np.frombuffer(i, np.uint16), np.frombuffer(x, np.float32), np.frombuffer(s, np.float64), int(y > 0)) for i, x, s, y in rows])
 
 
