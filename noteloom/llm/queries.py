@@ -51,4 +51,4 @@ def op10_sentences(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_suffixes, op2_quality, op3_styletree, op4_decontaminate, op5_ngram, op6_perspectives, op7_simhash, op8_mix, op9_neighbours, op10_sentences)}
-ORACLE = {"op4_decontaminate": decontaminate.ORACLE, "op6_perspectives": perspectives.ORACLE, "op8_mix": mixing.ORACLE}
+ORACLE = {"op1_suffixes": suffixes.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op6_perspectives": perspectives.ORACLE, "op8_mix": mixing.ORACLE}

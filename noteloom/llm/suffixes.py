@@ -325,3 +325,20 @@ def dedupe(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFra
         F.col("_cut_text").alias("text") if c == "text"
         else F.length("_cut_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars"
         else F.col(c) for c in docs.columns]))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, i, md5(hex(b[i + 1:i + 100])) AS h FROM (SELECT doc_id, b, unnest(range(0, n - 99)) AS i FROM d) x),
+r AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS rn FROM w) y WHERE rn > 1),
+g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM
+  (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new FROM r) z),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS e FROM g GROUP BY doc_id, run),
+k AS (SELECT doc_id, e AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS e FROM s
+  UNION ALL SELECT doc_id, 0, min(a) FROM s GROUP BY doc_id),
+t AS (SELECT k.doc_id, string_agg(hex(b[k.a + 1:coalesce(k.e, n)]), '' ORDER BY k.a) AS kept FROM k JOIN d ON d.doc_id = k.doc_id GROUP BY k.doc_id),
+c AS (SELECT doc_id, sum(e - a) AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN t.doc_id IS NULL THEN b ELSE unhex(kept) END) AS kept_sha256
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+"""
