@@ -14,8 +14,8 @@ all occurrences that share the next r bytes. Within a node, the left contexts ar
 (from the anchor backwards): a class that shares l bytes is a maximal repeat of l + r bytes with all its occurrences, left- and
 right-diverse. If it has LENGTH bytes or more, all but its first occurrence are removed.
 
-An anchor with more than GROUP different
-contexts is not gathered: its windows are hashed and reduced to their first places by a plain aggregation.
+The contexts of an anchor with more than GROUP
+different ones are not dealt by anchor: their windows are reduced to their first places by an aggregation.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from .common import BASE, BROADCAST_IDS, as_bytes, chunks, later, mix64, only_id
 LENGTH = 100
 K = 32
 #: Different contexts of an anchor that are compared in memory (about 200 bytes each); more are aggregated.
-GROUP = 100_000
+GROUP = 20_000
 _PIECE = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 _BASE = np.uint64(BASE)
@@ -143,44 +143,40 @@ def repeats(group: list[tuple[bytes, bytes, tuple]], length: int) -> list[tuple[
     return [(o, a, b) for o, (a, b) in widest.items()]
 
 
-def _scan(length: int, most: int):
-    """Streams a partition sorted by anchor, right, left, doc and place; gives spans, and the contexts of overfull anchors."""
+def _scan(length: int):
+    """Streams a partition sorted by anchor, right, left, doc and place; gives spans, and the contexts of anchors with many as they are."""
 
     def run(batches):
-        anchor, group, over, last = None, [], False, None
-        spans, left_over = [], []
+        anchor, group, last = None, [], None
+        spans, rest = [], []
 
         def close():
-            nonlocal group
-            if len(group) > 1 and not over:
+            if len(group) > 1:
                 spans.extend((d, p - a, p + b) for (d, p), a, b in repeats(group, length))
-            group = []
+            group.clear()
 
         def flush():
-            rows = [(d, a, b, None) for d, a, b in spans] + left_over
+            rows = [(d, a, b, None) for d, a, b in spans] + rest
             spans.clear()
-            left_over.clear()
+            rest.clear()
             cols = list(zip(*rows)) if rows else [[], [], [], []]
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], ["doc_id", "a", "b", "bytes"])
 
         for batch in batches:
-            for h, d, p, right, left in zip(*(c.to_pylist() for c in batch.columns)):
+            for h, d, p, right, left, many in zip(*(c.to_pylist() for c in batch.columns)):
+                if many:
+                    rest.append((d, p, len(left), left[::-1] + right))
+                    continue
                 if h != anchor:
                     close()
-                    anchor, over, last = h, False, None
+                    anchor, last = h, None
                 if last is not None and last[0] == right and last[1] == left:
                     if (d, p) != last[2] and len(left) + len(right) >= length:
                         spans.append((d, p - len(left), p + len(right)))
                     continue
                 last = (right, left, (d, p))
-                if over:
-                    left_over.append((d, p, len(left), left[::-1] + right))
-                    continue
                 group.append(last)
-                if len(group) > most:
-                    left_over.extend((o[0], o[1], len(lf), lf[::-1] + rt) for rt, lf, o in group)
-                    group, over = [], True
-            if len(spans) + len(left_over) > 20_000:
+            if len(spans) + len(rest) > 20_000:
                 yield flush()
         close()
         yield flush()
@@ -231,7 +227,8 @@ def removals(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataF
     repeated = (
         found.withColumn("first", first).withColumn("lo", F.min(place("c")).over(anchor)).withColumn("hi", F.max(place("c")).over(anchor))
         .where("not first or lo <> hi")
-        .groupBy("doc_id").agg(F.collect_set(F.when(F.col("first"), F.struct("at", "h"))).alias("ask"),
+        .withColumn("many", F.count_if("first").over(anchor) > group)
+        .groupBy("doc_id").agg(F.collect_set(F.when(F.col("first"), F.struct("at", "h", "many"))).alias("ask"),
                                F.collect_set(F.when(~F.col("first"), F.col("at"))).alias("cut"))
     )
     repeated = stored(repeated)
@@ -241,17 +238,19 @@ def removals(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataF
         for batch in batches:
             for d, text, ask in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist()):
                 spots = [(x["h"], x["at"] >> 16, x["at"] >> 8 & 255, x["at"] & 255) for x in ask]
+                many = [x["many"] for x in ask]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([x[0] for x in spots], pa.int64()), pa.array([d] * len(spots), pa.int64()), pa.array([x[1] for x in spots], pa.int64()),
                     pa.array([text[p:p + n] for _, p, _, n in spots], pa.binary()),
-                    pa.array([text[p - n:p][::-1] for _, p, n, _ in spots], pa.binary())], ["h", "doc_id", "p", "right", "left"])
+                    pa.array([text[p - n:p][::-1] for _, p, n, _ in spots], pa.binary()), pa.array(many, pa.bool_())], ["h", "doc_id", "p", "right", "left", "many"])
 
     suffixes = (
         texts.join(repeated.where("size(ask) > 0"), "doc_id").select("doc_id", "text", "ask")
-        .mapInArrow(around, "h bigint, doc_id bigint, p bigint, right binary, left binary")
-        .repartition(shuffle_parts(docs.sparkSession), "h").sortWithinPartitions("h", "right", "left", "doc_id", "p")
+        .mapInArrow(around, "h bigint, doc_id bigint, p bigint, right binary, left binary, many boolean")
+        .withColumn("deal", F.when(F.col("many"), F.xxhash64("doc_id", "p")).otherwise(F.col("h")))
+        .repartition(shuffle_parts(docs.sparkSession), "deal").drop("deal").sortWithinPartitions("h", "right", "left", "doc_id", "p")
     )
-    decided = stored(suffixes.mapInArrow(_scan(length, group), "doc_id bigint, a bigint, b bigint, bytes binary"))
+    decided = stored(suffixes.mapInArrow(_scan(length), "doc_id bigint, a bigint, b bigint, bytes binary"))
     direct = decided.where("bytes is null").select("doc_id", "a", "b")
     if decided.where("bytes is not null").limit(1).count():
         over = decided.where("bytes is not null").mapInArrow(_windows(length), "w binary, doc_id bigint, a bigint")
