@@ -54,8 +54,7 @@ class Memory:
         self.facts.write(K.invalidate(self.facts.read(), closes, self.today))
 
     def kg_query(self, entity: str, as_of: str | None = None) -> DataFrame:
-        keys = self.spark.createDataFrame([(entity, as_of)], "entity string, as_of string")
-        return K.ordered(K.as_of(self.facts.read(), keys, self.today).select(*K.RESULT))
+        return K.ordered(K.of_entity(self.facts.read(), entity, as_of or self.today))
 
     def kg_relation(self, subject: str, predicate: str) -> DataFrame:
         return self.facts.read().where((F.col("subject") == subject) & (F.col("predicate") == predicate)).select(*K.RESULT)

@@ -65,11 +65,15 @@ def invalidate(triples: DataFrame, closes: DataFrame, today: str) -> DataFrame:
 
 
 def touching(triples: DataFrame, keys: DataFrame, entity: str = "entity") -> DataFrame:
-    """keys joined to the facts they are an end of: two equi-joins, a fact with both ends equal once. (One join on
-    'subject or object' would be a cartesian product.)"""
-    out = keys.join(triples, F.col(entity) == F.col("subject"))
-    back = keys.join(triples.where("subject <> object"), F.col(entity) == F.col("object"))
-    return out.union(back)
+    """keys joined to the facts they are an end of: each fact stands once for each of its different ends, so it is one equi-join over
+    one pass of the facts. (A join on 'subject or object' would be a cartesian product.)"""
+    ends = triples.withColumn("_end", F.explode(F.array_distinct(F.array("subject", "object"))))
+    return keys.join(ends, F.col(entity) == F.col("_end")).drop("_end")
+
+
+def of_entity(triples: DataFrame, entity: str, day: str) -> DataFrame:
+    """One entity's facts on one day: a filter that reaches the scan."""
+    return triples.where(((F.col("subject") == entity) | (F.col("object") == entity)) & holds(F.lit(day))).select(*RESULT)
 
 
 def holds(day) -> F.Column:

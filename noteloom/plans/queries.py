@@ -34,16 +34,22 @@ def days(spark):
     return spark.range(1, 31).select(F.format_string("2024-01-%02d", "id").alias("as_of"))
 
 
-def users(spark, d, column="subject"):
-    return windows(spark, d).select(F.col(column).alias("entity")).distinct()
+def users(triples, column="subject"):
+    return triples.select(F.col(column).alias("entity")).distinct()
+
+
+def both_ends(triples):
+    """Different entities with whether they are users, in one pass."""
+    end = lambda c, user: F.struct(F.col(c).alias("entity"), F.lit(user).alias("user"))
+    return triples.select(F.explode(F.array(end("subject", True), end("object", False))).alias("e")).select("e.*").distinct()
 
 
 @query
 def kg_asof_facts(spark, d):
     """Flagship: for every tenth user, and every object, the facts that hold on three days."""
     t = windows(spark, d)
-    keys = users(spark, d).where("cast(split(entity, ':')[1] as int) % 10 = 0").union(users(spark, d, "object"))
-    keys = keys.withColumn("as_of", F.explode(F.lit(["2024-01-05", "2024-01-15", ""])))
+    keys = both_ends(t).where("not user or cast(split(entity, ':')[1] as int) % 10 = 0")
+    keys = keys.select("entity", F.explode(F.lit(["2024-01-05", "2024-01-15", ""])).alias("as_of"))
     return K.as_of(t, keys, X.TODAY)
 
 
@@ -73,13 +79,15 @@ def kg_asof_grid(spark, d):
 
 @query
 def kg_relation(spark, d):
-    keys = users(spark, d).where("cast(split(entity, ':')[1] as int) % 5 = 0").select(F.col("entity").alias("subject"), F.lit("click").alias("predicate"))
-    return K.relation(windows(spark, d), keys)
+    t = windows(spark, d)
+    keys = users(t).where("cast(split(entity, ':')[1] as int) % 5 = 0").select(F.col("entity").alias("subject"), F.lit("click").alias("predicate"))
+    return K.relation(t, keys)
 
 
 @query
 def kg_timeline(spark, d):
-    return K.timeline(windows(spark, d), users(spark, d).union(users(spark, d, "object")))
+    t = windows(spark, d)
+    return K.timeline(t, both_ends(t))
 
 
 @query
