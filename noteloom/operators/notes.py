@@ -67,7 +67,9 @@ def resolve(notes: DataFrame, found: DataFrame | None = None) -> DataFrame:
 
 def orphans(notes: DataFrame) -> DataFrame:
     """Notes that no link resolves to (a link from a note to itself counts), without the entry notes."""
-    linked = resolve(notes).where("path is not null").select(F.col("path").alias("rel_path")).distinct()
+    # different targets only: a popular one is resolved once, and is reduced before the shuffle
+    targets = links(notes).select("target").distinct().select(F.lit("").alias("source"), F.lit(0).alias("at"), "target")
+    linked = resolve(notes, targets).where("path is not null").select(F.col("path").alias("rel_path")).distinct()
     return notes.join(linked, "rel_path", "left_anti").where(~F.col("name").isin(ENTRY))
 
 
