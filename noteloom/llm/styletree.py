@@ -3,8 +3,9 @@
 The pages of a host are merged into one style tree: a node for each path of tags and classes from the body down. Of a node we
 know on how many pages it stands, with which presentations (the tags right below it) and with which content. Its
 importance is the entropy of each of the two over the host's pages, to the base of the number of pages: near 0 for what every page
-repeats in the same form, near 1 for what differs from page to page. The tree is held as counts by host, node and
-feature, added up before they are shuffled, so no task holds a host.
+repeats in the same form, near 1 for what differs from page to page. Copies of a page
+count once, so they don't make its text unimportant. The tree is held as counts by host, node and feature, added up before they are
+shuffled, so no task holds a host.
 
 A branch of a page is removed if its kind says that it is no main text (menus, headers, footers, sidebars, notices,
 adverts, forms, comments), or if its node has low importance on a host with enough pages. If a page has an article or
@@ -224,11 +225,14 @@ def low_nodes(pages: DataFrame, importance: float = IMPORTANCE, least: int = PAG
         for batch in batches:
             hosts, rows = batch.column(0).to_pylist(), []
             for host, raw in zip(hosts, as_bytes(batch.column(1))):
-                rows += [(host, *x) for x in features(raw.decode("utf-8", "replace"))]
-            cols = list(zip(*rows)) if rows else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64())], ["host", "path", "kind", "feature"])
-
-    counts = pages.select("host", "html").mapInArrow(run, "host string, path bigint, kind int, feature bigint").groupBy("host", "path", "kind", "feature").count()
+                page = xxhash.xxh64_intdigest(raw) - (1 << 63)
+                rows += {(host, page, *x) for x in features(raw.decode("utf-8", "replace"))}
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["host", "page", "path", "kind", "feature"])
+
+    found = pages.select("host", "html").mapInArrow(run, "host string, page bigint, path bigint, kind int, feature bigint").distinct()
+    counts = found.groupBy("host", "path", "kind", "feature").count()
     n, c = F.sum("count"), F.col("count")
     spread = counts.groupBy("host", "path", "kind").agg(n.alias("n"), (F.log(n) - F.sum(c * F.log(c)) / n).alias("entropy"))
     judged = spread.where(F.col("n") >= least).withColumn("importance", F.col("entropy") / F.log("n"))

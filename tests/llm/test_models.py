@@ -234,6 +234,8 @@ def test_style_tree_importance(spark):
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     got = {r.page_id: r for r in S.main_text(df.selectExpr("*", "'x' as host", "1 as low")).collect()}
     assert got[3].text == "Story 23757 begins and 23757 ends" and got[3].n_chars == len(got[3].text)
+    copies = spark.createDataFrame([(i, "http://c.example/", page.format(5)) for i in range(30)], "page_id bigint, url string, html string")
+    assert {r.text for r in S.main_text(copies).collect()} == {"Same line on all Story 5 begins and 5 ends Read more"}
     assert got[90].text == got[91].text == "" and got[92].text.startswith("Same line") and S.main_text(df).count() == len(rows) and S.main_text(df.limit(0)).count() == 0
 
 
