@@ -107,7 +107,7 @@ class Memory:
 
     def search(self, query: str, limit: int = 5, hybrid: bool = True, wing: str | None = None, room: str | None = None) -> DataFrame:
         asked = self.spark.createDataFrame([(0, query)], "qid int, query string")
-        chunks = self.chunks.read().withColumn("ord", F.xxhash64("path", "chunk_index"))
+        chunks = self.chunks.read().withColumn("ord", F.struct("path", "chunk_index"))
         if self.chunks.current() is None:
             found = S.keyword_lines(self.notes(), asked, limit)
         elif self.embed is None:

@@ -78,7 +78,7 @@ def cosine(a, b) -> F.Column:
 def best_by_path(scored: DataFrame, limit: int) -> DataFrame:
     """Of (qid, path, ord, score, ...) the best chunk of each path, then the best paths; ties in chunk order. The best of a path is an
     aggregate, so each task sends one row for each query and path."""
-    best = F.max_by(F.struct("content_excerpt", "score", "match_type", "ord"), F.struct("score", -F.col("ord"))).alias("r")
+    best = F.min_by(F.struct("content_excerpt", "score", "match_type", "ord"), F.struct(-F.col("score"), F.col("ord"))).alias("r")
     one = scored.groupBy("qid", "path").agg(best).select("qid", "path", "r.*")
     return first_by(one, [F.col("score").desc(), "ord"], limit)
 
