@@ -46,7 +46,7 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
-def chunks(texts: list[bytes], limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts hold about limit bytes; a longer text stands alone."""
     start = size = 0
     for i, t in enumerate(texts):

@@ -33,7 +33,7 @@ LENGTH = 100
 K = 32
 #: Different contexts of an anchor that are compared in memory (about 200 bytes each); more are aggregated.
 GROUP = 20_000
-_PIECE = 1 << 20
+_PIECE = 1 << 19
 _PLACE = np.uint64((1 << 24) - 1)
 _BASE = np.uint64(BASE)
 _BYTE = np.random.default_rng(5).integers(0, 1 << 64, 256, np.uint64)
