@@ -8,8 +8,10 @@ count once, so they don't make its text unimportant. The tree is held as counts
 shuffled, so no task holds a host.
 
 A branch of a page is removed if its kind says that it is no main text (menus, headers, footers, sidebars, notices,
-adverts, forms, comments), or if its node has low importance on a host with enough pages. If a page has an article or
-main element, the style tree's importance speaks of what is outside only: copies of a whole page don't make its article unimportant.
+adverts, forms, comments), or if its node has low importance on a host with enough pages. If a page has article or main
+elements, their branches are judged alike, where copies of one element's text count once, and so pages that
+differ around it only don't make it unimportant; such an element itself and what holds it always stay. Beside these elements a branch stays if
+its node is judged and of importance; what isn't judged there goes.
 """
 
 from __future__ import annotations
@@ -157,31 +159,47 @@ def _hash(x: str) -> int:
     return xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def style_nodes(node: Node, mains: list[Node], path: str = "", depth: int = 0) -> Iterator[tuple[int, Node]]:
-    """(path hash, node) of the style tree's nodes: elements outside the main ones, down to the first with text of its own."""
+def style_nodes(node: Node, mains: set[int], path: str = "", depth: int = 0, main: Node | None = None) -> Iterator[tuple[int, Node, Node | None]]:
+    """(path hash, node, main element around it) of the style tree's nodes. mains: ids of the main elements, which are no nodes themselves."""
     for kid in node.kids:
-        if isinstance(kid, Node) and kid not in mains and kid.tag in BLOCK:
-            here = f"{path}/{kid.kind}"
-            if kid.tag not in ("html", "body") and not kid.noise:
-                yield _hash(here), kid
+        if isinstance(kid, Node) and kid.tag in BLOCK:
+            top = id(kid) in mains
+            here = f"{path}/{'!' if top else ''}{kid.kind}"
+            if kid.tag not in ("html", "body") and not kid.noise and not top:
+                yield _hash(here), kid, main
             if depth < 40:
-                yield from style_nodes(kid, mains, here, depth + 1)
+                yield from style_nodes(kid, mains, here, depth + 1, kid if top else main)
 
 
-def features(page: str) -> Iterator[tuple[int, int, int]]:
-    """(path, 0, presentation) and (path, 1, content) of a page's style nodes."""
+def _content(node: Node) -> int:
+    parts: list[str] = []
+    _text(node, parts)
+    return _hash(" ".join(html.unescape("".join(parts)).split()))
+
+
+def features(page: str) -> Iterator[tuple[int | None, int, int, int]]:
+    """(None, path, 0, presentation) and (None, path, 1, content) of a page's style nodes; inside a main element
+    (its content, path, 2, presentation) and (its content, path, 3, content)."""
     root = parse(page)
-    for path, node in style_nodes(root, _main(root)):
-        parts: list[str] = []
-        _text(node, parts)
-        yield path, 0, _hash(" ".join(k.kind for k in node.kids if isinstance(k, Node)))
-        yield path, 1, _hash(" ".join(html.unescape("".join(parts)).split()))
+    mains = {id(m): _content(m) for m in _main(root)}
+    for path, node, main in style_nodes(root, set(mains)):
+        key, kind = (None, 0) if main is None else (mains[id(main)], 2)
+        yield key, path, kind, _hash(" ".join(k.kind for k in node.kids if isinstance(k, Node)))
+        yield key, path, kind + 1, _content(node)
 
 
-def extract(page: str, low: frozenset[int] | set[int] = frozenset()) -> str:
-    """The main text of a page, with the branches of low importance removed."""
+def extract(page: str, low: frozenset[int] | set[int] = frozenset(), high: frozenset[int] | set[int] = frozenset()) -> str:
+    """The main text of a page, with the branches of low importance removed and those of high importance beside main elements kept."""
     root = parse(page)
     mains = _main(root)
+    tops, around = {id(m) for m in mains}, set()
+    for node in mains:
+        while node is not None and id(node) not in around:
+            around.add(id(node))
+            node = node.parent
+    judged = [(path, id(n)) for path, n, _ in style_nodes(root, tops) if id(n) not in around] if low or high else []
+    dropped = {n for path, n in judged if path in low}
+    tops |= {n for path, n in judged if path in high}
     blocks: list[str] = []
     run: list[str] = []
 
@@ -191,24 +209,21 @@ def extract(page: str, low: frozenset[int] | set[int] = frozenset()) -> str:
         if text:
             blocks.append(text)
 
-    def walk(node: Node, dropped: set[int], depth: int) -> None:
+    def walk(node: Node, inside: bool) -> None:
         for kid in node.kids:
             if isinstance(kid, str):
-                run.append(kid)
-            elif not kid.noise and id(kid) not in dropped:
+                if inside:
+                    run.append(kid)
+            elif not kid.noise:
                 block = kid.tag in BLOCK
                 if block:
                     close()
-                walk(kid, dropped, depth + 1)
+                if id(kid) not in dropped:
+                    walk(kid, inside or id(kid) in tops)
                 if block:
                     close()
 
-    if mains:
-        for node in mains:
-            close()
-            walk(node, set(), 0)
-    else:
-        walk(root, {id(n) for path, n in style_nodes(root, mains) if path in low} if low else set(), 0)
+    walk(root, not mains)
     close()
     return " ".join(blocks)
 
@@ -219,14 +234,15 @@ def host_of(url) -> F.Column:
 
 
 def low_nodes(pages: DataFrame, importance: float = IMPORTANCE, least: int = PAGES) -> DataFrame:
-    """(host, low): the paths of a host's style nodes whose presentation and content are both of low importance. pages: host, html."""
+    """(host, low, high): the paths of a host's style nodes whose presentation and content are both of low importance, and the paths of
+    the other judged ones outside main elements. pages: host, html."""
 
     def run(batches):
         for batch in batches:
             hosts, rows = batch.column(0).to_pylist(), []
             for host, raw in zip(hosts, as_bytes(batch.column(1))):
                 page = xxhash.xxh64_intdigest(raw) - (1 << 63)
-                rows += {(host, page, *x) for x in features(raw.decode("utf-8", "replace"))}
+                rows += {(host, page if key is None else key, *x) for key, *x in features(raw.decode("utf-8", "replace"))}
             cols = list(zip(*rows)) if rows else [[]] * 5
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["host", "page", "path", "kind", "feature"])
@@ -236,9 +252,11 @@ def low_nodes(pages: DataFrame, importance: float = IMPORTANCE, least: int = PAG
     n, c = F.sum("count"), F.col("count")
     spread = counts.groupBy("host", "path", "kind").agg(n.alias("n"), (F.log(n) - F.sum(c * F.log(c)) / n).alias("entropy"))
     judged = spread.where(F.col("n") >= least).withColumn("importance", F.col("entropy") / F.log("n"))
+    nodes = judged.groupBy("host", "path").agg(F.max("importance").alias("importance"), F.max("kind").alias("kind"))
+    small = F.col("importance") < importance
     return (
-        judged.groupBy("host", "path").agg(F.max("importance").alias("importance")).where(F.col("importance") < importance)
-        .groupBy("host").agg(F.collect_list("path").alias("low"))
+        nodes.where(small | (F.col("kind") < 2))
+        .groupBy("host").agg(F.collect_list(F.when(small, F.col("path"))).alias("low"), F.collect_list(F.when(~small, F.col("path"))).alias("high"))
     )
 
 
@@ -249,12 +267,13 @@ def main_text(pages: DataFrame) -> DataFrame:
     repeated rows give equal rows and count as pages of their own; an empty table gives no rows; other columns are ignored."""
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
     low = saved(low_nodes(rows)).withColumnRenamed("host", "low_host")
-    few = low.agg(F.coalesce(F.sum(F.size("low")), F.lit(0))).first()[0] <= BROADCAST_IDS
-    joined = rows.join(F.broadcast(low) if few else low, F.col("host") == F.col("low_host"), "left").select("page_id", "url", "html", "low")
+    few = low.agg(F.coalesce(F.sum(F.size("low") + F.size("high")), F.lit(0))).first()[0] <= BROADCAST_IDS
+    joined = rows.join(F.broadcast(low) if few else low, F.col("host") == F.col("low_host"), "left").select("page_id", "url", "html", "low", "high")
 
     def run(batches):
         for batch in batches:
-            texts = [extract(raw.decode("utf-8", "replace"), set(low or ())) for raw, low in zip(as_bytes(batch.column(2)), batch.column(3).to_pylist())]
+            judged = zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())
+            texts = [extract(raw.decode("utf-8", "replace"), set(low or ()), set(high or ())) for raw, (low, high) in zip(as_bytes(batch.column(2)), judged)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()

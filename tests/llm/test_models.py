@@ -239,6 +239,16 @@ def test_style_tree_importance(spark):
     assert got[90].text == got[91].text == "" and got[92].text.startswith("Same line") and S.main_text(df).count() == len(rows) and S.main_text(df.limit(0)).count() == 0
 
 
+def test_style_tree_judges_articles(spark):
+    """Repeated blocks inside an article go, what differs beside it stays, and copies of an article under other frames keep it."""
+    page = "<body><div class='wrap'><article class='teaser'><h2>Teaser {0}</h2><div class='box'>Same line on all</div></article><div class='body'><p>Story {0} begins</p><p>and {0} ends</p></div><div class='end'>Read more</div></div></body>"
+    framed = "<body><div class='hits'>Seen by {0}</div><div class='wrap'><article><p>One story</p><p>for all</p></article></div></body>"
+    rows = [(i, f"http://h.example/{i}", page.format(i * 7919)) for i in range(12)] + [(50 + i, f"http://f.example/{i}", framed.format(i)) for i in range(12)] + [(90, "http://o.example/", page.format(1))]
+    got = {r.page_id: r.text for r in S.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[3] == "Teaser 23757 Story 23757 begins and 23757 ends"
+    assert got[53] == "Seen by 3 One story for all" and got[90] == "Teaser 1 Same line on all"
+
+
 def test_perspectives(spark):
     rows = [(1, 0, "system", "Be kind"), (1, 1, "ann", "Hi"), (1, 2, "bob", None), (1, 3, "ann", "Bye"), (2, 0, "system", "x"), (3, 0, None, "who"), (3, 1, "ann", "é"), (3, 1, "ann", "é"), (None, 0, "ann", "n")]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
