@@ -6,6 +6,7 @@ import re
 
 from ..functions import rules as R
 from . import fixtures as X
+from .queries import CUT_TEXTS
 
 _D = X.duck
 RAW, WIN, NOTES_ALL = _D(X.TRIPLES_RAW), _D(X.TRIPLES), _D(X.NOTES)
@@ -217,5 +218,13 @@ O["user_sessions"] = """SELECT user_id, min(ts) AS began, max(ts) AS last, count
 O["notes_with_links"] = f"SELECT rel_path FROM ({NOTES}) n WHERE len({_RAWLINKS}) > 0"
 O["palace_point_lookup"] = f"""SELECT a.wing, a.room, r.wing IS NOT NULL AS there, d.path FROM (SELECT wing, room FROM ({R_}) x WHERE length(wing) % 3 = 0 UNION ALL SELECT 'NOWHERE', 'x') a
 LEFT JOIN ({R_}) r ON r.wing = a.wing AND r.room = a.room LEFT JOIN ({D_}) d ON d.wing = a.wing AND d.room = a.room"""
+def _whole(sql: str) -> str:
+    """The SQL over fixtures with whole texts."""
+    for cut, text in X.WHOLE.items():
+        sql = sql.replace(_D(cut), _D(text))
+    return sql
+
+
+O.update({f"{n}_whole": _whole(O[n]) for n in CUT_TEXTS})
 # "at" is a keyword of DuckDB; quoted, except in a message text
 ORACLE = {k: re.sub(r"\bat\b(?! least)", '"at"', v) for k, v in O.items()}

@@ -411,3 +411,26 @@ def palace_point_lookup(spark, d):
     """Drawers of given rooms; rooms that aren't there have none."""
     asked = X.frame(spark, d, X.ROOMS).where("length(wing) % 3 = 0").union(spark.createDataFrame([("NOWHERE", "x")], "wing string, room string"))
     return C.lookup(catalogue(spark, d), asked)
+
+
+#: Queries over cut texts; each is registered once more, as *_whole, over whole ones.
+CUT_TEXTS = [
+    *"content_redact content_route content_export_preview content_import migrate_counts write_routes msg_classify msg_routing msg_hook msg_rule_scores".split(),
+    *[n for n in QUERIES if n.startswith(("notes_", "kg_populate"))], "sync_counts", "index_update",
+]
+
+
+def whole(f):
+    """The query in its whole form."""
+
+    def run(spark, d):
+        token = X.whole.set(True)
+        try:
+            return f(spark, d)
+        finally:
+            X.whole.reset(token)
+
+    return run
+
+
+QUERIES.update({f"{n}_whole": whole(QUERIES[n]) for n in CUT_TEXTS})
