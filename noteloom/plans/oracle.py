@@ -6,7 +6,7 @@ import re
 
 from ..functions import rules as R
 from . import fixtures as X
-from .queries import CUT_TEXTS
+from .queries import CUT_TEXTS, FEW_ASKED
 
 _D = X.duck
 RAW, WIN, NOTES_ALL = _D(X.TRIPLES_RAW), _D(X.TRIPLES), _D(X.NOTES)
@@ -226,5 +226,6 @@ def _whole(sql: str) -> str:
 
 
 O.update({f"{n}_whole": _whole(O[n]) for n in CUT_TEXTS})
+O.update({f"{n}_whole": O[n].replace("ord % 25 = 0 AND ord < 500", "ord % 20 = 0") for n in FEW_ASKED})
 # "at" is a keyword of DuckDB; quoted, except in a message text
 ORACLE = {k: re.sub(r"\bat\b(?! least)", '"at"', v) for k, v in O.items()}

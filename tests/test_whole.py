@@ -15,3 +15,15 @@ def test_whole_texts(spark, tmp_path):
     assert {r.target for r in run("notes_links_whole")} >= {"late3", "late6", "late7"}
     assert not any("[[late" in r.content for r in run("content_redact"))
     assert {r.message_type for r in run("msg_classify_whole")} == {"incident"}
+
+
+def test_whole_searches(spark, tmp_path):
+    """Every row whose id is divisible by 20 asks, beyond the ids of the small form and beyond one block."""
+    n = 300 * 20
+    docs = spark.range(n).selectExpr("id as doc_id", "concat('word', id, ' shared text') as text", "'en' as lang", "'web' as source", "0L as n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    near = "array(cast(cos(id) as float), cast(sin(id) as float), cast(id / 6000 as float))"
+    spark.range(n).selectExpr("id as vec_id", "cast(id % 10 as int) as label", f"{near} as embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    asked = lambda name: {r.qid for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert asked("search_vector_whole") == set(range(0, n, 20))
+    assert asked("search_vector") == set(range(0, 500, 25))
