@@ -6,7 +6,7 @@ import re
 
 from ..functions import rules as R
 from . import fixtures as X
-from .queries import CUT_TEXTS, FEW_ASKED
+from .queries import CUT_TEXTS, FEW_ASKED, FEW_KEYS
 
 _D = X.duck
 RAW, WIN, NOTES_ALL = _D(X.TRIPLES_RAW), _D(X.TRIPLES), _D(X.NOTES)
@@ -227,5 +227,19 @@ def _whole(sql: str) -> str:
 
 O.update({f"{n}_whole": _whole(O[n]) for n in CUT_TEXTS})
 O.update({f"{n}_whole": O[n].replace("ord % 25 = 0 AND ord < 500", "ord % 20 = 0") for n in FEW_ASKED})
+_FILTERS = [
+    f" WHERE {_TENTH.format(10)}", " WHERE predicate = 'click' AND CAST(split_part(subject, ':', 2) AS INT) % 5 = 0", " WHERE event_id < 40",
+    " WHERE length(s.wing) % 2 = 0", " WHERE length(wing) % 3 = 0",
+]
+
+
+def _all_keys(sql: str) -> str:
+    """The SQL without the filters of keys."""
+    for f in _FILTERS:
+        sql = sql.replace(f, "")
+    return sql
+
+
+O.update({f"{n}_whole": _whole(_all_keys(O[n])) for n in FEW_KEYS})
 # "at" is a keyword of DuckDB; quoted, except in a message text
 ORACLE = {k: re.sub(r"\bat\b(?! least)", '"at"', v) for k, v in O.items()}

@@ -27,3 +27,15 @@ def test_whole_searches(spark, tmp_path):
     asked = lambda name: {r.qid for r in QUERIES[name](spark, str(tmp_path)).collect()}
     assert asked("search_vector_whole") == set(range(0, n, 20))
     assert asked("search_vector") == set(range(0, 500, 25))
+
+
+def test_whole_keys(spark, tmp_path):
+    """All users and pairs are asked for, and the latest of all events is shown."""
+    rows = [(i, 100 + i % 7, ["click", "view"][i % 2], f'{{"k": {i}}}', 1.0, f"2024-01-{1 + i // 10:02d} 00:00:00") for i in range(100)]
+    events = spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, props string, value double, at string")
+    events.selectExpr("event_id", "cast(at as timestamp) as ts", "user_id", "event_type", "value", "props").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(1, "text", "en", "web", 4)], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    assert {f"user:{100 + i}" for i in range(7)} <= {r.entity for r in run("kg_asof_facts_whole")}
+    assert {(r.subject, r.predicate) for r in run("kg_relation_whole")} == {(f"user:{100 + i}", p) for i in range(7) for p in ("click", "view")}
+    assert any(r.line.startswith("- 63 ") for r in run("report_session_start_whole")) and not any(r.line.startswith("- 63 ") for r in run("report_session_start"))
