@@ -47,7 +47,7 @@ def op9_neighbours(spark, sf_dir):
 
 
 def op10_sentences(spark, sf_dir):
-    return sentences.dedupe(table(spark, sf_dir, "documents"))
+    return sentences.dedupe(table(spark, sf_dir, "documents"), every=True)
 
 
 QUERIES = {f.__name__: f for f in (op1_suffixes, op2_quality, op3_styletree, op4_decontaminate, op5_ngram, op6_perspectives, op7_simhash, op8_mix, op9_neighbours, op10_sentences)}

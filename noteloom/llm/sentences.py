@@ -3,8 +3,13 @@
 Texts are cut into sentences: after words that end in a full stop, exclamation or question mark, and at line ends; long ones
 are cut further after about every CUT-th word, chosen by the word's hash, and after a word said twice, so that equal passages are cut alike wherever they
 stand. Every run of consecutive sentences - at least SPAN, and as many as it takes to hold WORDS words - is hashed (128 bits over its
-lower-cased words), and the hashes are joined over the corpus. A sentence goes if a run that covers it also stands earlier: in a
+lower-cased words), and the hashes are grouped over the corpus. A sentence goes if a run that covers it also stands earlier: in a
 document of smaller doc_id, or further ahead in the same one.
+
+runs() has the shortest run from each sentence on; the last sentences of a repeated passage can stay. every_run() adds the shortest run up to
+each sentence, and so decides as all longer runs would: of a repeated run, a sentence whose shortest run from it on doesn't fit
+is in the shortest run up to it, or else in the one from the run's start. It adds the pairs of whole sentences - from one real end (a stop, line or text end)
+to the next - that hold fewer than WORDS words, and so finds repeats of two whole sentences or more of any length.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BASE, BROADCAST_IDS, as_bytes, chunks, later, mix64, only_ids, powers, saved, stored, tokens
@@ -28,7 +33,7 @@ _STOP[list(b".!?")] = True
 @dataclass
 class Sentences:
     """Sentences of several texts: text number, first and end byte in it (they make up the text), first word and word after the
-    last, and the hashes of all words."""
+    last, the hashes of all words, and whether the sentence ends at a stop, line or text end."""
 
     text: np.ndarray
     start: np.ndarray
@@ -36,6 +41,7 @@ class Sentences:
     first: np.ndarray
     last: np.ndarray
     words: np.ndarray
+    real: np.ndarray
 
 
 def split(texts: list[bytes]) -> Sentences:
@@ -43,14 +49,14 @@ def split(texts: list[bytes]) -> Sentences:
     which, starts, lengths, hashes = tokens(texts)
     none = np.zeros(0, np.int64)
     if not len(starts):
-        return Sentences(none, none, none, none, none, hashes)
+        return Sentences(none, none, none, none, none, hashes, none.astype(bool))
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     lines = np.cumsum(data == 10)
     after = starts + lengths
     following = np.r_[starts[1:], len(data) - 1]
-    cut = _STOP[data[after - 1]] | (lines[following] > lines[after - 1]) | ((hashes >> np.uint64(20)) % np.uint64(CUT) == 0)
+    real = _STOP[data[after - 1]] | (lines[following] > lines[after - 1]) | np.r_[which[1:] != which[:-1], True]
+    cut = real | ((hashes >> np.uint64(20)) % np.uint64(CUT) == 0)
     cut |= np.r_[False, (hashes[1:] == hashes[:-1]) & (which[1:] == which[:-1])]
-    cut |= np.r_[which[1:] != which[:-1], True]
     last = np.flatnonzero(cut) + 1
     first = np.r_[0, last[:-1]]
     text = which[first]
@@ -59,7 +65,7 @@ def split(texts: list[bytes]) -> Sentences:
     start = np.where(begins, 0, starts[first] - offset[text])
     size = np.array([len(t) for t in texts])
     end = np.where(np.r_[begins[1:], True], size[text], np.r_[start[1:], 0])
-    return Sentences(text, start, end, first, last, hashes)
+    return Sentences(text, start, end, first, last, hashes, real[last - 1])
 
 
 def runs(s: Sentences, span: int = SPAN, least: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -70,18 +76,40 @@ def runs(s: Sentences, span: int = SPAN, least: int = WORDS) -> tuple[np.ndarray
     i = i[after <= n]
     after = after[: len(i)] if len(i) == n else after[i]
     i, after = (x[s.text[i] == s.text[after - 1]] for x in (i, after)) if len(i) else (i, after)
+    return i, after, *_hashes(s, i, after)
+
+
+def every_run(s: Sentences, span: int = SPAN, least: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """runs(), the shortest run up to each sentence, and pairs of whole sentences of fewer words than least; each once."""
+    n = len(s.first)
+    i, after, _, _ = runs(s, span, least)
+    ends = np.arange(1, n + 1)
+    starts = np.minimum(ends - span, np.searchsorted(s.first, s.last - least, side="right") - 1)
+    stops = np.flatnonzero(s.real)
+    pairs, over = np.r_[0, stops[:-2] + 1][: max(len(stops) - 1, 0)], stops[1:] + 1
+    short = s.last[over - 1] - s.first[pairs] < least
+    i, after = np.r_[i, starts, pairs[short]], np.r_[after, ends, over[short]]
+    fits = (i >= 0) & (s.text[i] == s.text[after - 1]) if n else np.zeros(0, bool)
+    i, after = np.divmod(np.unique(i[fits] * (n + 1) + after[fits]), n + 1)
+    return i, after, *_hashes(s, i, after)
+
+
+def _hashes(s: Sentences, i: np.ndarray, after: np.ndarray) -> list[np.ndarray]:
     a, b = s.first[i], s.last[after - 1] if len(i) else i
     out = []
     for base in (BASE, _SECOND):
         sums = np.r_[np.uint64(0), np.cumsum(s.words * powers(len(s.words), base))]
         out.append(mix64((sums[b] - sums[a]) * powers(len(s.words) + 1, pow(base, -1, 1 << 64))[a] + (b - a).astype(np.uint64)))
-    return i, after, out[0], out[1]
+    return out
 
 
-def covered(docs: DataFrame, span: int = SPAN, least: int = WORDS) -> DataFrame:
-    """(doc_id, starts): the first sentences of the runs of a document that stand earlier as well. docs: doc_id long and text.
+def covered(docs: DataFrame, span: int = SPAN, least: int = WORDS, every: bool = False) -> DataFrame:
+    """(doc_id, runs): the runs of a document that stand earlier as well, as (first sentence) * (most + 1) + (number of sentences), where
+    most is the larger of span and least. docs: doc_id long and text.
 
-    What has an equal earlier in its batch of rows is settled before the shuffle."""
+    What has an equal earlier in its batch of rows is settled before the shuffle, and dealt by a key of its own; so a run
+    has a row for each batch at most in the group that settles it."""
+    find, code = every_run if every else runs, max(span, least) + 1
 
     def run(batches):
         for batch in batches:
@@ -89,45 +117,45 @@ def covered(docs: DataFrame, span: int = SPAN, least: int = WORDS) -> DataFrame:
             parts = []
             for a, b in chunks(texts):
                 s = split(texts[a:b])
-                i, _, h, g = runs(s, span, least)
+                i, after, h, g = find(s, span, least)
                 begin = np.searchsorted(s.text, np.arange(b - a))
-                parts.append((h, g, ids[a:b][s.text[i]], i - begin[s.text[i]]))
+                parts.append((h, g, ids[a:b][s.text[i]], (i - begin[s.text[i]]) * code + after - i))
             if not parts:
                 continue
             h, g, doc, at = (np.concatenate(x) for x in zip(*parts))
             if len(h):
                 again = later(h, g, doc, at)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(doc), pa.array(at.astype(np.int32)), pa.array(again)], ["h", "g", "doc_id", "i", "again"])
+                own = mix64(h ^ mix64(doc.astype(np.int64).view(np.uint64) * np.uint64(BASE) + at.astype(np.uint64)))
+                h = np.where(again, own, h)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(doc), pa.array(at), pa.array(again)], ["h", "g", "doc_id", "run", "again"])
 
-    found = stored(docs.mapInArrow(run, "h bigint, g bigint, doc_id bigint, i int, again boolean"))
-    new = found.where("not again")
-    # a document's own first of a run is in `new` once for each batch; two rows of one document are repeats of it
-    first = new.groupBy(F.col("h").alias("h1"), F.col("g").alias("g1")).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    late = new.join(first, (F.col("h") == F.col("h1")) & (F.col("g") == F.col("g1"))).where("doc_id > lo").select("doc_id", "i")
-    return late.union(found.where("again").select("doc_id", "i")).groupBy("doc_id").agg(F.collect_set("i").alias("starts"))
+    found = docs.mapInArrow(run, "h bigint, g bigint, doc_id bigint, run bigint, again boolean")
+    # rows of the same doc_id are repeats of one document
+    late = found.withColumn("lo", F.min("doc_id").over(Window.partitionBy("h", "g"))).where("again or doc_id > lo")
+    return late.groupBy("doc_id").agg(F.collect_set("run").alias("runs"))
 
 
-def dropped(text: bytes, starts, span: int = SPAN, least: int = WORDS) -> tuple[int, bytes]:
-    """(sentences removed, bytes that remain) of a text without the runs that begin at the given sentences."""
+def dropped(text: bytes, found, span: int = SPAN, least: int = WORDS) -> tuple[int, bytes]:
+    """(sentences removed, bytes that remain) of a text without the given runs."""
     s = split([text])
-    i, after, _, _ = runs(s, span, least)
-    ends = dict(zip(i.tolist(), after.tolist()))
     gone = np.zeros(len(s.first), bool)
-    for at in starts:
-        gone[at:ends[at]] = True
+    for one in found:
+        at, n = divmod(one, max(span, least) + 1)
+        gone[at:at + n] = True
     kept = b"".join(text[a:b] for a, b, x in zip(s.start.tolist(), s.end.tolist(), gone.tolist()) if not x)
     return int(gone.sum()), kept
 
 
-def dedupe(docs: DataFrame, span: int = SPAN, least: int = WORDS) -> DataFrame:
-    """(doc_id, n_removed, removed_bytes, kept_sha256, text) for every row of docs: sentences and bytes removed, and what remains.
+def dedupe(docs: DataFrame, span: int = SPAN, least: int = WORDS, every: bool = False) -> DataFrame:
+    """(doc_id, n_removed, removed_bytes, kept_sha256, text) for every row of docs: sentences and bytes removed, and what remains,
+    by runs() or by every_run().
 
     Null, empty and blank texts have no sentences and stay; a null doc_id loses nothing and is no earlier copy; rows that share a doc_id
     are repeats of one document, and none of them is the other's earlier copy; an empty table gives no rows; other columns are ignored."""
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cut = stored(covered(rows, span, least))
+    cut = stored(covered(rows, span, least, every))
     ids = saved(cut.select("doc_id"))
-    both = only_ids(docs.select("doc_id", "text"), ids).join(cut, "doc_id").select("doc_id", "text", "starts")
+    both = only_ids(docs.select("doc_id", "text"), ids).join(cut, "doc_id").select("doc_id", "text", "runs")
     few = ids.count() <= BROADCAST_IDS
     rest = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")
     none = F.lit(0).cast("long")
@@ -137,8 +165,8 @@ def dedupe(docs: DataFrame, span: int = SPAN, least: int = WORDS) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = [[], [], [], []]
-            for text, starts in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist()):
-                gone, kept = dropped(text, starts, span, least)
+            for text, found in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist()):
+                gone, kept = dropped(text, found, span, least)
                 for col, v in zip(out, (gone, len(text) - len(kept), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace"))):
                     col.append(v)
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())

@@ -186,6 +186,34 @@ def test_sentences(spark, prose, odd, none):
     assert by[None].n_removed == 0 and by[8].text == "one"
 
 
+def all_runs(parts):
+    """Runs of two sentences or more that hold WORDS words, or that are whole sentences from one real end to another."""
+    real = [True] + [w[-1][-1:] in (b".", b"!", b"?") or b"\n" in t[len(t.rstrip()):] or k + 1 == len(parts) for k, (w, t) in enumerate(parts)]
+    for i in range(len(parts)):
+        flat, whole = (), 0
+        for j in range(i + 1, len(parts) + 1):
+            flat, whole = flat + tuple(parts[j - 1][0]), whole + real[j]
+            if j >= i + Z.SPAN and (len(flat) >= Z.WORDS or real[i] and real[j] and whole > 1):
+                yield i, j, hash(flat)
+
+
+def test_every_run_counts(spark, prose):
+    tail = "Every long opening sentence of a shared passage goes on for fourteen words or so. Yes. No."
+    rights = "All rights reserved. Terms apply."
+    docs = [(i, f"{prose(15)} {tail} {prose(9)}\n{rights}\n{prose(7)}", "s") for i in range(6)] + [(10 * k + j, t[:600], "s") for k, (j, t) in enumerate(copies(prose, 8), 1)]
+    got = {r.doc_id: r for r in Z.dedupe(frame(spark, docs), every=True).collect()}
+    seen = set()
+    for i, t, _ in sorted(docs):
+        parts, gone = slow_sentences(t.encode()), set()
+        for a, b, flat in all_runs(parts):
+            if flat in seen:
+                gone |= set(range(a, b))
+            seen.add(flat)
+        kept = b"".join(p[1] for j, p in enumerate(parts) if j not in gone) if gone else t.encode()
+        assert (got[i].n_removed, got[i].text) == (len(gone), kept.decode()), i
+    assert all("No." not in got[i].text and "apply" not in got[i].text for i in range(1, 6)) and tail in got[0].text and rights in got[0].text
+
+
 def test_long_passages_are_caught(prose):
     """A passage of over 50 words is found in any surroundings, most of it."""
     for k in range(30):
