@@ -30,6 +30,8 @@ from .common import BROADCAST_IDS, as_bytes, saved
 #: Importance under which a node's branches go, and pages of a host from which it is judged.
 IMPORTANCE, PAGES = 0.35, 4
 
+_PRIME, _RADIX = (1 << 61) - 1, 0x9E3779B97F4A7C15 % ((1 << 61) - 1)
+
 # Element and class names of HTML and of common page templates.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe object svg canvas select button".split())
@@ -134,69 +136,91 @@ def parse(page: str) -> Node:
     return root
 
 
-def _main(node: Node) -> list[Node]:
-    """The outermost article or main elements that are no noise themselves."""
-    out = []
-    for kid in node.kids:
-        if isinstance(kid, Node) and not kid.noise:
-            if kid.tag == "article":
-                out.append(kid)
-            else:
-                inner = _main(kid)
-                out += inner or ([kid] if kid.tag == "main" else [])
+def _around(nodes: list[Node]) -> set[int]:
+    """The ids of the nodes' ancestors."""
+    out: set[int] = set()
+    for node in nodes:
+        node = node.parent
+        while node is not None and id(node) not in out:
+            out.add(id(node))
+            node = node.parent
     return out
 
 
-def _text(node: Node, out: list[str]) -> None:
-    for kid in node.kids:
-        if isinstance(kid, str):
-            out.append(kid)
-        else:
-            _text(kid, out)
+def _main(root: Node) -> list[Node]:
+    """The outermost article or main elements that are no noise themselves; of main elements those without such inside."""
+    found, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if node.tag in ("article", "main"):
+            found.append(node)
+        if node.tag != "article":
+            stack.extend(k for k in reversed(node.kids) if isinstance(k, Node) and not k.noise)
+    holders = _around(found)
+    return [n for n in found if n.tag == "article" or id(n) not in holders]
 
 
 def _hash(x: str) -> int:
     return xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def style_nodes(node: Node, mains: set[int], path: str = "", depth: int = 0, main: Node | None = None) -> Iterator[tuple[int, Node, Node | None]]:
+def style_nodes(root: Node, mains: set[int]) -> Iterator[tuple[int, Node, Node | None]]:
     """(path hash, node, main element around it) of the style tree's nodes. mains: ids of the main elements, which are no nodes themselves."""
-    for kid in node.kids:
-        if isinstance(kid, Node) and kid.tag in BLOCK:
-            top = id(kid) in mains
-            here = f"{path}/{'!' if top else ''}{kid.kind}"
-            if kid.tag not in ("html", "body") and not kid.noise and not top:
-                yield _hash(here), kid, main
-            if depth < 40:
-                yield from style_nodes(kid, mains, here, depth + 1, kid if top else main)
+    stack: list[tuple[Node, int, Node | None]] = [(root, 0, None)]
+    while stack:
+        node, path, main = stack.pop()
+        for kid in node.kids:
+            if isinstance(kid, Node) and kid.tag in BLOCK:
+                top = id(kid) in mains
+                here = _hash(f"{path}/{'!' if top else ''}{kid.kind}")
+                if kid.tag not in ("html", "body") and not kid.noise and not top:
+                    yield here, kid, main
+                stack.append((kid, here, kid if top else main))
+
 
+def _contents(root: Node) -> dict[int, int]:
+    """A hash of each block element's content by its id: of its texts between the edges of blocks, from sums over the page."""
+    sums, run, out = [0], [], {}
+    stack: list = [(k, None) for k in reversed(root.kids)]
+
+    def close():
+        text = " ".join(html.unescape("".join(run)).split())
+        run.clear()
+        if text:
+            sums.append((sums[-1] * _RADIX + _hash(text)) % _PRIME)
 
-def _content(node: Node) -> int:
-    parts: list[str] = []
-    _text(node, parts)
-    return _hash(" ".join(html.unescape("".join(parts)).split()))
+    while stack:
+        kid, begun = stack.pop()
+        if isinstance(kid, str):
+            run.append(kid)
+        elif begun is not None:
+            close()
+            out[id(kid)] = (sums[-1] - sums[begun] * pow(_RADIX, len(sums) - 1 - begun, _PRIME)) % _PRIME
+        else:
+            if kid.tag in BLOCK:
+                close()
+                stack.append((kid, len(sums) - 1))
+            stack.extend((k, None) for k in reversed(kid.kids))
+    return out
 
 
 def features(page: str) -> Iterator[tuple[int | None, int, int, int]]:
     """(None, path, 0, presentation) and (None, path, 1, content) of a page's style nodes; inside a main element
     (its content, path, 2, presentation) and (its content, path, 3, content)."""
     root = parse(page)
-    mains = {id(m): _content(m) for m in _main(root)}
-    for path, node, main in style_nodes(root, set(mains)):
-        key, kind = (None, 0) if main is None else (mains[id(main)], 2)
+    mains, content = {id(m) for m in _main(root)}, _contents(root)
+    for path, node, main in style_nodes(root, mains):
+        key, kind = (None, 0) if main is None else (content[id(main)], 2)
         yield key, path, kind, _hash(" ".join(k.kind for k in node.kids if isinstance(k, Node)))
-        yield key, path, kind + 1, _content(node)
+        yield key, path, kind + 1, content[id(node)]
 
 
 def extract(page: str, low: frozenset[int] | set[int] = frozenset(), high: frozenset[int] | set[int] = frozenset()) -> str:
     """The main text of a page, with the branches of low importance removed and those of high importance beside main elements kept."""
     root = parse(page)
     mains = _main(root)
-    tops, around = {id(m) for m in mains}, set()
-    for node in mains:
-        while node is not None and id(node) not in around:
-            around.add(id(node))
-            node = node.parent
+    tops = {id(m) for m in mains}
+    around = tops | _around(mains)
     judged = [(path, id(n)) for path, n, _ in style_nodes(root, tops) if id(n) not in around] if low or high else []
     dropped = {n for path, n in judged if path in low}
     tops |= {n for path, n in judged if path in high}
@@ -209,21 +233,21 @@ def extract(page: str, low: frozenset[int] | set[int] = frozenset(), high: froze
         if text:
             blocks.append(text)
 
-    def walk(node: Node, inside: bool) -> None:
-        for kid in node.kids:
-            if isinstance(kid, str):
-                if inside:
-                    run.append(kid)
-            elif not kid.noise:
-                block = kid.tag in BLOCK
-                if block:
-                    close()
-                if id(kid) not in dropped:
-                    walk(kid, inside or id(kid) in tops)
-                if block:
-                    close()
-
-    walk(root, not mains)
+    stack: list = [(k, not mains) for k in reversed(root.kids)]
+    while stack:
+        kid, inside = stack.pop()
+        if kid is None:
+            close()
+        elif isinstance(kid, str):
+            if inside:
+                run.append(kid)
+        elif not kid.noise:
+            if kid.tag in BLOCK:
+                close()
+                stack.append((None, inside))
+            if id(kid) not in dropped:
+                inner = inside or id(kid) in tops
+                stack.extend((k, inner) for k in reversed(kid.kids))
     close()
     return " ".join(blocks)
 

@@ -249,6 +249,15 @@ def test_style_tree_judges_articles(spark):
     assert got[53] == "Seen by 3 One story for all" and got[90] == "Teaser 1 Same line on all"
 
 
+def test_style_tree_deep_pages(spark):
+    """Branches at any depth are judged, and no depth ends a run."""
+    page = "<body>" + "<div>" * 60 + "<p class='x'>Same line on all</p><ul><li>Story {0}</ul>" + "</div>" * 60
+    rows = [(i, f"http://d.example/{i}", page.format(i)) for i in range(12)]
+    rows += [(50 + i, f"http://e.example/{i}", "<div>" * 3000 + str(i)) for i in range(5)] + [(60, None, "<div>" * 3000 + "<article>" * 3000 + "end")]
+    got = {r.page_id: r.text for r in S.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[3] == "Story 3" and got[52] == "2" and got[60] == "end"
+
+
 def test_perspectives(spark):
     rows = [(1, 0, "system", "Be kind"), (1, 1, "ann", "Hi"), (1, 2, "bob", None), (1, 3, "ann", "Bye"), (2, 0, "system", "x"), (3, 0, None, "who"), (3, 1, "ann", "é"), (3, 1, "ann", "é"), (None, 0, "ann", "n")]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
