@@ -6,7 +6,7 @@ entities: id, name, type. Many keys, dates and facts at a time; one key is a fra
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -57,8 +57,11 @@ def entities_of(batch: DataFrame) -> DataFrame:
 
 
 def invalidate(triples: DataFrame, closes: DataFrame, today: str) -> DataFrame:
-    """triples with the open facts named in closes (subject, predicate, object, ended) ended, on today if ended is missing."""
-    ends = closes.groupBy("subject", "predicate", "object").agg(F.min_by(F.coalesce(F.nullif("ended", F.lit("")), F.lit(today)), F.lit(0)).alias("_ended"))
+    """triples with the open facts named in closes (subject, predicate, object, ended) ended, on today if ended is missing. Of several
+    closes of a fact the first in order of seq counts, without seq the earliest day."""
+    day = F.coalesce(F.nullif("ended", F.lit("")), F.lit(today))
+    first = F.min_by(day, "seq") if "seq" in closes.columns else F.min(day)
+    ends = closes.groupBy("subject", "predicate", "object").agg(first.alias("_ended"))
     key = ["subject", "predicate", "object"]
     hit = F.col("valid_to").isNull() & F.col("_ended").isNotNull()
     return triples.join(ends, key, "left").withColumn("valid_to", F.when(hit, F.col("_ended")).otherwise(F.col("valid_to"))).select(*COLUMNS)
@@ -155,9 +158,3 @@ def populate(triples: DataFrame | None, entities: DataFrame | None, notes: DataF
     after = F.struct(F.struct("ord", F.lit((1 << 31) - 1).alias("at")).alias("seq"), F.lit(0).alias("end")).alias("seq")
     described = notes.where(F.length("description") > 10).select(F.col("stem").alias("name"), F.lit("note").alias("type"), after)
     return upsert(triples, found, today), upsert_entities(entities, entities_of(found).unionByName(described))
-
-
-def successive(triples: DataFrame) -> DataFrame:
-    """Windows that end where the next fact of a subject and predicate begins."""
-    w = Window.partitionBy("subject", "predicate").orderBy("valid_from", "id")
-    return triples.withColumn("valid_to", F.lead("valid_from").over(w))

@@ -17,8 +17,8 @@ from ..functions import text as T
 # Chunk size in words, least length of a chunk, the largest limit, and the weight of shared words.
 CHUNK_WORDS, LEAST_CHARS, CAP, BOOST = 512, 20, 100, 0.3
 RESULT = ["qid", "rank", "path", "content_excerpt", "score", "match_type"]
-#: Queries in a block (as many as are broadcast at most), and chunks in a part.
-BLOCK, PART = 256, 20_000
+#: Queries in a block, chunks in a part, and chunks whose words are held as a matrix at a time.
+BLOCK, PART, SLICE = 256, 20_000, 4096
 
 
 def chunk(notes: DataFrame, path: str = "rel_path", text: str = "content", size: int = CHUNK_WORDS) -> DataFrame:
@@ -61,20 +61,6 @@ def keyword_lines(notes: DataFrame, queries: DataFrame, limit: int = 5) -> DataF
     return first_by(first.select("qid", "path", F.substring("line", 1, 200).alias("content_excerpt"), F.lit(1.0).alias("score"), F.lit("keyword").alias("match_type")), ["path"], limit)
 
 
-def boost(query, text) -> F.Column:
-    """BOOST times the share of the query's different words that the text holds."""
-    q, t = F.array_distinct(T.words(F.lower(T.col(query)))), F.array_distinct(T.words(F.lower(T.col(text))))
-    return F.when(F.size(q) > 0, F.size(F.array_intersect(q, t)) / F.size(q) * BOOST).otherwise(0.0)
-
-
-def cosine(a, b) -> F.Column:
-    """Cosine in double precision; 0 if a vector is zero."""
-    add = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-    prod = lambda x, y: add(F.zip_with(T.col(x), T.col(y), lambda u, v: u.cast("double") * v.cast("double")))
-    norm = F.sqrt(prod(a, a)) * F.sqrt(prod(b, b))
-    return F.when(norm > 0, prod(a, b) / norm).otherwise(0.0)
-
-
 def best_by_path(scored: DataFrame, limit: int) -> DataFrame:
     """Of (qid, path, ord, score, ...) the best chunk of each path, then the best paths; ties in chunk order. The best of a path is an
     aggregate, so each task sends one row for each query and path."""
@@ -83,41 +69,52 @@ def best_by_path(scored: DataFrame, limit: int) -> DataFrame:
     return first_by(one, [F.col("score").desc(), "ord"], limit)
 
 
-def vector(chunks: DataFrame, queries: DataFrame, limit: int = 5, hybrid: bool = False) -> DataFrame:
-    """Every chunk scored against a few queries in the JVM (exact search), with a boost for shared words if hybrid."""
-    asked = queries.select("qid", F.col("query").alias("_query"), F.col("embedding").alias("_q"))
-    if asked.count() > BLOCK:
-        return vector_blocks(chunks, queries, limit, hybrid)
-    pairs = chunks.join(F.broadcast(asked))
-    extra = boost("_query", "text") if hybrid else F.lit(0.0)
-    scored = pairs.withColumn("_b", extra).select(
-        "qid", "path", "ord", T.excerpt("text").alias("content_excerpt"), (cosine("_q", "embedding") + F.col("_b")).alias("score"),
-        F.when(F.col("_b") > 0, "hybrid").otherwise("semantic").alias("match_type"))
-    return best_by_path(scored, limit)
+def _unit(column) -> np.ndarray:
+    """Vectors at length one; a zero vector stays zero."""
+    v = np.array(column.to_pylist(), float)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
 
 
-def _best_of_part(limit: int, hybrid: bool, qid: pa.DataType):
-    kinds = [("qid", qid), ("path", pa.string()), ("ord", pa.int64()), ("content_excerpt", pa.string()), ("score", pa.float64()), ("match_type", pa.string())]
+def shared_words(asked: list[str | None], texts: list[str]) -> np.ndarray:
+    """BOOST times the share of each query's different words that each text holds: a product of two word matrices over the
+    queries' words, so each text is split once."""
+    wanted = [set((q or "").lower().split()) for q in asked]
+    number = {w: i for i, w in enumerate(sorted(set().union(*wanted)))}
+    of_query = np.zeros((len(asked), len(number)), np.float32)
+    for i, words in enumerate(wanted):
+        of_query[i, [number[w] for w in words]] = 1
+    out = np.zeros((len(asked), len(texts)))
+    for a in range(0, len(texts), SLICE):
+        held = np.zeros((len(number), min(SLICE, len(texts) - a)), np.float32)
+        for j, t in enumerate(texts[a:a + SLICE]):
+            held[[number[w] for w in number.keys() & set(t.lower().split())], j] = 1
+        out[:, a:a + SLICE] = of_query @ held
+    return out / np.maximum(of_query.sum(axis=1, dtype=float), 1)[:, None] * BOOST
 
-    def unit(column) -> np.ndarray:
-        v = np.array(column.to_pylist(), float)
-        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+def _rank(values: list) -> np.ndarray:
+    """Places of values (numbers, or structs as dicts) in their order."""
+    key = (lambda i: tuple(values[i].values())) if values and isinstance(values[0], dict) else values.__getitem__
+    out = np.zeros(len(values), np.int64)
+    out[sorted(range(len(values)), key=key)] = np.arange(len(values))
+    return out
+
+
+def _best_of_part(limit: int, hybrid: bool, qid: pa.DataType, ord_: pa.DataType):
+    kinds = [("qid", qid), ("path", pa.string()), ("ord", ord_), ("content_excerpt", pa.string()), ("score", pa.float64()), ("match_type", pa.string())]
 
     def run(chunks, queries):
         found = []
         if chunks.num_rows and queries.num_rows:
-            s = unit(queries.column("q_vector")) @ unit(chunks.column("vector")).T
-            extra = np.zeros_like(s)
+            s = _unit(queries.column("q_vector")) @ _unit(chunks.column("vector")).T
             texts = [t or "" for t in chunks.column("text").to_pylist()]
-            if hybrid:
-                have = [set(t.lower().split()) for t in texts]
-                asked = [set((q or "").lower().split()) for q in queries.column("query").to_pylist()]
-                extra = np.array([[BOOST * len(a & h) / len(a) if a else 0.0 for h in have] for a in asked])
-                s = s + extra
+            extra = shared_words(queries.column("query").to_pylist(), texts) if hybrid else np.zeros_like(s)
+            s = s + extra
             paths, ords = chunks.column("path").to_pylist(), chunks.column("ord").to_pylist()
+            place = _rank(ords)
             for i, q in enumerate(queries.column("qid").to_pylist()):
                 seen = set()
-                for j in np.lexsort((ords, -s[i])):
+                for j in np.lexsort((place, -s[i])):
                     if paths[j] not in seen:
                         seen.add(paths[j])
                         t = texts[j]
@@ -130,20 +127,23 @@ def _best_of_part(limit: int, hybrid: bool, qid: pa.DataType):
     return run
 
 
-def vector_blocks(chunks: DataFrame, queries: DataFrame, limit: int = 5, hybrid: bool = False, block: int = BLOCK, part: int = PART) -> DataFrame:
-    """As vector(), for many queries: chunks dealt into parts by path, queries into blocks, and one matrix product for each part and
-    block. A part gives a query's best paths only, so what is sent grows with parts and not with chunks."""
-    rows = chunks.select("path", "ord", "text", F.col("embedding").alias("vector"))
-    asked = queries.select("qid", "query", F.col("embedding").alias("q_vector"))
+def vector(chunks: DataFrame, queries: DataFrame, limit: int = 5, hybrid: bool = False, block: int = BLOCK, part: int = PART) -> DataFrame:
+    """Every chunk scored by cosine against every query (exact search), with a boost for shared words if hybrid.
+
+    Chunks are dealt into parts by path, queries into blocks, and each part and block is one matrix product. A part gives a query's best
+    paths only, so what is sent on grows with parts and not with chunks; a part travels once for each block of queries. A path with
+    over a part's chunks makes its part larger."""
+    rows = chunks.select("path", "ord", "text", F.col("embedding").alias("vector")).where("embedding is not null")
+    asked = queries.select("qid", "query", F.col("embedding").alias("q_vector")).where("embedding is not null")
     parts, blocks = max(1, -(-rows.count() // part)), max(1, -(-asked.count() // block))
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = rows.withColumn("part", deal("path", parts)).withColumn("block", every(blocks))
     right = asked.withColumn("block", deal("qid", blocks)).withColumn("part", every(parts))
-    kind = asked.schema["qid"].dataType
+    kind, place = asked.schema["qid"].dataType, rows.schema["ord"].dataType
     scored = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(
-        _best_of_part(limit, hybrid, to_arrow_type(kind)),
-        f"qid {kind.simpleString()}, path string, ord bigint, content_excerpt string, score double, match_type string")
+        _best_of_part(limit, hybrid, to_arrow_type(kind), to_arrow_type(place)),
+        f"qid {kind.simpleString()}, path string, ord {place.simpleString()}, content_excerpt string, score double, match_type string")
     return best_by_path(scored, limit)
 
 

@@ -6,7 +6,6 @@ import re
 
 from ..functions import rules as R
 from . import fixtures as X
-from .queries import CUT_TEXTS, FEW_ASKED, FEW_KEYS
 
 _D = X.duck
 RAW, WIN, NOTES_ALL = _D(X.TRIPLES_RAW), _D(X.TRIPLES), _D(X.NOTES)
@@ -17,28 +16,27 @@ _ID = "left(sha256(concat(subject, '|', predicate, '|', object)), 16)"
 _RES = "subject, predicate, object, valid_from, valid_to, confidence, source_file"
 _USERS = f"SELECT DISTINCT subject AS entity FROM ({WIN}) u"
 _OBJECTS = f"SELECT DISTINCT object AS entity FROM ({WIN}) o"
-_TENTH = "CAST(split_part(entity, ':', 2) AS INT) % {} = 0"
 _HOLDS = "(valid_from IS NULL OR valid_from <= {0}) AND (valid_to IS NULL OR valid_to >= {0})"
 ENT = f"""SELECT name, arg_min(type, seq) AS type FROM (SELECT subject AS name, 'unknown' AS type, seq * 2 AS seq FROM ({RAW}) a
 UNION ALL SELECT object, 'unknown', seq * 2 + 1 FROM ({RAW}) b) e GROUP BY name"""
 
 O: dict[str, str] = {}
 O["kg_asof_facts"] = f"""WITH k AS (SELECT entity, unnest(['2024-01-05', '2024-01-15', '{TODAY}']) AS day FROM
- (SELECT * FROM ({_USERS}) x WHERE {_TENTH.format(10)} UNION ALL SELECT * FROM ({_OBJECTS}) y) z)
+ (SELECT * FROM ({_USERS}) x UNION ALL SELECT * FROM ({_OBJECTS}) y) z)
 SELECT entity, CASE WHEN day = '{TODAY}' THEN '{TODAY}' ELSE day END AS as_of, {_RES} FROM k JOIN ({WIN}) t ON (t.subject = k.entity OR t.object = k.entity)
 WHERE {_HOLDS.format('day')}"""
 O["kg_triples_upsert"] = f"""SELECT {_ID} AS id, {_RES} FROM (SELECT *, row_number() OVER (PARTITION BY subject, predicate, object ORDER BY seq DESC) AS rn FROM ({RAW}) r) q WHERE rn = 1"""
 O["kg_triples_reupsert"] = f"""SELECT {_ID} AS id, {_RES} FROM (SELECT *, row_number() OVER (PARTITION BY subject, predicate, object ORDER BY seq DESC) AS rn FROM
- (SELECT -1 AS seq, {_RES} FROM ({WIN}) w UNION ALL SELECT seq, {_RES} FROM ({RAW}) r WHERE seq % 3 = 0) u) q WHERE rn = 1"""
+ (SELECT -1 AS seq, {_RES} FROM ({WIN}) w UNION ALL SELECT seq, {_RES} FROM ({RAW}) r) u) q WHERE rn = 1"""
 O["kg_entities"] = f"""SELECT left(sha256(name), 16) AS id, name, arg_min(type, seq) AS type FROM (SELECT subject AS name, 'unknown' AS type, seq * 2 AS seq FROM ({RAW}) a
 UNION ALL SELECT object, 'unknown', seq * 2 + 1 FROM ({RAW}) b UNION ALL SELECT object, 'key', seq * 2 - 0.5 FROM ({RAW}) c) e GROUP BY name"""
 O["kg_asof_grid"] = f"""SELECT subject, as_of, count(*) AS facts FROM ({WIN}) t JOIN (SELECT printf('2024-01-%02d', i) AS as_of FROM range(1, 31) r(i)) d
 ON {_HOLDS.format('as_of')} GROUP BY subject, as_of"""
-O["kg_relation"] = f"SELECT {_RES} FROM ({WIN}) t WHERE predicate = 'click' AND CAST(split_part(subject, ':', 2) AS INT) % 5 = 0"
+O["kg_relation"] = f"SELECT {_RES} FROM ({WIN}) t"
 O["kg_timeline"] = f"""SELECT entity, valid_from AS date, valid_to AS end_date, CASE WHEN subject = entity THEN 'outbound' ELSE 'inbound' END AS direction, subject, predicate, object,
 concat(subject, ' --', predicate, '--> ', object) AS label, source_file AS source FROM (SELECT * FROM ({_USERS}) x UNION ALL SELECT * FROM ({_OBJECTS}) y) k
 JOIN ({WIN}) t ON t.subject = k.entity OR t.object = k.entity"""
-O["kg_invalidate"] = f"""SELECT {_ID} AS id, subject, predicate, object, valid_from, CASE WHEN valid_to IS NULL AND seq % 4 = 0 THEN CASE WHEN seq % 8 = 0 THEN '2024-02-01' ELSE '{TODAY}' END ELSE valid_to END AS valid_to,
+O["kg_invalidate"] = f"""SELECT {_ID} AS id, subject, predicate, object, valid_from, CASE WHEN valid_to IS NULL THEN CASE WHEN seq % 2 = 0 THEN '2024-02-01' ELSE '{TODAY}' END ELSE valid_to END AS valid_to,
 confidence, source_file FROM ({WIN}) t"""
 O["kg_stats"] = f"""SELECT (SELECT count(*) FROM ({ENT}) e) AS entity_count, count(*) AS triple_count, count(*) FILTER (WHERE valid_to IS NULL OR valid_to >= '{TODAY}') AS current_facts,
 count(*) - count(*) FILTER (WHERE valid_to IS NULL OR valid_to >= '{TODAY}') AS expired_facts, min(valid_from) AS oldest_fact, max(valid_from) AS newest_fact FROM ({WIN}) t"""
@@ -144,7 +142,7 @@ JOIN (VALUES (1, 'the and'), (2, 'DE LA'), (3, 'zzzz'), (4, '%')) q(qid, query)
 O["search_keyword_line"] = _KW.format(top=_TOP, order="path", n=7, rows=f"""SELECT qid, path, substr(arg_min(line, at), 1, 200) AS content_excerpt, CAST(1.0 AS DOUBLE) AS score, 'keyword' AS match_type FROM
 (SELECT rel_path AS path, unnest(string_split(raw, chr(10))) AS line, generate_subscripts(string_split(raw, chr(10)), 1) AS at FROM ({NOTES}) n) l
 JOIN (VALUES (1, 'the and'), (2, 'DATE:'), (3, 'zzzz')) q(qid, query) ON contains(lower(line), lower(query)) GROUP BY qid, path""")
-_ASK = f"SELECT ord AS qid, array_to_string(({_W('text')})[1:6], ' ') AS query, embedding AS qe FROM ({CHUNKS}) a WHERE ord % 25 = 0 AND ord < 500"
+_ASK = f"SELECT ord AS qid, array_to_string(({_W('text')})[1:6], ' ') AS query, embedding AS qe FROM ({CHUNKS}) a WHERE ord % 20 = 0"
 _QW, _TW = f"list_distinct({_W('lower(query)')})", f"list_distinct({_W('lower(text)')})"
 
 
@@ -172,11 +170,11 @@ O["palace_build"] = _BUILT
 W_, R_, D_, T_ = (_D(x) for x in (X.WINGS, X.ROOMS, X.DRAWERS, X.TUNNELS))
 O["palace_stats"] = f"SELECT (SELECT count(*) FROM ({W_}) w) AS wing_count, (SELECT count(*) FROM ({R_}) r) AS room_count, (SELECT count(*) FROM ({D_}) d) AS drawer_count, (SELECT count(*) FROM ({T_}) t) AS tunnel_count"
 O["palace_rooms"] = f"SELECT r.wing, r.room, count(d.path) AS drawers FROM ({R_}) r LEFT JOIN ({D_}) d ON d.wing = r.wing AND d.room = r.room GROUP BY r.wing, r.room"
-O["palace_tunnels"] = f"""SELECT a.name AS wing_1, b.name AS wing_2, t.* FROM ({W_}) a JOIN ({W_}) b ON a.name > b.name AND length(a.name) = length(b.name)
+O["palace_tunnels"] = f"""SELECT a.name AS wing_1, b.name AS wing_2, t.* FROM ({W_}) a JOIN ({W_}) b ON a.name > b.name
 JOIN ({T_}) t ON (t.wing_a = a.name AND t.wing_b = b.name) OR (t.wing_a = b.name AND t.wing_b = a.name)"""
 O["palace_traverse"] = f"""SELECT g.wing, g.room, g.tunnel, g.other, g.hall, (SELECT count(*) FROM ({D_}) d WHERE d.wing = g.other AND d.room = g.room) AS drawers FROM
 (SELECT s.wing, s.room, t.id AS tunnel, CASE WHEN t.wing_a = s.wing THEN t.wing_b ELSE t.wing_a END AS other, CASE WHEN t.wing_a = s.wing THEN t.hall_b ELSE t.hall_a END AS hall
- FROM ({R_}) s JOIN ({T_}) t ON t.room = s.room WHERE length(s.wing) % 2 = 0) g JOIN ({R_}) r ON r.wing = g.other AND r.room = g.room"""
+ FROM ({R_}) s JOIN ({T_}) t ON t.room = s.room) g JOIN ({R_}) r ON r.wing = g.other AND r.room = g.room"""
 O["palace_document"] = f"SELECT r.wing, r.room, count(d.path) AS drawers, arg_min(d.path, d.ord) AS first FROM ({R_}) r LEFT JOIN ({D_}) d ON d.wing = r.wing AND d.room = r.room GROUP BY r.wing, r.room"
 O["session_archive"] = """SELECT conv_id, length(t) AS transcript_length, right(t, 2000) AS transcript_excerpt FROM
 (SELECT conv_id, string_agg(concat(coalesce(role, ''), ': ', coalesce(text, '')), chr(10) ORDER BY turn, role, text) AS t FROM conversations GROUP BY conv_id) c"""
@@ -184,7 +182,7 @@ _L = "SELECT {} AS section, {} AS at, {} AS line"
 O["report_session_start"] = f"""WITH n AS ({NOTES}), st AS ({O['notes_stats']}), fs AS ({O['kg_stats']})
 SELECT 0 AS section, at - 1 AS at, line FROM (SELECT unnest(['## Session Context', '**Date:** 2024-01-20 (Saturday)', '']) AS line, unnest([1, 2, 3]) AS at) a
 UNION ALL SELECT 2, 0, '### Recent Changes (last 48h)' UNION ALL
-SELECT 2, CAST(row_number() OVER (ORDER BY ts DESC, line) AS INT), concat('- ', line) FROM (SELECT ts, concat(printf('%X', event_id), ' ', event_type) AS line FROM events WHERE event_id < 40 ORDER BY ts DESC, line LIMIT 10) c
+SELECT 2, CAST(row_number() OVER (ORDER BY ts DESC, line) AS INT), concat('- ', line) FROM (SELECT ts, concat(printf('%X', event_id), ' ', event_type) AS line FROM events ORDER BY ts DESC, line LIMIT 10) c
 UNION ALL SELECT 2, 1000, '' UNION ALL SELECT 3, 0, '### Active Work' UNION ALL
 SELECT 3, CAST(row_number() OVER (ORDER BY rel_path) AS INT), concat('- ', stem) FROM (SELECT * FROM n WHERE starts_with(rel_path, 'work/active/') ORDER BY rel_path LIMIT 5) w
 UNION ALL SELECT 3, 1000, '' UNION ALL SELECT 4, 0, '### Vault Stats' UNION ALL SELECT 4, 1, concat('- Total notes: ', CAST(total_notes AS VARCHAR)) FROM st
@@ -205,8 +203,8 @@ _SCLS = f"SELECT *, {_MAX} AS best FROM (SELECT *, {_SCORES} FROM (SELECT *, sub
 _SROUTE = _ROUTE.replace("rel_path", "file_path")
 O["write_routes"] = f"""SELECT vault, split_part(coalesce(file_path, concat(folder, {_NAME('content')}, '.md')), '/', 1) AS folder, count(*) AS n FROM
 (SELECT *, {_SROUTE} AS vault FROM (SELECT content, tags, CASE WHEN doc_id % 2 = 0 THEN rel_path END AS file_path, {_PICK(3, R.UNKNOWN[2])} AS folder FROM ({_SCLS}) c) d) e GROUP BY 1, 2"""
-_C4 = "CASE WHEN ord % 4 = 0 THEN trim(substr(content, 1, 50), concat(' ', chr(10), chr(9), chr(13))) ELSE substr(content, 1, 500) END"
-O["section_extract"] = f"SELECT rel_path, CASE WHEN ord % 4 = 0 AND {_C4} = '' THEN substr(concat('intro', chr(10), '## Current Focus', chr(10), substr(content, 1, 50), chr(10), '## Next', chr(10), 'x'), 1, 500) ELSE {_C4} END AS focus FROM ({NOTES}) n"
+_C4 = r"CASE WHEN ord % 4 = 0 THEN regexp_replace(regexp_replace(split_part(content, '## ', 1), '^[\s\p{Z}\x0B\x1C-\x1F\x85]+', ''), '[\s\p{Z}\x0B\x1C-\x1F\x85]+$', '') ELSE substr(content, 1, 500) END"
+O["section_extract"] = f"SELECT rel_path, CASE WHEN ord % 4 = 0 AND {_C4} = '' THEN substr(concat('intro', chr(10), '## Current Focus', chr(10), content, chr(10), '## Next', chr(10), 'x'), 1, 500) ELSE {_C4} END AS focus FROM ({NOTES}) n"
 O["rpc_guard"] = f"""SELECT CASE WHEN turn % 4 = 2 THEN 'Unknown tool: rm' WHEN conv_id % 5 IN (0, 1) THEN 'Invalid vault_path' END AS error, CAST(least(conv_id * 40, 100) AS INT) AS "limit", count(*) AS requests
 FROM ({MSG}) m GROUP BY 1, 2"""
 _CHUNKED = """SELECT left(sha256(concat(path, ':', CAST(i AS VARCHAR))), 16) AS hash, path, CAST(i AS INT) AS chunk_index, t AS text FROM (SELECT path, i, array_to_string(w[i + 1:i + 512], ' ') AS t FROM
@@ -216,30 +214,7 @@ O["index_update"] = (_CHUNKED.format(words=_W("content"), notes=NOTES, where="or
 O["user_sessions"] = """SELECT user_id, min(ts) AS began, max(ts) AS last, count(*) AS messages FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM
 (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events) a) b GROUP BY user_id, s"""
 O["notes_with_links"] = f"SELECT rel_path FROM ({NOTES}) n WHERE len({_RAWLINKS}) > 0"
-O["palace_point_lookup"] = f"""SELECT a.wing, a.room, r.wing IS NOT NULL AS there, d.path FROM (SELECT wing, room FROM ({R_}) x WHERE length(wing) % 3 = 0 UNION ALL SELECT 'NOWHERE', 'x') a
+O["palace_point_lookup"] = f"""SELECT a.wing, a.room, r.wing IS NOT NULL AS there, d.path FROM (SELECT wing, room FROM ({R_}) x UNION ALL SELECT 'NOWHERE', 'x') a
 LEFT JOIN ({R_}) r ON r.wing = a.wing AND r.room = a.room LEFT JOIN ({D_}) d ON d.wing = a.wing AND d.room = a.room"""
-def _whole(sql: str) -> str:
-    """The SQL over fixtures with whole texts."""
-    for cut, text in X.WHOLE.items():
-        sql = sql.replace(_D(cut), _D(text))
-    return sql
-
-
-O.update({f"{n}_whole": _whole(O[n]) for n in CUT_TEXTS})
-O.update({f"{n}_whole": O[n].replace("ord % 25 = 0 AND ord < 500", "ord % 20 = 0") for n in FEW_ASKED})
-_FILTERS = [
-    f" WHERE {_TENTH.format(10)}", " WHERE predicate = 'click' AND CAST(split_part(subject, ':', 2) AS INT) % 5 = 0", " WHERE event_id < 40",
-    " WHERE length(s.wing) % 2 = 0", " WHERE length(wing) % 3 = 0",
-]
-
-
-def _all_keys(sql: str) -> str:
-    """The SQL without the filters of keys."""
-    for f in _FILTERS:
-        sql = sql.replace(f, "")
-    return sql
-
-
-O.update({f"{n}_whole": _whole(_all_keys(O[n])) for n in FEW_KEYS})
 # "at" is a keyword of DuckDB; quoted, except in a message text
 ORACLE = {k: re.sub(r"\bat\b(?! least)", '"at"', v) for k, v in O.items()}

@@ -34,27 +34,16 @@ def days(spark):
     return spark.range(1, 31).select(F.format_string("2024-01-%02d", "id").alias("as_of"))
 
 
-def users(triples, column="subject"):
-    return triples.select(F.col(column).alias("entity")).distinct()
-
-
-def some(df, condition):
-    """The rows that the condition picks; in a whole query all of them."""
-    return df if X.whole.get() else df.where(condition)
-
-
 def both_ends(triples):
-    """Different entities with whether they are users, in one pass."""
-    end = lambda c, user: F.struct(F.col(c).alias("entity"), F.lit(user).alias("user"))
-    return triples.select(F.explode(F.array(end("subject", True), end("object", False))).alias("e")).select("e.*").distinct()
+    """Different entities, in one pass."""
+    return triples.select(F.explode(F.array("subject", "object")).alias("entity")).distinct()
 
 
 @query
 def kg_asof_facts(spark, d):
-    """Flagship: for every tenth user, and every object, the facts that hold on three days."""
+    """Flagship: for every user and every object, the facts that hold on three days."""
     t = windows(spark, d)
-    keys = some(both_ends(t), "not user or cast(split(entity, ':')[1] as int) % 10 = 0")
-    keys = keys.select("entity", F.explode(F.lit(["2024-01-05", "2024-01-15", ""])).alias("as_of"))
+    keys = both_ends(t).select("entity", F.explode(F.lit(["2024-01-05", "2024-01-15", ""])).alias("as_of"))
     return K.as_of(t, keys, X.TODAY)
 
 
@@ -66,8 +55,7 @@ def kg_triples_upsert(spark, d):
 @query
 def kg_triples_reupsert(spark, d):
     """A batch over a store with closed windows: facts that come again are opened again."""
-    raw = X.frame(spark, d, X.TRIPLES_RAW).where("seq % 3 = 0")
-    return K.upsert(windows(spark, d), raw, X.TODAY)
+    return K.upsert(windows(spark, d), X.frame(spark, d, X.TRIPLES_RAW), X.TODAY)
 
 
 @query
@@ -84,10 +72,9 @@ def kg_asof_grid(spark, d):
 
 @query
 def kg_relation(spark, d):
+    """Every (subject, predicate) pair there is, and one that isn't."""
     t = windows(spark, d)
-    if X.whole.get():
-        return K.relation(t, t.select("subject", "predicate").distinct())
-    keys = users(t).where("cast(split(entity, ':')[1] as int) % 5 = 0").select(F.col("entity").alias("subject"), F.lit("click").alias("predicate"))
+    keys = t.select("subject", "predicate").distinct().union(spark.createDataFrame([("user:none", "click")], "subject string, predicate string"))
     return K.relation(t, keys)
 
 
@@ -99,8 +86,11 @@ def kg_timeline(spark, d):
 
 @query
 def kg_invalidate(spark, d):
-    closes = windows(spark, d).where("seq % 4 = 0").select("subject", "predicate", "object", F.when(F.col("seq") % 8 == 0, F.lit("2024-02-01")).alias("ended"))
-    return K.invalidate(windows(spark, d), closes, X.TODAY)
+    """Every fact is closed twice; the first close counts, and only for facts that are open."""
+    t = windows(spark, d)
+    first = t.select("subject", "predicate", "object", F.when(F.col("seq") % 2 == 0, F.lit("2024-02-01")).alias("ended"), F.lit(0).alias("seq"))
+    again = t.select("subject", "predicate", "object", F.lit("2024-03-01").alias("ended"), F.lit(1).alias("seq"))
+    return K.invalidate(t, first.union(again), X.TODAY)
 
 
 @query
@@ -252,10 +242,9 @@ def chunks(spark, d):
     return S.chunk(docs.select(F.concat(F.lit("d"), "doc_id").alias("rel_path"), F.col("text").alias("content")))
 
 
-def asked(spark, d, n=20):
-    c = X.frame(spark, d, X.CHUNKS)
-    due = c.where("ord % 20 = 0") if X.whole.get() else c.where(f"ord % 25 = 0 and ord < {25 * n}")
-    return due.select(
+def asked(spark, d):
+    """The query set of searches: every row whose id is divisible by 20."""
+    return X.frame(spark, d, X.CHUNKS).where("ord % 20 = 0").select(
         F.col("ord").alias("qid"), F.array_join(F.slice(T.words("text"), 1, 6), " ").alias("query"), "embedding")
 
 
@@ -287,7 +276,7 @@ def search_hybrid(spark, d):
 
 @query
 def search_vector_blocks(spark, d):
-    return _rounded(S.vector_blocks(X.frame(spark, d, X.CHUNKS), asked(spark, d), 5, hybrid=True, block=8))
+    return _rounded(S.vector(X.frame(spark, d, X.CHUNKS), asked(spark, d), 5, hybrid=True, block=8, part=300))
 
 
 @query
@@ -328,13 +317,13 @@ def palace_rooms(spark, d):
 
 @query
 def palace_tunnels(spark, d):
-    pairs = X.frame(spark, d, X.WINGS).select("name").alias("a").join(X.frame(spark, d, X.WINGS).select("name").alias("b"), F.expr("a.name > b.name and length(a.name) = length(b.name)"))
+    pairs = X.frame(spark, d, X.WINGS).select("name").alias("a").join(X.frame(spark, d, X.WINGS).select("name").alias("b"), F.expr("a.name > b.name"))
     return C.between(catalogue(spark, d).tunnels, pairs.select(F.col("a.name").alias("wing_1"), F.col("b.name").alias("wing_2")))
 
 
 @query
 def palace_traverse(spark, d):
-    return C.traverse(catalogue(spark, d), some(X.frame(spark, d, X.ROOMS), "length(wing) % 2 = 0"))
+    return C.traverse(catalogue(spark, d), X.frame(spark, d, X.ROOMS))
 
 
 @query
@@ -355,7 +344,7 @@ def _fact_stats(spark, d):
 
 @query
 def report_session_start(spark, d):
-    changes = some(spark.read.parquet(f"{d}/events.parquet"), "event_id < 40").select("ts", F.concat_ws(" ", F.hex("event_id"), "event_type").alias("line"))
+    changes = spark.read.parquet(f"{d}/events.parquet").select("ts", F.concat_ws(" ", F.hex("event_id"), "event_type").alias("line"))
     return P.session_start(notes(spark, d, True), _fact_stats(spark, d), "2024-01-20 (Saturday)", changes)
 
 
@@ -380,7 +369,7 @@ def write_routes(spark, d):
 @query
 def section_extract(spark, d):
     """Sections of notes, or their start."""
-    n = notes(spark, d).select("rel_path", F.expr("case when ord % 4 = 0 then concat('intro\n## Current Focus\n', substr(content, 1, 50), '\n## Next\nx') else content end").alias("content"))
+    n = notes(spark, d).select("rel_path", F.expr("case when ord % 4 = 0 then concat('intro\n## Current Focus\n', content, '\n## Next\nx') else content end").alias("content"))
     return n.select("rel_path", T.section_or_start("content", "Current Focus").alias("focus"))
 
 
@@ -418,34 +407,5 @@ def notes_with_links(spark, d):
 @query
 def palace_point_lookup(spark, d):
     """Drawers of given rooms; rooms that aren't there have none."""
-    asked = some(X.frame(spark, d, X.ROOMS), "length(wing) % 3 = 0").union(spark.createDataFrame([("NOWHERE", "x")], "wing string, room string"))
+    asked = X.frame(spark, d, X.ROOMS).union(spark.createDataFrame([("NOWHERE", "x")], "wing string, room string"))
     return C.lookup(catalogue(spark, d), asked)
-
-
-#: Queries over cut texts; each is registered once more, as *_whole, over whole ones.
-CUT_TEXTS = [
-    *"content_redact content_route content_export_preview content_import migrate_counts write_routes msg_classify msg_routing msg_hook msg_rule_scores".split(),
-    *[n for n in QUERIES if n.startswith(("notes_", "kg_populate"))], "sync_counts", "index_update",
-]
-
-#: Queries that ask with few rows; in their whole form every row whose id is divisible by 20 is a query.
-FEW_ASKED = "search_vector search_hybrid search_vector_blocks search_wing_fallback search_cross_vault".split()
-
-#: Queries that filter their keys; in their whole form every key, event and room counts.
-FEW_KEYS = "kg_asof_facts kg_relation report_session_start palace_traverse palace_point_lookup".split()
-
-
-def whole(f):
-    """The query in its whole form."""
-
-    def run(spark, d):
-        token = X.whole.set(True)
-        try:
-            return f(spark, d)
-        finally:
-            X.whole.reset(token)
-
-    return run
-
-
-QUERIES.update({f"{n}_whole": whole(QUERIES[n]) for n in CUT_TEXTS + FEW_ASKED + FEW_KEYS})

@@ -123,7 +123,7 @@ def test_search(spark):
     q = spark.createDataFrame([(1, "beta", [1.0, 0.0])], "qid int, query string, embedding array<float>")
     got = S.vector(chunks, q, 5, hybrid=True).orderBy("rank").collect()
     assert [(r.path, r.match_type) for r in got] == [("a.md", "hybrid"), ("b.md", "semantic")] and abs(got[0].score - 1.3) < 1e-6
-    assert [r.path for r in S.vector_blocks(chunks, q, 5, True, 1).orderBy("rank").collect()] == ["a.md", "b.md"]
+    assert [r.path for r in S.vector(chunks, q, 5, True, 1, 1).orderBy("rank").collect()] == ["a.md", "b.md"]
     kw = S.keyword_chunks(chunks, spark.createDataFrame([(1, "BETA"), (2, "%")], "qid int, query string"), 500).collect()
     assert sorted((r.qid, r.path) for r in kw) == [(1, "a.md"), (1, "a.md"), (2, "b.md")]
     wings = spark.createDataFrame([(1, "b.", None)], "qid int, wing string, room string")

@@ -1,4 +1,4 @@
-"""Queries in their whole form: over whole texts, with every key."""
+"""Registered queries read whole texts and ask with every key."""
 
 from noteloom.plans.registry import QUERIES
 
@@ -11,22 +11,20 @@ def test_whole_texts(spark, tmp_path):
     turns = [(1, t, "user", f"{late}the outage had a root cause") for t in range(3)]
     spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
-    assert all("[[late" in r.content and "sk-abc" not in r.content for r in run("content_redact_whole"))
-    assert {r.target for r in run("notes_links_whole")} >= {"late3", "late6", "late7"}
-    assert not any("[[late" in r.content for r in run("content_redact"))
-    assert {r.message_type for r in run("msg_classify_whole")} == {"incident"}
+    assert all("[[late" in r.content and "sk-abc" not in r.content for r in run("content_redact"))
+    assert {r.target for r in run("notes_links")} >= {"late3", "late6", "late7"}
+    assert {r.message_type for r in run("msg_classify")} == {"incident"}
 
 
 def test_whole_searches(spark, tmp_path):
-    """Every row whose id is divisible by 20 asks, beyond the ids of the small form and beyond one block."""
+    """Every row whose id is divisible by 20 asks, beyond one block."""
     n = 300 * 20
     docs = spark.range(n).selectExpr("id as doc_id", "concat('word', id, ' shared text') as text", "'en' as lang", "'web' as source", "0L as n_chars")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     near = "array(cast(cos(id) as float), cast(sin(id) as float), cast(id / 6000 as float))"
     spark.range(n).selectExpr("id as vec_id", "cast(id % 10 as int) as label", f"{near} as embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
     asked = lambda name: {r.qid for r in QUERIES[name](spark, str(tmp_path)).collect()}
-    assert asked("search_vector_whole") == set(range(0, n, 20))
-    assert asked("search_vector") == set(range(0, 500, 25))
+    assert asked("search_vector") == set(range(0, n, 20))
 
 
 def test_whole_keys(spark, tmp_path):
@@ -36,6 +34,6 @@ def test_whole_keys(spark, tmp_path):
     events.selectExpr("event_id", "cast(at as timestamp) as ts", "user_id", "event_type", "value", "props").write.parquet(f"{tmp_path}/events.parquet")
     spark.createDataFrame([(1, "text", "en", "web", 4)], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
-    assert {f"user:{100 + i}" for i in range(7)} <= {r.entity for r in run("kg_asof_facts_whole")}
-    assert {(r.subject, r.predicate) for r in run("kg_relation_whole")} == {(f"user:{100 + i}", p) for i in range(7) for p in ("click", "view")}
-    assert any(r.line.startswith("- 63 ") for r in run("report_session_start_whole")) and not any(r.line.startswith("- 63 ") for r in run("report_session_start"))
+    assert {f"user:{100 + i}" for i in range(7)} <= {r.entity for r in run("kg_asof_facts")}
+    assert {(r.subject, r.predicate) for r in run("kg_relation")} == {(f"user:{100 + i}", p) for i in range(7) for p in ("click", "view")}
+    assert any(r.line.startswith("- 63 ") for r in run("report_session_start"))
