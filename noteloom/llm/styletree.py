@@ -7,11 +7,15 @@ repeats in the same form, near 1 for what differs from page to page. Copies of a
 count once, so they don't make its text unimportant. The tree is held as counts by host, node and feature, added up before they are
 shuffled, so no task holds a host.
 
-A branch of a page is removed if its kind says that it is no main text (menus, headers, footers, sidebars, notices,
-adverts, forms, comments), or if its node has low importance on a host with enough pages. If a page has article or main
-elements, their branches are judged alike, where copies of one element's text count once, and so pages that
-differ around it only don't make it unimportant; such an element itself and what holds it always stay. Beside these elements a branch stays if
-its node is judged and of importance; what isn't judged there goes.
+Every branch is judged, menus and adverts as well as parts of articles. Without article or main elements, and inside of them, a branch of
+a page goes if the more important of its node's two sides is below IMPORTANCE. (Inside, copies of one element's text count once, so that pages that
+differ around it only don't make it unimportant; such an element itself and what holds it always stay.) Beside them the branch has to be as
+diverse as articles are: it stays only if its node is judged and its importance is ALIKE or more, so that a menu drawn from some
+dozens of forms goes.
+
+What the tree can't see - hosts with few pages, or with a menu that differs on every page - is left to a prior: kinds of elements and names of
+classes known for menus, headers, footers, sidebars, notices, adverts, forms and comments go in any case. prior=False leaves it
+out, so that what the tree decides alone can be told.
 """
 
 from __future__ import annotations
@@ -27,8 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, as_bytes, saved
 
-#: Importance under which a node's branches go, and pages of a host from which it is judged.
-IMPORTANCE, PAGES = 0.35, 4
+#: Importance under which a node's branches go, the importance that one beside an article needs to stay, and the pages of a host from
+#: which a node is judged.
+IMPORTANCE, ALIKE, PAGES = 0.35, 0.95, 4
 
 _PRIME, _RADIX = (1 << 61) - 1, 0x9E3779B97F4A7C15 % ((1 << 61) - 1)
 
@@ -45,23 +50,30 @@ NOISE = frozenset(
     "breadcrumbs header footer foot sidebar side aside rail widget widgets notice notices notification alert cookie cookies consent gdpr popup modal overlay subscribe "
     "subscription newsletter signup login comment comments reply replies respond discussion disqus share sharing social related recommended recommendations pagination pager "
     "masthead copyright legal disclaimer toolbar skip search form".split())
-CLOSES = {
-    "li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)),
-    "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",)),
-}
+#: Of elements that end others of their family: the family's name and the elements it doesn't reach out of.
+FAMILY = {"li": "li", "dt": "dt", "dd": "dt", "tr": "tr", "td": "td", "th": "td", "option": "option", "p": "p"}
+HOLDS = {"ul": ("li",), "ol": ("li",), "menu": ("li",), "dl": ("dt",), "table": ("tr", "td", "p"), "tr": ("td",), "select": ("option",), "button": ("p",), "td": ("p",), "th": ("p",)}
 _ENDS_P = BLOCK - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body"}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+_STOP = re.compile(r">|=\s*([\"'])")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _NAME = re.compile(r"[a-z]+|[0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "kind", "noise", "kids", "parent")
+    """scope: the open elements of each family that an element here would end; inside: whether an article holds it."""
+
+    __slots__ = ("tag", "kind", "noise", "kids", "parent", "scope", "inside")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.parent, self.kids = tag, parent, []
         self.kind, self.noise = tag, tag in DROP
+        self.scope, self.inside = ({}, False) if parent is None else (parent.scope, parent.inside or parent.tag == "article")
+        if tag in FAMILY or tag in HOLDS:
+            self.scope = {k: v for k, v in self.scope.items() if k not in HOLDS.get(tag, ())}
+            if tag in FAMILY:
+                self.scope[FAMILY[tag]] = self
         if attrs and "=" in attrs or attrs.strip() == "hidden":
             found = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attrs)}
             label = f"{found.get('class', '')} {found.get('id', '')}".strip()
@@ -73,67 +85,86 @@ class Node:
                           or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower())
 
 
+def _tag_end(page: str, at: int) -> int:
+    """The place of the > that ends a tag whose name ends at a place, -1 without one. A > in a quoted value doesn't end it; a quote that
+    is never closed is a plain character."""
+    while True:
+        m = _STOP.search(page, at)
+        if m is None or m[1] is None:
+            return -1 if m is None else m.start()
+        close = page.find(m[1], m.end())
+        if close < 0:
+            return page.find(">", at)
+        at = close + 1
+
+
 def parse(page: str) -> Node:
-    """A page's tree of elements and texts; open elements are closed where HTML lets them be."""
+    """A page's tree of elements and texts; open elements are closed where HTML lets them be. Time is linear in the page: what is open is
+    counted by tag, and elements know what they would end, so nothing is looked for along the branch in vain."""
     root = top = Node("root", "", None)
-    at, low = 0, None
+    at, low, open_ = 0, None, {}
+
+    def leave(node: Node) -> Node:
+        """Closes node and what is open inside."""
+        nonlocal top
+        while True:
+            open_[top.tag] -= 1
+            top, closed = top.parent, top
+            if closed is node:
+                return top
+
     while True:
-        m = _TOKEN.search(page, at)
+        m = _OPEN.search(page, at)
         if m is None:
-            break
+            rest = page[at:]
+            if rest:
+                top.kids.append(rest)
+            return root
         if m.start() > at:
             top.kids.append(page[at:m.start()])
-        at = m.end()
-        if not m[2]:
-            continue
-        tag = m[2].lower()
         if m[1]:
-            node = top
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                top = node.parent
+            close = page.find("-->", m.end() - 2)
+            at = len(page) if close < 0 else close + 3
+            continue
+        end = page.find(">", m.end()) if m[2] or m[3] else _tag_end(page, m.end())
+        if end < 0:  # the page ends inside a tag
+            return root
+        at = end + 1
+        if m[2]:
+            continue
+        tag = m[4].lower()
+        if m[3]:
+            if open_.get(tag):
+                node = top
+                while node.tag != tag:
+                    node = node.parent
+                leave(node)
             elif tag == "p":
                 top.kids.append(Node("p", "", top))
             continue
+        attrs = page[m.end():end]
         if tag in RAW:
             low = page.lower() if low is None else low
-            end = low.find(f"</{tag}", at) if len(low) == len(page) else -1
-            if end < 0:
+            close = low.find(f"</{tag}", at) if len(low) == len(page) else -1
+            if close < 0 and len(low) != len(page):
                 found = re.compile(rf"</{re.escape(tag)}", re.I).search(page, at)
-                end = found.start() if found else len(page)
-            close = page.find(">", end)
+                close = found.start() if found else -1
+            close = -1 if close < 0 else page.find(">", close)
             at = len(page) if close < 0 else close + 1
             continue
-        if tag in _ENDS_P:
-            node = top
-            while node is not root and node.tag not in ("p", "button", "td", "th", "table"):
-                node = node.parent
-            if node.tag == "p":
-                top = node.parent
-        if tag in CLOSES:
-            closing, stop = CLOSES[tag]
-            closing, node = closing.split(), top
-            while node is not root and node.tag not in stop:
-                if node.tag in closing:
-                    top = node.parent
-                    break
-                node = node.parent
+        if tag in _ENDS_P and "p" in top.scope:
+            leave(top.scope["p"])
+        if tag in FAMILY and tag != "p" and FAMILY[tag] in top.scope:
+            leave(top.scope[FAMILY[tag]])
+        node = Node(tag, attrs, top)
         if tag == "header":
-            inside = top
-            while inside is not root and inside.tag != "article":
-                inside = inside.parent
-            node = Node(tag, m[3] if inside is root else "", top)
-            node.noise = inside is root or node.noise
-        else:
-            node = Node(tag, m[3], top)
+            if node.inside:
+                node.kind = tag
+            node.noise = not node.inside
         top.kids.append(node)
-        if tag not in VOID and not m[3].endswith("/"):
+        if tag not in VOID and not attrs.endswith("/"):
+            open_[tag] = open_.get(tag, 0) + 1
             top = node
-    rest = page[at:]
-    if rest and not re.match(r"<[a-zA-Z/!?]", rest):
-        top.kids.append(rest)
-    return root
 
 
 def _around(nodes: list[Node]) -> set[int]:
@@ -165,7 +196,8 @@ def _hash(x: str) -> int:
 
 
 def style_nodes(root: Node, mains: set[int]) -> Iterator[tuple[int, Node, Node | None]]:
-    """(path hash, node, main element around it) of the style tree's nodes. mains: ids of the main elements, which are no nodes themselves."""
+    """(path hash, node, main element around it) of the style tree's nodes. mains: ids of the main elements, which are no nodes themselves.
+    A branch of a kind known as noise is one node, since it goes as a whole."""
     stack: list[tuple[Node, int, Node | None]] = [(root, 0, None)]
     while stack:
         node, path, main = stack.pop()
@@ -173,9 +205,10 @@ def style_nodes(root: Node, mains: set[int]) -> Iterator[tuple[int, Node, Node |
             if isinstance(kid, Node) and kid.tag in BLOCK:
                 top = id(kid) in mains
                 here = _hash(f"{path}/{'!' if top else ''}{kid.kind}")
-                if kid.tag not in ("html", "body") and not kid.noise and not top:
+                if kid.tag not in ("html", "body") and not top:
                     yield here, kid, main
-                stack.append((kid, here, kid if top else main))
+                if not kid.noise:
+                    stack.append((kid, here, kid if top else main))
 
 
 def _contents(root: Node) -> dict[int, int]:
@@ -215,8 +248,9 @@ def features(page: str) -> Iterator[tuple[int | None, int, int, int]]:
         yield key, path, kind + 1, content[id(node)]
 
 
-def extract(page: str, low: frozenset[int] | set[int] = frozenset(), high: frozenset[int] | set[int] = frozenset()) -> str:
-    """The main text of a page, with the branches of low importance removed and those of high importance beside main elements kept."""
+def extract(page: str, low: frozenset[int] | set[int] = frozenset(), high: frozenset[int] | set[int] = frozenset(), prior: bool = True) -> str:
+    """The main text of a page, with the branches of low importance removed and those of high importance beside main elements kept; and
+    without kinds known as noise, unless prior is False."""
     root = parse(page)
     mains = _main(root)
     tops = {id(m) for m in mains}
@@ -241,7 +275,7 @@ def extract(page: str, low: frozenset[int] | set[int] = frozenset(), high: froze
         elif isinstance(kid, str):
             if inside:
                 run.append(kid)
-        elif not kid.noise:
+        elif not (prior and kid.noise):
             if kid.tag in BLOCK:
                 close()
                 stack.append((None, inside))
@@ -257,9 +291,9 @@ def host_of(url) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-def low_nodes(pages: DataFrame, importance: float = IMPORTANCE, least: int = PAGES) -> DataFrame:
+def low_nodes(pages: DataFrame, importance: float = IMPORTANCE, alike: float = ALIKE, least: int = PAGES) -> DataFrame:
     """(host, low, high): the paths of a host's style nodes whose presentation and content are both of low importance, and the paths of
-    the other judged ones outside main elements. pages: host, html."""
+    those outside main elements of which one is as diverse as articles are. pages: host, html."""
 
     def run(batches):
         for batch in batches:
@@ -277,14 +311,15 @@ def low_nodes(pages: DataFrame, importance: float = IMPORTANCE, least: int = PAG
     spread = counts.groupBy("host", "path", "kind").agg(n.alias("n"), (F.log(n) - F.sum(c * F.log(c)) / n).alias("entropy"))
     judged = spread.where(F.col("n") >= least).withColumn("importance", F.col("entropy") / F.log("n"))
     nodes = judged.groupBy("host", "path").agg(F.max("importance").alias("importance"), F.max("kind").alias("kind"))
-    small = F.col("importance") < importance
+    beside = F.col("kind") < 2
+    small, large = F.col("importance") < importance, beside & (F.col("importance") >= alike)
     return (
-        nodes.where(small | (F.col("kind") < 2))
-        .groupBy("host").agg(F.collect_list(F.when(small, F.col("path"))).alias("low"), F.collect_list(F.when(~small, F.col("path"))).alias("high"))
+        nodes.where(small | large)
+        .groupBy("host").agg(F.collect_list(F.when(small, F.col("path"))).alias("low"), F.collect_list(F.when(large, F.col("path"))).alias("high"))
     )
 
 
-def main_text(pages: DataFrame) -> DataFrame:
+def main_text(pages: DataFrame, prior: bool = True) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages.
 
     Null or empty html, and pages without main text, give an empty text; a null or odd url puts the page on the host "";
@@ -297,7 +332,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             judged = zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())
-            texts = [extract(raw.decode("utf-8", "replace"), set(low or ()), set(high or ())) for raw, (low, high) in zip(as_bytes(batch.column(2)), judged)]
+            texts = [extract(raw.decode("utf-8", "replace"), set(low or ()), set(high or ()), prior) for raw, (low, high) in zip(as_bytes(batch.column(2)), judged)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()

@@ -1,5 +1,9 @@
 import collections
+import html
 import math
+import os
+import random
+import time
 import zlib
 
 import numpy as np
@@ -17,6 +21,9 @@ from noteloom.llm.common import tokens
 from .conftest import frame, upper
 
 
+DATA = "/root/testdata/sf0.01"
+
+
 def junk(text):
     return " ".join(w + "###" for w in text.split())
 
@@ -258,6 +265,145 @@ def test_style_tree_deep_pages(spark):
     assert got[3] == "Story 3" and got[52] == "2" and got[60] == "end"
 
 
+def blocks_of(node):
+    return [k for k in node.kids if isinstance(k, S.Node) and k.tag in S.BLOCK]
+
+
+def words_of(node):
+    """The texts between the edges of blocks inside a node."""
+    out, run = [], []
+
+    def walk(n):
+        for k in n.kids:
+            if isinstance(k, str):
+                run.append(k)
+            else:
+                edge = k.tag in S.BLOCK
+                if edge:
+                    cut()
+                walk(k)
+                if edge:
+                    cut()
+
+    def cut():
+        text = " ".join(html.unescape("".join(run)).split())
+        run.clear()
+        if text:
+            out.append(text)
+
+    walk(node)
+    cut()
+    return tuple(out)
+
+
+def slow_tree(pages):
+    """{host: {(path, inside): importance}} by the definition, with whole paths and contents in dictionaries."""
+    seen = collections.defaultdict(set)
+    for host, page in pages:
+        root = S.parse(page)
+        mains = [id(m) for m in S._main(root)]
+
+        def walk(node, path, main):
+            for k in blocks_of(node):
+                at = path + (("!" if id(k) in mains else "") + k.kind,)
+                if id(k) not in mains and k.tag not in ("html", "body"):
+                    copy = page if main is None else words_of(main)
+                    seen[host, at, main is not None, "shape"].add((copy, tuple(x.kind for x in k.kids if isinstance(x, S.Node))))
+                    seen[host, at, main is not None, "text"].add((copy, words_of(k)))
+                if not k.noise:
+                    walk(k, at, k if id(k) in mains else main)
+
+        walk(root, (), None)
+    out = collections.defaultdict(dict)
+    for (host, at, inside, _), pairs in seen.items():
+        n, count = len(pairs), collections.Counter(x for _, x in pairs)
+        if n >= S.PAGES:
+            h = -sum(c / n * math.log(c / n) for c in count.values()) / math.log(n)
+            out[host][at, inside] = max(h, out[host].get((at, inside), 0))
+    return out
+
+
+def slow_text(page, judged, prior):
+    root = S.parse(page)
+    mains = S._main(root)
+    tops, around = [id(m) for m in mains], set()
+    for m in mains:
+        while m is not None:
+            around.add(id(m))
+            m = m.parent
+    out = S.Node("root", "", None)
+
+    def walk(node, to, path, keep):
+        for k in node.kids:
+            if isinstance(k, str):
+                if keep:
+                    to.kids.append(k)
+                continue
+            if prior and k.noise:
+                continue
+            copy = S.Node(k.tag, "", to)
+            to.kids.append(copy)
+            if k.tag not in S.BLOCK or id(k) in tops or k.tag in ("html", "body"):
+                at = path + (("!" if id(k) in tops else "") + k.kind,) if k.tag in S.BLOCK else path
+                walk(k, copy, at, keep or id(k) in tops)
+                continue
+            at = path + (k.kind,)
+            inside, beside = judged.get((at, True)), judged.get((at, False))
+            if id(k) not in around:
+                if min(x for x in (inside, beside, 9) if x is not None) < S.IMPORTANCE:
+                    continue
+                walk(k, copy, at, keep or (beside is not None and max(beside, inside or 0) >= S.ALIKE))
+            else:
+                walk(k, copy, at, keep)
+
+    walk(root, out, (), not mains)
+    return " ".join(words_of(out))
+
+
+def site(rng, prose, host, n):
+    """Pages with menus, notices and boxes in few forms and with stories in many, some in articles, some beside."""
+    few = [prose(5) for _ in range(4)]
+    out = []
+    for i in range(n):
+        menu = "".join(f"<li>{x}" for x in rng.sample(few, 3))
+        story = "".join(f"<p>{prose(8)}" for _ in range(rng.randint(1, 4)))
+        box = f"<div class='box'>{few[0]}</div>"
+        body = {0: f"<article><h1>{prose(3)}</h1>{box}{story}</article>", 1: f"<div class='story'>{story}{box}</div>", 2: f"<article class='teaser'>{prose(4)}</article><div class='story'>{story}</div>"}[host % 3]
+        out.append((f"h{host}.example", f"<html><body><ul class='top'>{menu}</ul><div class='wrap'>{body}<div class='more'>{rng.choice(few)}</div></div><div class='end'>{few[1]}</div><footer>{few[2]}</footer></body></html>"))
+    return out
+
+
+@pytest.mark.parametrize("prior", [True, False])
+def test_style_tree_matches_brute_force(spark, prose, prior):
+    rng = random.Random(8)
+    pages = [x for h, n in enumerate((12, 14, 30, 3, 9)) for x in site(rng, prose, h, n)]
+    pages += rng.sample(pages, 6)
+    df = spark.createDataFrame([(i, f"http://{h}/{i}", p) for i, (h, p) in enumerate(pages)], "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in S.main_text(df, prior=prior).collect()}
+    trees = slow_tree(pages)
+    want = {i: slow_text(p, trees[h], prior) for i, (h, p) in enumerate(pages)}
+    assert got == want
+    changed = sum(S.extract(p, prior=prior) != got[i] for i, (_, p) in enumerate(pages))
+    assert changed > 20 and any(0 < v < S.IMPORTANCE for t in trees.values() for v in t.values())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_style_tree_decides_on_the_tables(spark):
+    """Without the prior the tree still finds the articles of most pages, where a page by itself shows menus and adverts as well."""
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    want = {r.page_id: r.text for r in S.main_text(pages).collect()}
+    alone = {r.page_id: r.text for r in S.main_text(pages, prior=False).collect()}
+    assert sum(want[i] == alone[i] for i in want) > len(want) / 2
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "x", "<a " * 350_000, "<div>" * 50_000 + "</x>" * 50_000, "<p>" + "<div>" * 50_000, "<a href='" * 100_000, "<p><table><tr><td>" + "<div><li>" * 30_000, "<" * 1_000_000, "<article>" * 50_000])
+def test_style_tree_time_is_linear(page):
+    began = time.process_time()
+    S.extract(page)
+    list(S.features(page))
+    assert time.process_time() - began < 20
+
+
 def test_perspectives(spark):
     rows = [(1, 0, "system", "Be kind"), (1, 1, "ann", "Hi"), (1, 2, "bob", None), (1, 3, "ann", "Bye"), (2, 0, "system", "x"), (3, 0, None, "who"), (3, 1, "ann", "é"), (3, 1, "ann", "é"), (None, 0, "ann", "n")]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
