@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -84,6 +85,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: A random word for each byte at each of the first places of a word (tabulation hashing); longer words are hashed by XXH64.
+_PLACES = 64
+_TABLE = np.random.default_rng(64).integers(0, 1 << 64, _PLACES * 256, np.uint64)
 
 
 def tokens(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -99,11 +103,13 @@ def tokens(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarr
         empty = np.zeros(0, np.int64)
         return empty, empty, empty, np.zeros(0, np.uint64)
     lengths = ends - starts
-    keep = np.flatnonzero(~blank)
-    within = keep - np.repeat(starts, lengths)
-    part = (data[keep].astype(np.uint64) + np.uint64(1)) * powers(int(lengths.max()))[within]
-    first = np.r_[0, np.cumsum(lengths)[:-1]]
+    taken = np.minimum(lengths, _PLACES)
+    first = np.r_[0, np.cumsum(taken)[:-1]]
+    within = np.arange(int(taken.sum())) - np.repeat(first, taken)
+    part = _TABLE[within << 8 | data[np.repeat(starts, taken) + within]]
     hashes = mix64(np.add.reduceat(part, first) ^ (lengths.astype(np.uint64) << np.uint64(56)))
+    for i in np.flatnonzero(lengths > _PLACES):
+        hashes[i] = xxhash.xxh64_intdigest(data[starts[i]:ends[i]])
     bounds = np.cumsum([len(t) + 1 for t in texts])
     return np.searchsorted(bounds, starts, side="right"), starts, lengths, hashes
 
@@ -181,6 +187,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df itself if it is read straight from files, so that two readings see the same rows in the same batches; else written once."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return df if "FileScan" in plan and "Exchange" not in plan else stored(df)
+
+
 def prefix_sums(rows: DataFrame, keys: list[str], order: list[str], sums: dict[str, str]) -> DataFrame:
     """rows with running sums (the row included) of columns within the rows of equal keys in the given order, nulls first.
 

@@ -78,55 +78,143 @@ def slow_scores(docs):
     """The model's definition, in dictionaries."""
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
     seqs = [(i, [w for w in (t or "").encode().lower().split()] + [None]) for i, t in docs]
-    uni, bi = collections.Counter(), collections.Counter()
+    uni, grams = collections.Counter(), (collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter))
     for i, s in seqs:
         if not held(i):
             uni.update(s)
-            bi.update(zip([0, *s[:-1]], s))
+            for c, w in zip([0, *s[:-1]], s):
+                grams[0][c][w] += 1
+            for b, c, w in zip([0, *s[:-2]], s[:-1], s[1:]):
+                grams[1][b, c][w] += 1
     n, v = sum(uni.values()), len(uni)
+    count = lambda w: uni[None] if w == 0 else uni[w]
+    hot = lambda w: count(w) * G.HOT > n
+    q = lambda x: 2.0 ** (-float(np.clip(np.rint(-8 * np.log2(max(x, 1e-12))), 0, 254)) / 8)
     p1 = lambda w: (uni[w] + 0.1) / (n + 0.1 * (v + 1))
+
+    def mixed(level, context, w, lower):
+        after, off = grams[level].get(context), G.DISCOUNTS[level]
+        if not after:
+            return lower
+        total = sum(after.values())
+        if not level and hot(context):
+            lam = float(G.weight(count(context)))
+            return (q(lam * after[w] / total) if after[w] else 0) + q(1 - lam) * lower
+        return (q((after[w] - off) / total) if after[w] else 0) + q(off * len(after) / total) * lower
+
     out = []
     for i, s in seqs:
-        total = 0.0
-        for c, w in zip([0, *s[:-1]], s):
-            seen = uni[None] if c == 0 else uni[c]
-            lam = float(G.weight(seen))
-            kept = 2.0 ** (-float(np.clip(np.rint(-8 * np.log2(max(lam * bi[c, w] / seen, 1e-12))), 0, 254)) / 8) if bi[c, w] else 0.0
-            total += math.log10(kept + (1 - lam) * p1(w))
-        out.append((i, held(i), len(s), sum(uni[w] > 0 for w in s), n, sum(math.log10(p1(w)) for w in s), total))
+        score = 0.0
+        for k, w in enumerate(s):
+            c = s[k - 1] if k else 0
+            p = mixed(0, c, w, p1(w))
+            if k:
+                b = s[k - 2] if k > 1 else 0
+                p = p if hot(b) and hot(c) else mixed(1, (b, c), w, p)
+            score += math.log10(p)
+        out.append((i, held(i), len(s), sum(uni[w] > 0 for w in s), n, sum(math.log10(p1(w)) for w in s), score))
     return out
 
 
-@pytest.mark.parametrize("hot", [400, 10**9])
-def test_ngram(spark, prose, odd, none, monkeypatch, hot):
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+@pytest.mark.parametrize("hot, shard", [(400, 2_000_000), (12, 300), (1500, 700)])
+def test_ngram(spark, prose, odd, none, monkeypatch, hot, shard):
     monkeypatch.setattr(G, "HOT", hot)
+    monkeypatch.setattr(G, "SHARD", shard)
     rows = [(i, prose(40) + (" The the THE of" * 5 if i % 3 == 0 else ""), "s") for i in range(120)] + [(500, None, "s"), (501, "", "s"), (500, None, "s"), (None, "x", "s")]
+    rows += [(600 + i, rows[i][1], "s") for i in range(20)]
+    learnt = next(i for i in range(700, 800) if zlib.crc32(str(i).encode()) % 10)
+    kept = next(i for i in range(700, 800) if not zlib.crc32(str(i).encode()) % 10)
+    rows += [(learnt, thue_morse(1024), "s"), (kept, thue_morse(1024, "b", "a"), "s")]  # words that a polynomial hash takes for equal
     key = lambda r: (r[0] is None, r[0] or 0, r[2])
     got = sorted((tuple(r) for r in G.score(frame(spark, rows)).collect()), key=key)
     want = sorted(slow_scores([r[:2] for r in rows]), key=key)
     for g, w in zip(got, want):
         assert g[:5] == w[:5] and abs(g[5] - w[5]) < 1e-6 and abs(g[6] - w[6]) < 1e-6
     assert len(got) == len(want) and G.score(none).count() == 0 and G.score(odd).count() == odd.count()
-    held = [w for w in want if w[1] and w[2] > 1]
-    assert held
+    assert [w for w in want if w[1] and w[2] > 1] and next(w for w in want if w[0] == kept)[3] == 1
+
+
+def test_ngram_keeps_the_mass(prose):
+    """What the successors of a context keep and leave over is one, up to the codes."""
+    table = asked_of([[prose(60).encode() for _ in range(6)]])
+    trie = G._merged([G._unpack(x.as_py()) for x in table.column("blob")], {})[0]
+    for level, above in ((0, len(trie.contexts)), (1, trie.successors[0].n)):
+        starts = trie.pointers[level].get(np.arange(above + 1)).astype(int)
+        share, left = G.decode(trie.shares[level], 0), G.decode(trie.backs[level], 1)
+        some = np.flatnonzero(starts[1:] > starts[:-1])
+        mass = np.array([share[starts[i]:starts[i + 1]].sum() + left[i] for i in some])
+        assert abs(mass - 1).max() < 0.05
+
+
+def asked_of(batches, hot=None):
+    """The rows that batches of texts ask of a single shard, as a table."""
+    import pyarrow as pa
+
+    out = []
+    for n, texts in enumerate(batches):
+        at, sizes, vocab, home, salt, is_hot, start = G._vocabulary(texts, 1, np.zeros(0, np.uint64))
+        p = G.Paths.of(at, sizes, start, home, salt, is_hot, 1)
+        lead, runs = p.leads(0)
+        tail, many = vocab[p.second] >> np.uint64(24), np.bincount(p.under, minlength=len(p.lead))
+        counts = [np.bincount(p.bigram, minlength=len(p.lead)), np.bincount(p.trigram[p.trigram >= 0], minlength=len(p.under))]
+        out.append(G._pack(vocab[lead], runs, tail.astype(np.uint32), (tail >> np.uint64(32)).astype(np.uint8), counts[0], many, (vocab[p.third] >> np.uint64(32)).astype(np.uint32), counts[1]))
+    return pa.table({"kind": pa.array([G._PATHS] * len(out), pa.int32()), "blob": pa.array(out, pa.binary())})
+
+
+def test_shards_answer_from_a_mapped_file(prose, monkeypatch):
+    import mmap
+
+    import pyarrow as pa
+
+    maps, real = [], mmap.mmap
+    monkeypatch.setattr(G.mmap, "mmap", lambda *a, **k: maps.append(real(*a, **k)) or maps[-1])
+    table = asked_of([[prose(50).encode() for _ in range(4)] for _ in range(3)])
+    got = G._answer({})((pa.scalar(G._PATHS), pa.scalar(0)), table)
+    assert len(maps) == 1 and len(maps[0]) > 100 and all(len(G._unpack(x.as_py())) == 4 for x in got.column("blob"))
+    assert all((G._unpack(x.as_py())[1] < G.ABSENT).all() for x in got.column("blob"))  # every bigram was counted
 
 
-def test_elias_fano(tmp_path):
+def test_elias_fano():
     rng = np.random.default_rng(1)
-    for n, top in ((0, 1), (1, 5), (1000, 1 << 40), (5000, 6000), (300, 1 << 62)):
+    for n, top in ((0, 1), (1, 5), (1, 1 << 62), (1000, 1 << 40), (5000, 6000), (300, 1 << 62), (4000, 50), (777, 1 << 20)):
         v = np.sort(rng.integers(0, top, n, dtype=np.uint64))
-        e = G.EliasFano(v)
-        assert (e.decode() == v).all() and (G.EliasFano.from_buffer(e.to_bytes())[0].decode() == v).all()
+        for e in (G.EliasFano(v), G.EliasFano.from_buffer(b"x" * 8 + G.EliasFano(v).to_bytes(), 8)[0]):
+            assert (e.get(np.arange(n)) == v).all()
+            asked = np.unique(np.r_[v, v + np.uint64(1), rng.integers(0, top, 50, dtype=np.uint64), np.uint64(1 << 63)])
+            first, last = np.sort(rng.integers(0, n + 1, (2, len(asked))), axis=0)
+            for a, b in ((np.zeros(len(asked), int), np.full(len(asked), n)), (first, last)):
+                found = e.find(asked, a, b)
+                for x, i, j, k in zip(asked, a, b, found):
+                    place = i + int(np.searchsorted(v[i:j], x))
+                    assert k == (place if place < j and v[place] == x else -1)
+
+
+def test_trie_over_a_mapped_file(tmp_path):
+    rng = np.random.default_rng(2)
     contexts = np.unique(rng.integers(0, 1 << 63, 50, dtype=np.uint64))
-    keys = np.unique(rng.integers(0, 50, 900, dtype=np.uint64) << np.uint64(G.TAIL) | rng.integers(0, 1 << 40, 900, dtype=np.uint64))
-    t = G.Trie.build(contexts, keys, np.full(len(keys), 2.0), np.full(50, 40.0))
+    two = np.unique(rng.integers(0, 50, 900, dtype=np.uint64) << np.uint64(40) | rng.integers(0, 1 << 40, 900, dtype=np.uint64))
+    three = np.unique(rng.integers(0, len(two), 1500, dtype=np.uint64) << np.uint64(32) | rng.integers(0, 1 << 32, 1500, dtype=np.uint64))
+    t = G.Trie.build(contexts, (two, three), (np.full(len(two), 2.0), np.full(len(three), 1.0)))
     (tmp_path / "t").write_bytes(t.to_bytes())
-    mapped = G.Trie.from_buffer(np.memmap(tmp_path / "t", mode="r"))
-    number, tail = (keys >> np.uint64(G.TAIL)).astype(int), keys & np.uint64((1 << G.TAIL) - 1)
-    for trie in (t, mapped):
-        assert (trie.find(contexts[number], tail) == t.codes).all()
-        assert (trie.find(contexts[number], tail ^ np.uint64(1)) == G.ABSENT).sum() >= len(keys) - 2
-        assert (trie.find(contexts[number] + np.uint64(1), tail) == G.ABSENT).all()
+    for trie in (t, G.Trie.from_buffer(np.memmap(tmp_path / "t", mode="r"))):
+        assert (trie.numbers(contexts) == np.arange(len(contexts))).all() and (trie.numbers(contexts + np.uint64(1)) == -1).all()
+        node, tail = (two >> np.uint64(40)).astype(int), two & np.uint64((1 << 40) - 1)
+        assert (trie.step(0, node, tail) == np.arange(len(two))).all() and (trie.step(0, (node + 1) % 50, tail) == -1).all() and (trie.step(0, np.full(len(tail), -1), tail) == -1).all()
+        node, tail = (three >> np.uint64(32)).astype(int), three & np.uint64((1 << 32) - 1)
+        assert (trie.step(1, node, tail) == np.arange(len(three))).all()
+        assert (trie.share(1, np.arange(len(three))) == t.shares[1]).all() and set(trie.back(0, np.array([-1]))) == {G.ABSENT}
+
+
+def test_tries_hold_the_counts(spark, prose):
+    rows = [(i, prose(30), "s") for i in range(40)]
+    held = {i for i, *_ in rows if zlib.crc32(str(i).encode()) % 10 == 0}
+    pairs = {p for i, t, _ in rows if i not in held for w in [["", *t.lower().split(), None]] for p in zip(w, w[1:])}
+    found = G.tries(frame(spark, rows)).collect()
+    assert sum(G.Trie.from_buffer(bytes(r.trie)).successors[0].n for r in found) == len(pairs)
 
 
 def test_decontaminate(spark, prose, odd, none):
