@@ -212,7 +212,8 @@ def test_trie_over_a_mapped_file(tmp_path):
 def test_tries_hold_the_counts(spark, prose):
     rows = [(i, prose(30), "s") for i in range(40)]
     held = {i for i, *_ in rows if zlib.crc32(str(i).encode()) % 10 == 0}
-    pairs = {p for i, t, _ in rows if i not in held for w in [["", *t.lower().split(), None]] for p in zip(w, w[1:])}
+    words = [[b"", *t.encode().lower().split(), None] for i, t, _ in rows if i not in held]
+    pairs = {p for w in words for p in zip(w, w[1:])}
     found = G.tries(frame(spark, rows)).collect()
     assert sum(G.Trie.from_buffer(bytes(r.trie)).successors[0].n for r in found) == len(pairs)
 
