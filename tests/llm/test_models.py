@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from noteloom.llm import decontaminate as B
 from noteloom.llm import mixing as M
@@ -308,8 +309,37 @@ def test_neighbours(spark):
     assert A.search(df.limit(0), df).count() == 0 and A.search(df, df.limit(0)).count() == 0
 
 
+def test_neighbours_route(spark):
+    """On clusters a query visits few cells, and compares fewer and fewer of the vectors as these grow; extra and clashing columns don't matter."""
+    rng, share = np.random.default_rng(6), []
+    centres = rng.normal(size=(400, 24))
+    for n in (2000, 20_000):
+        v = centres[rng.integers(0, 400, n)] + rng.normal(0, 0.1, (n, 24))
+        rows = [(i, x.tolist(), "x", 1.0) for i, x in enumerate(v)]
+        df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, cell string, score double").withColumn("q_id", F.lit("y")).withColumn("worst", F.lit(0.0)).cache()
+        asked = df.where(f"vec_id % {n // 20} = 0")
+        got = A.search(df, asked, part=500, block=3).toPandas()
+        hit = 0
+        for q in range(0, n, n // 20):
+            d = np.sqrt(((v - v[q]) ** 2).sum(axis=1))
+            hit += len(set(got[got.query_id == q].vec_id) & set([i for i in np.lexsort((np.arange(n), d)) if i != q][:10]))
+        assert hit / 200 >= 0.95 and got.groupby("query_id").size().eq(10).all()
+        share.append(A.effort(df, asked, part=500, block=3).agg(F.sum("verified")).first()[0] / 20 / n)
+        df.unpersist()
+    assert share[1] < share[0] / 2 and share[1] < 0.1
+
+
+def test_neighbours_long_vectors(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=5000 if i % 2 else 3).tolist()) for i in range(40)] + [(7, rng.normal(size=5000).tolist())] * 2
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = A.search(df, df.where("vec_id < 4"), k=30).toPandas()
+    assert got[got.query_id == 2].vec_id.mod(2).eq(0).all() and got.groupby("query_id").size().to_dict() == {0: 19, 1: 19, 2: 19, 3: 19}
+
+
 def test_chi_square():
     assert abs(A.chi_square(15.507, 8) - 0.95) < 1e-4 and A.chi_square(0.0) == 0
+    assert abs(A.chi_square_inverse(0.95, 8) - 15.507) < 1e-3
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p><article>no</article>";</script></head><body><header>Site <b>head</b></header>
