@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -164,6 +165,46 @@ def only_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns to add that df doesn't have, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+class Ids(NamedTuple):
+    """odd: (id, text_hash) of the doc_ids that stand with different texts, and the least hash of these; None if there are none. again: whether
+    any doc_id stands in several rows."""
+
+    odd: DataFrame | None
+    again: bool
+
+
+def ids_of(docs: DataFrame) -> Ids:
+    h = F.xxhash64("text")
+    by = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(
+        F.min(h).alias("text_hash"), F.max(h).alias("most"), F.count("*").alias("n"))
+    many = saved(by.where("n > 1"))
+    again, odd = many.limit(1).count() > 0, many.where("text_hash <> most").select("id", "text_hash")
+    return Ids(odd if again and odd.limit(1).count() else None, again)
+
+
+def main_rows(rows: DataFrame, odd: DataFrame | None, name: str = "main") -> DataFrame:
+    """rows (doc_id, text, ...) with a column that says whether a row is the document of its doc_id. Of rows with one id and different texts
+    it is the one whose text has the least hash."""
+    if odd is None:
+        return rows.withColumn(name, F.lit(True))
+    id_, least = free(rows.withColumn(name, F.lit(True)), "odd_id", "odd_hash")
+    odd = odd.select(F.col("id").alias(id_), F.col("text_hash").alias(least))
+    odd = F.broadcast(odd) if odd.count() <= BROADCAST_IDS else odd
+    own = F.coalesce(F.xxhash64("text") == F.col(least), F.col(least).isNull())
+    return rows.join(odd, F.col("doc_id").cast("long") == F.col(id_), "left").withColumn(name, own).drop(id_, least)
+
+
 _STORED: list[tuple[SparkSession, str]] = []
 
 
