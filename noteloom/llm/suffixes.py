@@ -4,18 +4,18 @@ Anchors. Of the K-byte strings in every window of LENGTH bytes the one of least
 window's anchor. Equal windows have their anchor at the same place, so a repeated window has a repeated anchor, and
 only suffixes at repeated anchors, with the bytes before them that a window can reach, have to be compared.
 
-Contexts. (What has an equal earlier in its batch of rows is settled before the shuffle.) What a window can reach around an anchor is its context. Occurrences whose whole context equals an earlier one's
-(by a 64-bit hash among the occurrences of one anchor) are covered by it, and are decided without their bytes. Only the first
-occurrence of each different context goes on, and only if its anchor has several.
+Contexts. What a window can reach around an anchor is its context. Equal suffixes need one place in the array only: occurrences whose
+whole context equals an earlier one's (by a 64-bit hash among the occurrences of one anchor; within a batch of rows already before the shuffle)
+are one class, and the first of each class stands for it, if its anchor has several.
 
 Suffix array. These suffixes are sorted by Spark within partitions by anchor: each partition is a (sparse) suffix array.
 It is scanned with a stack over the common prefixes of neighbours, which gives the nodes of the interval tree:
 all occurrences that share the next r bytes. Within a node, the left contexts are told apart in the same way
 (from the anchor backwards): a class that shares l bytes is a maximal repeat of l + r bytes with all its occurrences, left- and
-right-diverse. If it has LENGTH bytes or more, all but its first occurrence are removed.
+right-diverse. If it has LENGTH bytes or more, all but its first occurrence are removed. groups() returns these repeats.
 
-The contexts of an anchor with more than GROUP
-different ones are not dealt by anchor: their windows are reduced to their first places by an aggregation.
+The contexts of an anchor with more than GROUP different ones - a line or passage that stands in many surroundings - are not compared in one task: their
+windows are reduced to their first places by an aggregation over 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -24,15 +24,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BASE, BROADCAST_IDS, as_bytes, chunks, later, mix64, only_ids, powers, saved, shuffle_parts, stored
+from .common import BASE, BROADCAST_IDS, Ids, as_bytes, chunks, free, ids_of, later, main_rows, mix64, only_ids, powers, saved, shuffle_parts, stored
 
 LENGTH = 100
 K = 32
-#: Different contexts of an anchor that are compared in memory (about 200 bytes each); more are aggregated.
-GROUP = 20_000
+#: Different contexts of an anchor that are compared in one task (about 200 bytes each); more are aggregated.
+GROUP = 1_000
 _PIECE = 1 << 19
 _PLACE = np.uint64((1 << 24) - 1)
 _BASE = np.uint64(BASE)
@@ -120,26 +121,27 @@ def intervals(strings: list[bytes]) -> list[tuple[int, int, int]]:
     return nodes
 
 
-def repeats(group: list[tuple[bytes, bytes, tuple]], length: int) -> list[tuple[tuple, int, int]]:
-    """Of the suffixes at one anchor (right bytes, reversed left bytes, (doc, place)), sorted by right bytes, those that occur in maximal
-    repeats of length bytes or more, but not first: (occurrence, bytes before, bytes from the anchor on); one row for each, since
-    all its repeats hold the anchor."""
-    if len(group) == 2:
-        (r1, l1, o1), (r2, l2, o2) = group
-        r, left = _common(r1, r2), _common(l1, l2)
-        return [(max(o1, o2), left, r)] if r + left >= length and o1 != o2 else []
-    widest: dict[tuple, tuple[int, int]] = {}
+def maximal(group: list[tuple], length: int) -> list[tuple[int, int, list[tuple]]]:
+    """Of the suffixes at one anchor (right bytes, reversed left bytes, occurrence), sorted by right bytes, the maximal repeats of length bytes or
+    more: (bytes before the anchor, bytes from it on, all occurrences)."""
+    out = []
     for r, first, last in intervals([g[0] for g in group]):
         inside = sorted((g[1], g[2]) for g in group[first:last + 1] if len(g[1]) >= length - r)
-        if len(inside) < 2:
-            continue
-        for left, a, b in intervals([x[0] for x in inside]):
-            if left + r >= length:
-                start = min(x[1] for x in inside[a:b + 1])
-                for _, o in inside[a:b + 1]:
-                    if o > start:
-                        x, y = widest.get(o, (0, 0))
-                        widest[o] = max(x, left), max(y, r)
+        if len(inside) > 1:
+            out += [(left, r, [o for _, o in inside[a:b + 1]]) for left, a, b in intervals([x[0] for x in inside]) if left + r >= length]
+    return out
+
+
+def repeats(group: list[tuple[bytes, bytes, tuple]], length: int) -> list[tuple[tuple, int, int]]:
+    """Of the suffixes at one anchor those that occur in maximal repeats, but not first: (occurrence, bytes before, bytes from the anchor
+    on); one row for each, since all its repeats hold the anchor."""
+    widest: dict[tuple, tuple[int, int]] = {}
+    for left, r, occurrences in maximal(group, length):
+        start = min(occurrences)
+        for o in occurrences:
+            if o > start:
+                x, y = widest.get(o, (0, 0))
+                widest[o] = max(x, left), max(y, r)
     return [(o, a, b) for o, (a, b) in widest.items()]
 
 
@@ -189,19 +191,22 @@ def _windows(length: int):
         for batch in batches:
             rows = []
             for d, p, left, data in zip(*(c.to_pylist() for c in batch.columns)):
-                rows += [(data[i:i + length], d, p - left + i) for i in range(len(data) - length + 1)]
+                rows += [(xxhash.xxh3_128_digest(data[i:i + length]), d, p - left + i) for i in range(len(data) - length + 1)]
             cols = list(zip(*rows)) if rows else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["w", "doc_id", "a"])
 
     return run
 
 
-def removals(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """(doc_id, text, cut, spans) of the documents that lose bytes: cut has whole contexts to remove, packed as place << 16 | bytes
-    before << 8 | bytes from the place on; spans has further ones (a, b). They overlap as they come."""
-    if not K <= length < 256:
-        raise ValueError(f"length must be {K} to 255")
+def _rows(docs: DataFrame, odd: DataFrame | None) -> DataFrame:
+    """The documents: (doc_id, text) without nulls, one text to an id."""
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return main_rows(rows, odd).where("main").select("doc_id", "text")
+
+
+def _occurrences(rows: DataFrame, length: int, settle: bool = True) -> DataFrame:
+    """(h, c, doc_id, at, again): the anchors of all windows with their contexts, at as in removals(). If settle, what has an equal earlier in
+    its batch is marked by again and dealt by its document, not by its anchor."""
 
     def find(batches):
         for batch in batches:
@@ -215,13 +220,22 @@ def removals(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataF
             h, c, doc, at = (np.concatenate(x) for x in zip(*parts))
             if not len(h):
                 continue
-            again = later(h, c, doc, at)
-            # what has an earlier equal in its batch is decided: it is dealt by its document, not by its anchor
+            again = later(h, c, doc, at) if settle else np.zeros(len(h), bool)
             h = np.where(again, mix64(doc.astype(np.uint64)), h)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(doc), pa.array(at), pa.array(again)], ["h", "c", "doc_id", "at", "again"])
 
+    return rows.mapInArrow(find, "h bigint, c bigint, doc_id bigint, at bigint, again boolean")
+
+
+def removals(docs: DataFrame, length: int = LENGTH, group: int = GROUP, ids: Ids | None = None) -> DataFrame:
+    """(doc_id, text, cut, spans) of the documents that lose bytes: cut has whole contexts to remove, packed as place << 16 | bytes
+    before << 8 | bytes from the place on; spans has further ones (a, b). They overlap as they come. ids: ids_of(docs)."""
+    if not K <= length < 256:
+        raise ValueError(f"length must be {K} to 255")
+    ids = ids or ids_of(docs)
+    rows = _rows(docs, ids.odd)
     same, anchor = Window.partitionBy("h", "c"), Window.partitionBy("h")
-    found = rows.mapInArrow(find, "h bigint, c bigint, doc_id bigint, at bigint, again boolean").repartition(shuffle_parts(docs.sparkSession), "h")
+    found = _occurrences(rows, length).repartition(shuffle_parts(docs.sparkSession), "h")
     place = lambda c: F.when(~F.col("again"), F.col(c))
     first = ~F.col("again") & (F.struct("doc_id", "at") == F.min(F.when(~F.col("again"), F.struct("doc_id", "at"))).over(same))
     repeated = (
@@ -232,7 +246,8 @@ def removals(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataF
                                F.collect_set(F.when(~F.col("first"), F.col("at"))).alias("cut"))
     )
     repeated = stored(repeated)
-    texts = stored(only_ids(rows, saved(repeated.select("doc_id"))).dropDuplicates(["doc_id"]))
+    texts = only_ids(rows, saved(repeated.select("doc_id")))
+    texts = stored(texts.dropDuplicates(["doc_id"]) if ids.again else texts)
 
     def around(batches):
         for batch in batches:
@@ -271,7 +286,7 @@ def merged(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def cuts(docs: DataFrame, length: int = LENGTH, group: int = GROUP, with_text: bool = False) -> DataFrame:
+def cuts(docs: DataFrame, length: int = LENGTH, group: int = GROUP, with_text: bool = False, ids: Ids | None = None) -> DataFrame:
     """For the documents that lose bytes: (doc_id, n_removed, n_spans, kept_sha256, kept), kept (the remaining bytes) null unless
     asked for."""
     def run(batches):
@@ -286,7 +301,7 @@ def cuts(docs: DataFrame, length: int = LENGTH, group: int = GROUP, with_text: b
                     col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], ["doc_id", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return removals(docs, length, group).select("doc_id", "text", "cut", "spans").mapInArrow(
+    return removals(docs, length, group, ids).select("doc_id", "text", "cut", "spans").mapInArrow(
         run, "doc_id bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
 
 
@@ -294,38 +309,86 @@ def dedupe_report(docs: DataFrame, length: int = LENGTH, group: int = GROUP) ->
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of docs.
 
     A byte goes if a string of length bytes that covers it also starts earlier: in a document of smaller doc_id, or in the same one
-    further ahead. Null and empty texts have no bytes; a null doc_id loses nothing and is no earlier copy; rows that share a doc_id
-    are repeats of one document and get equal rows; an empty table gives no rows; other columns are ignored."""
-    cut = cuts(docs, length, group).select(F.col("doc_id").alias("id"), "n_removed", "n_spans", F.col("kept_sha256").alias("sha"))
+    further ahead. Null and empty texts have no bytes; a null doc_id loses nothing and is no earlier copy; rows that share a doc_id and the text
+    are repeats of one document and get equal rows; of rows that share a doc_id with different texts the one of least text hash is the
+    document, and the others lose nothing and are no earlier copies; an empty table gives no rows; other columns are ignored."""
+    ids = ids_of(docs)
+    cut = cuts(docs, length, group, ids=ids).select(F.col("doc_id").alias("id"), "n_removed", "n_spans", F.col("kept_sha256").alias("sha"))
     text = F.coalesce("text", F.lit(""))
-    whole = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"))
-    return whole.join(cut, whole.doc_id == cut.id, "left").select(
+    whole = main_rows(docs.select("doc_id", "text"), ids.odd).select(
+        "doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"), "main")
+    return whole.join(cut, (F.col("doc_id").cast("long") == cut.id) & F.col("main"), "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"))
 
 
 def dedupe(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """docs with repeated bytes cut from text (bytes left of a cut character are dropped with it) and n_chars set anew;
-    documents of which nothing is left go. Documents that lose nothing are unchanged."""
-    cut = stored(cuts(docs, length, group, with_text=True)).select(F.col("doc_id").alias("_cut_id"), "kept")
+    documents of which nothing is left go. Documents that lose nothing are unchanged. Rows that share a doc_id as in dedupe_report()."""
+    ids = ids_of(docs)
+    id_, new_text, main = free(docs, "cut_id", "cut_text", "is_main")
+    cut = stored(cuts(docs, length, group, with_text=True, ids=ids)).select(F.col("doc_id").alias(id_), "kept")
 
     def decode(batches):
         for batch in batches:
             texts = [None if x is None else x.decode("utf-8", "ignore") for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["_cut_id", "_cut_text"])
-
-    new = cut.mapInArrow(decode, "_cut_id bigint, _cut_text string").where("_cut_text <> ''")
-    ids = saved(cut.select("_cut_id"))
-    few = ids.count() <= BROADCAST_IDS
-    ids = F.broadcast(ids) if few else ids
-    same = docs.join(ids, docs.doc_id == ids._cut_id, "left_anti")
-    changed = docs.drop("text").join(ids, docs.doc_id == ids._cut_id, "left_semi").join(new, F.col("doc_id") == new._cut_id)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_, new_text])
+
+    new = cut.mapInArrow(decode, f"`{id_}` bigint, `{new_text}` string").where(F.col(new_text) != "")
+    lost = saved(cut.select(id_))
+    lost = F.broadcast(lost) if lost.count() <= BROADCAST_IDS else lost
+    rows = main_rows(docs, ids.odd, main)
+    here = (F.col("doc_id").cast("long") == F.col(id_)) & F.col(main)
+    same = rows.join(lost, here, "left_anti").drop(main)
+    changed = rows.drop("text").join(lost, here, "left_semi").join(new, here)
     return same.unionByName(changed.select(*[
-        F.col("_cut_text").alias("text") if c == "text"
-        else F.length("_cut_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars"
+        F.col(new_text).alias("text") if c == "text"
+        else F.length(new_text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars"
         else F.col(c) for c in docs.columns]))
 
 
+def groups(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The maximal repeats themselves: (anchor, number, n_bytes, doc_id, start), a row for every occurrence of every repeat of length
+    bytes or more, as far as the windows around its anchor reach. The suffixes at one anchor are compared in one task here."""
+    rows = _rows(docs, ids_of(docs).odd).dropDuplicates(["doc_id"])
+    found = saved(_occurrences(rows, length, settle=False))
+    often = found.groupBy("h").count().where("count > 1").select("h")
+    asked = found.join(often, "h", "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("at", "h")).alias("ask"))
+
+    def around(batches):
+        for batch in batches:
+            for d, text, ask in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist()):
+                spots = [(x["h"], x["at"] >> 16, x["at"] >> 8 & 255, x["at"] & 255) for x in ask]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([x[0] for x in spots], pa.int64()), pa.array([d] * len(spots), pa.int64()), pa.array([x[1] for x in spots], pa.int64()),
+                    pa.array([text[p:p + n] for _, p, _, n in spots], pa.binary()), pa.array([text[p - n:p][::-1] for _, p, n, _ in spots], pa.binary())],
+                    ["h", "doc_id", "p", "right", "left"])
+
+    def scan(batches):
+        anchor, group = None, []
+
+        def close():
+            rows = [(anchor, k, left + r, d, p - left) for k, (left, r, occurrences) in enumerate(maximal(group, length)) for d, p in occurrences]
+            group.clear()
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["anchor", "number", "n_bytes", "doc_id", "start"])
+
+        for batch in batches:
+            for h, d, p, right, left in zip(*(c.to_pylist() for c in batch.columns)):
+                if h != anchor and len(group) > 1:
+                    yield close()
+                if h != anchor:
+                    group.clear()
+                    anchor = h
+                group.append((right, left, (d, p)))
+        if len(group) > 1:
+            yield close()
+
+    suffixes = rows.join(asked, "doc_id").mapInArrow(
+        around, "h bigint, doc_id bigint, p bigint, right binary, left binary").repartition("h").sortWithinPartitions("h", "right", "left", "doc_id", "p")
+    return suffixes.mapInArrow(scan, "anchor bigint, number bigint, n_bytes bigint, doc_id bigint, start bigint")
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, '')) AS n FROM documents),
 w AS (SELECT doc_id, i, md5(hex(b[i + 1:i + 100])) AS h FROM (SELECT doc_id, b, unnest(range(0, n - 99)) AS i FROM d) x),
