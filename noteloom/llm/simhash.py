@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, components, only_ids, saved
+from .common import as_bytes, components, free, ids_of, main_rows, only_ids, saved
 
 SEED = 42
 RADIUS = 4
@@ -120,11 +120,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def dedupe(docs: DataFrame) -> DataFrame:
     """docs with one document of each component left, the one of smallest doc_id (once, if its row is repeated). Rows without a
-    doc_id stay."""
-    found = saved(near_duplicates(docs).where("doc_id is not null").select("doc_id", "component_id"))
-    rows, ids = found.agg(F.count("*"), F.count_distinct("doc_id")).first()
-    first = saved(found.where("doc_id = component_id").select("doc_id").distinct())
-    kept = only_ids(docs.where("doc_id is not null"), first)
-    if rows > ids:
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    doc_id stay; of rows that share a doc_id with different texts the one of least text hash is the document, and the others stay."""
+    ids = ids_of(docs)
+    (main,) = free(docs, "is_main")
+    rows = main_rows(docs, ids.odd, main)
+    own = rows.where(F.col(main)).drop(main)
+    found = near_duplicates(own).where("doc_id is not null and doc_id = component_id")
+    kept = only_ids(own.where("doc_id is not null"), saved(found.select("doc_id").distinct()))
+    kept = (kept.dropDuplicates(["doc_id"]) if ids.again else kept).unionByName(docs.where("doc_id is null"))
+    return kept if ids.odd is None else kept.unionByName(rows.where(~F.col(main) & F.col("doc_id").isNotNull()).drop(main))
