@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, WORD, prefix_sums, saved
+from .common import BROADCAST_IDS, WORD, free, prefix_sums, saved
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -18,25 +20,21 @@ BROADCAST_SOURCES = 100_000
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """Of (source, size) rows, each source's size and target: share of all sizes split by weight, no target
     above cap times its source's size, the excess shared again by weight among the others. That fixed point
-    is a water level: a source is full if its cap over its weight is at most the level of those not yet full."""
+    is a water level: a source is full if its cap over its weight is at most the level of those not yet full. Sources are ordered and summed up
+    in ranges, so there may be many."""
     by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    n = len(weights)
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    weighted = by.withColumn("place", place).withColumn(
-        "weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.col("place") - 1, F.lit(n)) + 1))
-    ratio = F.col("source_size") * F.lit(cap) / F.col("weight")
-    order = Window.orderBy(ratio, "place")
-    before, rest = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (
-        weighted.withColumn("budget", F.sum("source_size").over(every) * F.lit(share))
-        .withColumn("level", (F.col("budget") - F.coalesce(F.sum("source_size").over(before), F.lit(0)) * F.lit(cap)) / F.sum("weight").over(rest))
-        .withColumn("open", ratio > F.col("level"))
-        .withColumn("final", F.max(F.when(F.col("open"), F.col("level"))).over(every))
-    )
-    full = F.col("source_size") * F.lit(cap)
+    one, last = F.lit(1).cast("long").alias("one"), F.col("source").isNull().alias("last")
+    placed = prefix_sums(by.select("source", "source_size", one, last), [], ["last", "source"], {"one": "place"})
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.col("place") - 1, F.lit(len(weights))).cast("int") + 1)
+    weighted = placed.withColumn("weight", weight).withColumn("ratio", F.col("source_size") * F.lit(cap) / F.col("weight"))
+    summed = saved(prefix_sums(weighted.select("source", "source_size", "place", "weight", "ratio"), [], ["ratio", "place"], {"source_size": "sizes", "weight": "weights"}))
+    size, weight = summed.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    before, rest = F.col("sizes") - F.col("source_size"), F.lit(weight) - F.col("weights") + F.col("weight")
+    level = summed.withColumn("level", (F.lit(float(size)) * F.lit(share) - before * F.lit(cap)) / rest).withColumn("open", F.col("ratio") > F.col("level"))
     # the level rises until the first open source and falls after it, so its highest open value is the fixed point
-    target = F.when(F.col("open"), F.col("weight") * F.col("final")).otherwise(full)
+    final = F.lit(level.where("open").agg(F.max("level")).first()[0]).cast("double")
+    full = F.col("source_size") * F.lit(cap)
+    target = F.when(F.col("open"), F.col("weight") * final).otherwise(full)
     return level.select("source", "source_size", F.least(target, full).alias("target"))
 
 
@@ -66,28 +64,29 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     copies = F.floor(F.col("offset") + F.col("rank") * F.col("each")) - F.floor(F.col("offset") + (F.col("rank") - 1) * F.col("each"))
     return (
         ranked(rows).join(targets, F.col("source").eqNullSafe(F.col("src")))
-        .withColumn("copies", F.least(copies, F.lit(int(cap))).cast("long"))
+        .withColumn("copies", F.least(copies, F.lit(math.ceil(cap))).cast("long"))
         .select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
 
 
 def emit(docs: DataFrame, **kind) -> DataFrame:
-    """The mixed documents: each row of docs as often as mix() takes it, with copy numbered from 0. A doc_id that stands
-    in several rows is told apart by text and source."""
-    taken = saved(mix(docs, **kind).select(F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_size"), F.col("copies").alias("_mix_copies")))
-    rows, ids = taken.agg(F.count("*"), F.count_distinct("_mix_id")).first()
-    some = taken.where("_mix_copies > 0")
+    """The mixed documents: each row of docs as often as mix() takes it, with copy (copy_, if docs has a copy) numbered from 0. A doc_id that
+    stands in several rows is told apart by text and source."""
+    id_, size_, copies, turn, turn2, own_size, copy = free(docs, "mix_id", "mix_size", "mix_copies", "mix_turn", "mix_turn2", "mix_own", "copy")
+    taken = saved(mix(docs, **kind).select(F.col("doc_id").alias(id_), F.col("size").alias(size_), F.col("copies").alias(copies)))
+    rows, ids = taken.agg(F.count("*"), F.count_distinct(id_)).first()
+    some = taken.where(F.col(copies) > 0)
     if rows == ids:
-        some = some.select("_mix_id", "_mix_copies")
-        both = docs.join(F.broadcast(some) if rows <= BROADCAST_IDS else some, F.col("doc_id") == F.col("_mix_id"))
+        some = some.select(id_, copies)
+        both = docs.join(F.broadcast(some) if rows <= BROADCAST_IDS else some, F.col("doc_id") == F.col(id_))
     else:
-        size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-        some = some.withColumn("_turn2", F.row_number().over(Window.partitionBy("_mix_id", "_mix_size").orderBy("_mix_copies")))
-        turn = F.row_number().over(Window.partitionBy("doc_id", "_size").orderBy(F.col("source"), F.xxhash64("text")))
-        both = docs.withColumn("_size", size).withColumn("_turn", turn).join(
-            some, F.col("doc_id").eqNullSafe(F.col("_mix_id")) & (F.col("_size") == F.col("_mix_size")) & (F.col("_turn") == F.col("_turn2")))
-    repeat = F.explode(F.sequence(F.lit(0), (F.col("_mix_copies") - 1).cast("int"))).alias("copy")
-    return both.select(*[docs[c] for c in docs.columns if c != "copy"], repeat)
+        words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+        some = some.withColumn(turn2, F.row_number().over(Window.partitionBy(id_, size_).orderBy(copies)))
+        place = F.row_number().over(Window.partitionBy("doc_id", own_size).orderBy(F.col("source"), F.xxhash64("text")))
+        both = docs.withColumn(own_size, words).withColumn(turn, place).join(
+            some, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own_size) == F.col(size_)) & (F.col(turn) == F.col(turn2)))
+    repeat = F.explode(F.sequence(F.lit(0), (F.col(copies) - 1).cast("int"))).alias(copy)
+    return both.select(*[docs[c] for c in docs.columns], repeat)
 
 
 ORACLE = r"""
