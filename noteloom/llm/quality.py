@@ -13,12 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, as_bytes, chunks, tokens
+from .common import SPACE, as_bytes, chunks, free, saved, tokens
 
 BUCKETS = 1 << 15
 RANK = 8
-#: Labelled rows the model is fitted on at most (those of least hash of their id); the one bound on what it learns from.
-SAMPLE = 8192
+#: Labelled rows the model is fitted on at most (those of least hash of their id), and bytes of their features at most (in that order); the
+#: one bound on what it learns from.
+SAMPLE, SAMPLE_BYTES = 8192, 256 << 20
 THRESHOLD = 0.3
 STATS = 14
 _EPOCHS, _BATCH, _RATE, _L2 = 25, 64, 0.1, 2e-5
@@ -133,11 +134,11 @@ def held_out(doc_id):
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """A machine from at most sample labelled documents that aren't held out. Of repeated labels of one id the highest
-    counts, and of repeated documents one."""
+    counts, and of repeated documents that of least text hash."""
     chosen = (
         labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id")))
-        .groupBy("doc_id").agg(F.max("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(sample)
+        .groupBy("doc_id").agg(F.max("quality").alias("quality")).withColumn("place", F.xxhash64("doc_id", F.lit("sample")))
+        .orderBy("place", "doc_id").limit(sample)
     )
 
     def run(batches):
@@ -150,19 +151,27 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
                     pa.array([idx[i:j].astype(np.uint16).tobytes() for i, j in zip(cut, cut[1:])]),
                     pa.array([x[i:j].astype(np.float32).tobytes() for i, j in zip(cut, cut[1:])]),
                     pa.array([r.astype(np.float64).tobytes() for r in stats]),
-                    pa.array(label[a:b], pa.int32())], ["idx", "x", "stats", "label"])
+                    pa.array(label[a:b], pa.int32()), *[c[a:b] for c in batch.columns[2:]]], ["idx", "x", "stats", "label", "place", "id"])
 
-    got = (
-        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-        .select("text", F.col("quality").cast("int").alias("label"))
-        .mapInArrow(run, "idx binary, x binary, stats binary, label int").collect()
+    first = F.min_by(F.struct("text", "quality", "place"), F.xxhash64("text")).alias("r")
+    made = saved(
+        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(first)
+        .select("r.text", F.col("r.quality").cast("int").alias("label"), F.col("r.place").alias("place"), F.col("doc_id").cast("string").alias("id"))
+        .mapInArrow(run, "idx binary, x binary, stats binary, label int, place bigint, id string")
     )
+    sizes = made.select("place", "id", (F.octet_length("idx") + F.octet_length("x") + F.octet_length("stats")).alias("size")).orderBy("place", "id").collect()
+    fits, total = 0, 0
+    while fits < len(sizes) and total + sizes[fits].size <= SAMPLE_BYTES:
+        total += sizes[fits].size
+        fits += 1
+    got = made.orderBy("place", "id").limit(fits).collect() if fits else []
     rows = sorted((bytes(r[0]), bytes(r[1]), bytes(r[2]), r[3]) for r in got)
     return fit([(np.frombuffer(i, np.uint16), np.frombuffer(x, np.float32), np.frombuffer(s, np.float64), int(y > 0)) for i, x, s, y in rows])
 
 
 def score(docs: DataFrame, machine: Machine, columns: list[str] | None = None, name: str = "_quality_score") -> DataFrame:
-    """The named columns of docs (all, if none are named) and, as name, the score of the whole text; null texts score as empty."""
+    """The named columns of docs (all, if none are named) and, as name (one that these don't have), the score of the whole text; null texts
+    score as empty."""
     columns = columns or docs.columns
     model = docs.sparkSession.sparkContext.broadcast(machine)  # BUCKETS * (RANK + 1) numbers, whatever the corpus
     wide = docs.select(*[docs[c] for c in columns], docs["text"].alias(name))
@@ -191,5 +200,5 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold
 
 def accept(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those that the classifier rejects."""
-    scored = score(docs, train(docs, labels, sample))
-    return scored.where(F.col("_quality_score") >= threshold).select(*docs.columns)
+    (name,) = free(docs, "quality_score")
+    return score(docs, train(docs, labels, sample), name=name).where(F.col(name) >= threshold).select(*docs.columns)
