@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prefix_sums
+from .common import prefix_sums, saved
 
 SYSTEM = "system"
+END = "<|end|>\n"
 
 
 def rotate(turns: DataFrame, system: str = SYSTEM) -> DataFrame:
@@ -23,26 +24,25 @@ def rotate(turns: DataFrame, system: str = SYSTEM) -> DataFrame:
     are and are nobody's perspective. A null role is rendered as the user "unknown" and has no perspective; null text is empty;
     turns are ordered by turn, role and text (nulls first), so repeated rows are turns of their own; a null conv_id is a dialogue of its own; a
     dialogue without participants, and an empty table, give no rows; other columns are ignored."""
-    rows = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("content"))
+    one = F.lit(1).cast("long").alias("one")
+    rows = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("content"), one)
+    rows = saved(prefix_sums(rows, ["conv_id"], ["turn", "role", "content"], {"one": "place"}))
     people = rows.where(F.col("role").isNotNull() & (F.col("role") != system)).select(
         F.col("conv_id").alias("c"), F.col("role").alias("perspective")).distinct()
-    both = rows.join(people, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
     own = F.coalesce(F.col("role") == F.col("perspective"), F.lit(False))
-    role = F.when(own, "assistant").when(F.col("role") == system, "system").otherwise("user")
-    name = F.when(role == "user", F.coalesce("role", F.lit("unknown")))
-    both = (
-        both.withColumn("masked", own.cast("int")).withColumn("as", role).withColumn("name", name)
-        .withColumn("header", F.concat(F.lit("<|"), "as", F.coalesce(F.concat(F.lit(" name="), "name"), F.lit("")), F.lit("|>\n")))
-        .withColumn("segment", F.concat("header", "content", F.lit("<|end|>\n")))
-        .withColumn("size", F.length("segment").cast("long")).withColumn("one", F.lit(1).cast("long"))
-    )
-    order = ["turn", "role", "content"]
-    placed = prefix_sums(both, ["conv_id", "perspective"], order, {"size": "seg_end", "one": "place"})
+    named = F.when(own, "assistant").when(F.col("role") == system, "system").otherwise("user")
+    name = F.when(F.col("as") == "user", F.coalesce("role", F.lit("unknown")))
+    header = F.concat(F.lit("<|"), "as", F.coalesce(F.concat(F.lit(" name="), "name"), F.lit("")), F.lit("|>\n"))
+    # sizes only are summed up for each perspective; the texts join them once
+    narrow = rows.select("conv_id", "place", "role", (F.length("content") + len(END)).cast("long").alias("after"))
+    both = narrow.join(people, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+    both = both.withColumn("masked", own.cast("int")).withColumn("as", named).withColumn("name", name).withColumn("header", header)
+    both = both.select("conv_id", "perspective", "place", "masked", "as", "name", "header", (F.length("header") + F.col("after")).cast("long").alias("size"))
+    placed = prefix_sums(both, ["conv_id", "perspective"], ["place"], {"size": "seg_end"}).withColumnsRenamed({"conv_id": "c", "place": "p"})
     start = F.col("seg_end") - F.col("size")
-    return placed.select(
-        "conv_id", "perspective", "place", "turn", F.col("as").alias("role"), "name", "header", "content", "segment", "masked",
-        start.alias("seg_start"), (start + F.length("header")).alias("mask_start"),
-        (F.col("seg_end") - 1).alias("mask_end"))
+    return rows.join(placed, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("place") == F.col("p"))).select(
+        "conv_id", "perspective", "place", "turn", F.col("as").alias("role"), "name", "header", "content", F.concat("header", "content", F.lit(END)).alias("segment"), "masked",
+        start.alias("seg_start"), (start + F.length("header")).alias("mask_start"), (F.col("seg_end") - 1).alias("mask_end"))
 
 
 def render(rotated: DataFrame) -> DataFrame:
