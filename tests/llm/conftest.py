@@ -33,14 +33,15 @@ def prose():
 
 @pytest.fixture(scope="session")
 def odd(spark, prose):
-    """Nulls, empties, blanks, a very long text, ties, repeated rows and clashing column names."""
+    """Nulls, empties, blanks, a very long text, ties, repeated rows, one id with different texts, and column names that the operators use."""
     base, long = prose(80), prose(40_000)
     rows = [(1, base, "a"), (2, base, "b"), (2, base, "b"), (3, None, "a"), (4, "", None), (5, " \n\t ", "a"), (6, long, "a"), (7, prose(60) + " " + base, None),
-            (8, "one", "c"), (None, base, "a"), (9, None, None), (10, "x" * 5000, "a"), (11, upper(base), "d"), (12, "日本語 " * 60, "b")]
+            (8, "one", "c"), (None, base, "a"), (9, None, None), (10, "x" * 5000, "a"), (11, upper(base), "d"), (12, "日本語 " * 60, "b"), (13, prose(70), "a"), (13, "short", "a"), (13, prose(50) + " " + base, "b")]
     df = frame(spark, rows)
     from pyspark.sql import functions as F
 
-    for c in ("h", "fp", "id", "copies", "label", "hash", "at", "kept", "size", "quality_score", "copy", "component_id", "h1"):
+    for c in ("h", "fp", "id", "copies", "label", "hash", "at", "kept", "size", "quality_score", "_quality_score", "copy", "_mix_id", "_mix_size", "_mix_copies", "mix_id", "mix_size", "mix_copies", "cut_id", "cut_text", "_cut_id",
+              "_cut_text", "is_main", "main", "odd_id", "odd_hash", "text_hash", "component_id", "h1", "runs", "rank", "again", "row", "turn", "_turn", "_size"):
         df = df.withColumn(c, F.lit("clash"))
     return df.cache()
 

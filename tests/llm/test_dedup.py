@@ -76,6 +76,34 @@ def test_maximal_repeats():
     assert set(nodes) == {(2, 0, 1), (1, 0, 2), (0, 0, 3)}
     group = sorted([(b"R" * 100, b"xyz" + b"l" * 40, (3, 5)), (b"R" * 60 + b"q" * 40, b"l" * 68, (1, 9)), (b"R" * 100, b"l" * 68, (2, 7))])
     assert sorted(X.repeats(group, 100)) == [((2, 7), 68, 60), ((3, 5), 0, 100)]
+    assert sorted((left, r, sorted(o)) for left, r, o in X.maximal(group, 100)) == [(0, 100, [(2, 7), (3, 5)]), (68, 60, [(1, 9), (2, 7)])]
+
+
+def test_repeat_groups(spark, prose):
+    """Every occurrence of a group holds the same bytes, and the groups cover just what has to go, and its first places."""
+    docs = copies(prose)
+    text = {i: t.encode() for i, t in docs}
+    groups = {}
+    for r in X.groups(frame(spark, [(i, t, "s") for i, t in docs])).collect():
+        groups.setdefault((r.anchor, r.number, r.n_bytes), []).append((r.doc_id, r.start))
+    covered = {i: bytearray(len(t)) for i, t in text.items()}
+    for (_, _, n), places in groups.items():
+        assert n >= 100 and len(places) > 1 and len({text[d][p:p + n] for d, p in places}) == 1
+        for d, p in sorted(places)[1:]:
+            covered[d][p:p + n] = b"\1" * n
+    want = brute([(i, t) for i, t in text.items()])
+    assert {i: sum(c) for i, c in covered.items()} == {i: v[1] for i, v in want.items()}
+
+
+def test_suffixes_one_id_with_different_texts(spark, prose):
+    base, other = prose(90), prose(90)
+    rows = [(1, base, "s"), (5, other, "s"), (5, base, "s"), (5, "short", "s"), (7, other + base, "s")]
+    got = {(r.doc_id, r.n_bytes): r.n_removed for r in X.dedupe_report(frame(spark, rows)).collect()}
+    size = lambda t: len(t.encode())
+    assert all(0 <= v <= k[1] for k, v in got.items()) and len(got) == 5 and got[5, 5] == 0 and got[1, size(base)] == 0
+    assert sum(v > 0 for k, v in got.items() if k[0] == 5) <= 1 and got[7, size(other + base)] in (size(base), size(base + other))
+    kept = X.dedupe(frame(spark, rows)).collect()
+    assert sorted(r.doc_id for r in kept) in ([1, 5, 5, 7], [1, 5, 5, 5, 7], [1, 5, 5, 5], [1, 5, 5])
 
 
 def slow_fingerprint(text):
@@ -142,76 +170,89 @@ def test_simhash_odd(spark, odd, none):
 
 
 def slow_sentences(raw):
-    """(words, bytes) of the sentences, word by word."""
-    out, words, start = [], [], 0
+    """(words, bytes) of the sentences: first by real ends, then long ones word by word."""
     found = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    out, now = [], []
     for k, (a, b) in enumerate(found):
-        words.append(raw[a:b].lower())
+        now.append(k)
         following = found[k + 1][0] if k + 1 < len(found) else len(raw)
-        h = int(tokens([raw[a:b]])[3][0])
-        if raw[b - 1:b] in (b".", b"!", b"?") or b"\n" in raw[b:following] or (h >> 20) % Z.CUT == 0 or words[-2:-1] == words[-1:] or k and raw[slice(*found[k - 1])].lower() == words[-1] or k + 1 == len(found):
-            out.append((words, raw[start:following]))
-            words, start = [], following
-    return out
+        if raw[b - 1:b] in (b".", b"!", b"?") or b"\n" in raw[b:following] or k + 1 == len(found):
+            out.append(now)
+            now = []
+    pieces = []
+    for ks in out:
+        part = []
+        for k in ks:
+            part.append(k)
+            word = raw[slice(*found[k])].lower()
+            again = k > 0 and raw[slice(*found[k - 1])].lower() == word
+            if len(ks) > Z.LONG and ((int(tokens([word])[3][0]) >> 20) % Z.CUT == 0 or again) or k == ks[-1]:
+                pieces.append(part)
+                part = []
+    begins = [0] + [found[p[0]][0] for p in pieces[1:]] + [len(raw)]
+    return [([raw[slice(*found[k])].lower() for k in p], raw[begins[i]:begins[i + 1]]) for i, p in enumerate(pieces)]
 
 
-def slow_runs(parts):
+def all_runs(parts):
+    """Every run of SPAN sentences or more that holds WORDS words."""
     for i in range(len(parts)):
-        for j in range(i + Z.SPAN, len(parts) + 1):
-            flat = tuple(w for p in parts[i:j] for w in p[0])
-            if len(flat) >= Z.WORDS:
-                yield i, j, flat
-                break
+        flat = ()
+        for j in range(i + 1, len(parts) + 1):
+            flat += tuple(parts[j - 1][0])
+            if j - i >= Z.SPAN and len(flat) >= Z.WORDS:
+                yield i, j, hash(flat)
 
 
 def test_sentences(spark, prose, odd, none):
-    docs = copies(prose, 4) + [(5 * 10**8, "WORD!! OF!! THE!! " * 20), (5 * 10**8 + 1, "x y\n\n" + prose(60))]
+    tail = "Every long opening sentence of a shared passage goes on for fourteen words or so. Yes. No."
+    docs = [(10**7 + k, t[:900]) for k, (_, t) in enumerate(copies(prose, 4))] + [(5 * 10**8, "WORD!! OF!! THE!! " * 20), (5 * 10**8 + 1, "x y\n\n" + prose(60))]
+    docs += [(i, f"{prose(15)} {tail} {prose(9)}\nAll rights reserved. Terms apply here. See the file.\n{prose(7)}") for i in range(6)]
     got = {r.doc_id: r for r in Z.dedupe(frame(spark, [(i, t, "s") for i, t in docs])).collect()}
     seen, removed = set(), 0
     for i, t in sorted(docs):
         raw, gone = t.encode(), set()
         parts = slow_sentences(raw)
         assert b"".join(p[1] for p in parts) == raw or not parts
-        for a, b, flat in slow_runs(parts):
+        for a, b, flat in all_runs(parts):
             if flat in seen:
                 gone |= set(range(a, b))
             seen.add(flat)
         kept = b"".join(p[1] for j, p in enumerate(parts) if j not in gone) if gone else raw
-        assert (got[i].n_removed, got[i].kept_sha256, got[i].text) == (len(gone), hashlib.sha256(kept).hexdigest(), kept.decode())
+        assert (got[i].n_removed, got[i].kept_sha256, got[i].text) == (len(gone), hashlib.sha256(kept).hexdigest(), kept.decode()), i
         removed += len(gone)
-    assert removed
+    assert removed and all("No." not in got[i].text and "rights" not in got[i].text for i in range(1, 6)) and tail in got[0].text
     rows = Z.dedupe(odd).collect()
     by = {r.doc_id: r for r in rows}
     assert len(rows) == odd.count() and by[2].text == "" and by[3].text is None and by[1].n_removed == 0 and by[5].text.isspace() and Z.dedupe(none).count() == 0
     assert by[None].n_removed == 0 and by[8].text == "one"
 
 
-def all_runs(parts):
-    """Runs of two sentences or more that hold WORDS words, or that are whole sentences from one real end to another."""
-    real = [True] + [w[-1][-1:] in (b".", b"!", b"?") or b"\n" in t[len(t.rstrip()):] or k + 1 == len(parts) for k, (w, t) in enumerate(parts)]
-    for i in range(len(parts)):
-        flat, whole = (), 0
-        for j in range(i + 1, len(parts) + 1):
-            flat, whole = flat + tuple(parts[j - 1][0]), whole + real[j]
-            if j >= i + Z.SPAN and (len(flat) >= Z.WORDS or real[i] and real[j] and whole > 1):
-                yield i, j, hash(flat)
+def test_sentences_one_id_with_different_texts(spark, prose):
+    base, other = prose(60), prose(60)
+    rows = [(1, base, "s"), (5, other, "s"), (5, "x. y. z " + base, "s"), (5, "short", "s"), (7, other, "s")]
+    got = Z.dedupe(frame(spark, rows)).collect()
+    assert len(got) == 5 and sum(r.n_removed > 0 for r in got if r.doc_id == 5) <= 1 and [r.n_removed for r in got if r.doc_id == 1] == [0]
 
 
-def test_every_run_counts(spark, prose):
-    tail = "Every long opening sentence of a shared passage goes on for fourteen words or so. Yes. No."
-    rights = "All rights reserved. Terms apply."
-    docs = [(i, f"{prose(15)} {tail} {prose(9)}\n{rights}\n{prose(7)}", "s") for i in range(6)] + [(10 * k + j, t[:600], "s") for k, (j, t) in enumerate(copies(prose, 8), 1)]
-    got = {r.doc_id: r for r in Z.dedupe(frame(spark, docs), every=True).collect()}
-    seen = set()
-    for i, t, _ in sorted(docs):
-        parts, gone = slow_sentences(t.encode()), set()
-        for a, b, flat in all_runs(parts):
-            if flat in seen:
-                gone |= set(range(a, b))
-            seen.add(flat)
-        kept = b"".join(p[1] for j, p in enumerate(parts) if j not in gone) if gone else t.encode()
-        assert (got[i].n_removed, got[i].text) == (len(gone), kept.decode()), i
-    assert all("No." not in got[i].text and "apply" not in got[i].text for i in range(1, 6)) and tail in got[0].text and rights in got[0].text
+def test_short_sentences_are_whole():
+    """Sentences of up to LONG words aren't cut."""
+    text = " ".join(f"w{i}" for i in range(Z.LONG)).encode() + b". " + " ".join(f"v{i}" for i in range(60)).encode() + b"."
+    s = Z.split([text])
+    assert (s.first[0], s.last[0]) == (0, Z.LONG) and len(s.first) > 3
+
+
+def test_shuffled_paths(spark, prose, monkeypatch):
+    """The same results where nothing is small enough to be broadcast."""
+    from noteloom.llm import common, mixing, styletree
+
+    docs = frame(spark, [(i, t, f"s{i % 3}") for i, t in copies(prose, 6)])
+    pages = spark.createDataFrame([(i, f"http://h{i % 2}.example/", f"<div>Same</div><div class='a'><p>{prose(8)}</div>") for i in range(20)], "page_id bigint, url string, html string")
+    runs = [lambda: X.dedupe_report(docs), lambda: X.dedupe(docs), lambda: Z.dedupe(docs), lambda: mixing.emit(docs), lambda: styletree.main_text(pages), lambda: H.dedupe(docs)]
+    want = [sorted(map(str, f().collect())) for f in runs]
+    for module in (common, X, Z, mixing, styletree):
+        monkeypatch.setattr(module, "BROADCAST_IDS", -1)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", -1)
+    assert [sorted(map(str, f().collect())) for f in runs] == want
 
 
 def test_long_passages_are_caught(prose):

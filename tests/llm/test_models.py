@@ -44,8 +44,8 @@ def test_quality_held_out(spark, labelled, odd, none):
     good = held.doc_id % 4 != 0
     assert held.score[good].min() > held.score[~good].max() and (held.predicted == good.astype(int)).mean() > 0.95
     machine = Q.train(docs, labels)
-    rows = Q.score(odd, machine).collect()
-    assert len(rows) == odd.count() and all(0 <= r._quality_score <= 1 for r in rows)
+    rows = Q.score(odd, machine, name="own").collect()
+    assert len(rows) == odd.count() and all(0 <= r.own <= 1 for r in rows)
     assert Q.classify(none, labels).count() == 0 and {r.score for r in Q.classify(docs, labels.limit(0)).collect()} == {0.5}
     assert Q.accept(odd, labels).columns == odd.columns
 
@@ -175,8 +175,8 @@ def test_shards_answer_from_a_mapped_file(prose, monkeypatch):
     monkeypatch.setattr(G.mmap, "mmap", lambda *a, **k: maps.append(real(*a, **k)) or maps[-1])
     table = asked_of([[prose(50).encode() for _ in range(4)] for _ in range(3)])
     got = G._answer({})((pa.scalar(G._PATHS), pa.scalar(0)), table)
-    assert len(maps) == 1 and len(maps[0]) > 100 and all(len(G._unpack(x.as_py())) == 4 for x in got.column("blob"))
-    assert all((G._unpack(x.as_py())[1] < G.ABSENT).all() for x in got.column("blob"))  # every bigram was counted
+    assert len(maps) == 1 and len(maps[0]) > 100 and all(len(G._unpack(x.as_py())) == 5 for x in got.column("blob"))
+    assert all((G._unpack(x.as_py())[2] < G.ABSENT).all() for x in got.column("blob"))  # every bigram was counted
 
 
 def test_elias_fano():
