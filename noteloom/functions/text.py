@@ -115,12 +115,6 @@ def fill(template, values: dict) -> Column:
     return out
 
 
-def append_body(body, content) -> Column:
-    """An appended note body; the content alone if there was none."""
-    b = col(body)
-    return F.when(b.isNotNull(), F.concat(b, F.lit("\n"), col(content))).otherwise(col(content))
-
-
 def import_link(body, path) -> Column:
     """A body with the link back to where it was imported from."""
     return F.concat(col(body), F.lit("\n\n---\n*Imported from shared: [["), col(path), F.lit("]]*"))

@@ -115,6 +115,17 @@ def touched(notes: DataFrame) -> DataFrame:
         F.col("p.wing").alias("wing"), F.col("p.room").alias("room")).agg(F.max_by("rel_path", "ord").alias("path"))
 
 
+def with_rooms(c: Catalogue, made: DataFrame) -> Catalogue:
+    """A catalogue after notes were written (made: wing, room, path): their rooms are made anew, each with its note as the only drawer."""
+    rooms = made.select("wing", "room").distinct()
+    new = made.select(F.col("wing").alias("name"), F.lit("project").alias("type"), F.array().cast("array<string>").alias("keywords")).dropDuplicates(["name"])
+    away = lambda df: df.join(rooms, ["wing", "room"], "left_anti")
+    return Catalogue(
+        c.wings.select("name", "type", "keywords").unionByName(new.join(c.wings.select("name"), "name", "left_anti")), away(c.rooms).select("wing", "room").union(rooms),
+        away(c.drawers).select("wing", "room", "path", "ord").union(made.select("wing", "room", "path", F.lit(0).alias("ord"))),
+        away(c.halls).select("wing", "room", "hall_type", "content"), c.tunnels)
+
+
 def between(tunnels: DataFrame, pairs: DataFrame) -> DataFrame:
     """Tunnels between pairs (wing_1, wing_2), in either direction."""
     ends = lambda a, b: F.struct(F.least(a, b).alias("x"), F.greatest(a, b).alias("y"))

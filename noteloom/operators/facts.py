@@ -152,9 +152,14 @@ def attempts(notes: DataFrame) -> DataFrame:
     return notes.select("rel_path", n.cast("long").alias("n"))
 
 
+def note_entities(notes: DataFrame, found: DataFrame) -> DataFrame:
+    """(name, type, seq) of the entities that notes state: the ends of their facts (found, with seq), and notes that describe themselves."""
+    after = F.struct(F.struct("ord", F.lit((1 << 31) - 1).alias("at")).alias("seq"), F.lit(0).alias("end")).alias("seq")
+    described = notes.where(F.length("description") > 10).select(F.col("stem").alias("name"), F.lit("note").alias("type"), after)
+    return entities_of(found).unionByName(described)
+
+
 def populate(triples: DataFrame | None, entities: DataFrame | None, notes: DataFrame, today: str) -> tuple[DataFrame, DataFrame]:
     """(triples, entities) after the notes' facts are added: facts that were there are opened again."""
     found = candidates(notes, today).withColumn("seq", F.struct("ord", "at"))
-    after = F.struct(F.struct("ord", F.lit((1 << 31) - 1).alias("at")).alias("seq"), F.lit(0).alias("end")).alias("seq")
-    described = notes.where(F.length("description") > 10).select(F.col("stem").alias("name"), F.lit("note").alias("type"), after)
-    return upsert(triples, found, today), upsert_entities(entities, entities_of(found).unionByName(described))
+    return upsert(triples, found, today), upsert_entities(entities, note_entities(notes, found))

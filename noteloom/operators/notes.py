@@ -23,11 +23,6 @@ FOLDERS = {
 }
 
 
-def folders(spark) -> DataFrame:
-    """(folder, seed_files): the vault's skeleton."""
-    return spark.createDataFrame(list(FOLDERS.items()), "folder string, seed_files array<string>")
-
-
 def excluding(notes: DataFrame, patterns=None) -> DataFrame:
     """notes whose path holds none of the patterns (the default ones if none, or an empty list, are given)."""
     hit = reduce(lambda a, b: a | b, [F.contains("rel_path", F.lit(p)) for p in patterns or EXCLUDE])

@@ -113,17 +113,18 @@ def routed(notes: DataFrame, default: str = "personal", classify: bool = True) -
     return notes.withColumn("vault", R.content_target("content", "tags", "rel_path", default) if classify else F.lit("shared"))
 
 
-def exported(notes: DataFrame, strict: bool = True, confirm: bool = True) -> DataFrame:
-    """(rel_path, action, content): a preview of 500 characters (strict mode asks first), or the redacted text to share."""
-    clean = R.redact("content")
+def exported(notes: DataFrame, strict: bool = True, confirm: bool = True, sanitize: bool = True) -> DataFrame:
+    """(rel_path, action, content): a preview of 500 characters (strict mode asks first), or the (redacted) text to share."""
+    clean = R.redact("content") if sanitize else F.col("content")
     if strict and confirm:
         return notes.select("rel_path", F.lit("preview").alias("action"), F.substring(clean, 1, 500).alias("content"))
     return notes.select("rel_path", F.lit("exported").alias("action"), clean.alias("content"))
 
 
-def imported(notes: DataFrame) -> DataFrame:
-    """notes as they are copied to the personal vault: marked, with a link back."""
-    return notes.withColumns({"vault": F.lit("personal"), "imported_from": F.lit("shared"), "content": T.import_link("content", "rel_path")})
+def imported(notes: DataFrame, source=None, link_back: bool = True) -> DataFrame:
+    """notes as they are copied to the personal vault: marked with where they come from, with a link back."""
+    return notes.withColumns({"vault": F.lit("personal"), "imported_from": F.lit("shared") if source is None else source,
+                              "content": T.import_link("content", "rel_path") if link_back else F.col("content")})
 
 
 def written(contents: DataFrame, day: str, default: str = "personal", manual: bool = False, dual: bool = True) -> DataFrame:
@@ -135,8 +136,12 @@ def written(contents: DataFrame, day: str, default: str = "personal", manual: bo
     return rows.select(vault.alias("vault"), F.coalesce("file_path", auto).alias("rel_path"), "content", "tags", F.lit(day).alias("date"))
 
 
-def sync(notes: DataFrame, chunks: DataFrame, wings: DataFrame) -> DataFrame:
-    """(kg_triples, palace_wings, indexed_files), one row: attempted facts, wings built and files indexed."""
-    return (
-        facts.attempts(notes).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("kg_triples"))
-        .join(wings.agg(F.count("*").alias("palace_wings"))).join(chunks.agg(F.count_distinct("path").alias("indexed_files"))))
+def sync(notes: DataFrame, chunks: DataFrame, wings: DataFrame, personal: DataFrame | None = None, personal_wings: DataFrame | None = None) -> DataFrame:
+    """(kg_triples, palace_wings, indexed_files), one row: attempted facts, wings built and files indexed; with a personal vault
+    personal_kg_triples and personal_palace_wings as well."""
+    attempted = lambda df, name: facts.attempts(df).agg(F.coalesce(F.sum("n"), F.lit(0)).alias(name))
+    built = lambda df, name: df.agg(F.count("*").alias(name))
+    out = attempted(notes, "kg_triples").join(built(wings, "palace_wings")).join(chunks.agg(F.count_distinct("path").alias("indexed_files")))
+    if personal is None:
+        return out
+    return out.join(attempted(personal, "personal_kg_triples")).join(built(personal_wings, "personal_palace_wings"))

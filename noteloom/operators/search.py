@@ -6,16 +6,21 @@ match_type. Every limit is at most CAP.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, FloatType
 
 from ..functions import text as T
 
 # Chunk size in words, least length of a chunk, the largest limit, and the weight of shared words.
 CHUNK_WORDS, LEAST_CHARS, CAP, BOOST = 512, 20, 100, 0.3
+#: Places of the default embedding.
+EMBEDDING = 384
 RESULT = ["qid", "rank", "path", "content_excerpt", "score", "match_type"]
 #: Queries in a block, chunks in a part, and chunks whose words are held as a matrix at a time.
 BLOCK, PART, SLICE = 256, 20_000, 4096
@@ -40,6 +45,27 @@ def update_chunks(chunks: DataFrame, notes: DataFrame, removed: DataFrame | None
     return keep.select("hash", "path", "chunk_index", "text").union(chunk(notes))
 
 
+def hash_embed(df: DataFrame, text: str = "text", size: int = EMBEDDING) -> DataFrame:
+    """df with embedding: signed counts of the text's lower-cased words over size hashed places, at length one (zero without words). It needs
+    no model, and likens texts by the words they share; a model's vectors can take its place."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for t in batch.column(batch.num_columns - 1).to_pylist():
+                v = np.zeros(size)
+                for w in (t or "").lower().split():
+                    h = zlib.crc32(w.encode("utf-8", "surrogatepass"))
+                    v[(h >> 1) % size] += 1 if h & 1 else -1
+                rows.append((v / max(np.linalg.norm(v), 1e-9)).astype(np.float32))
+            made = pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * size, np.concatenate(rows) if rows else np.zeros(0, np.float32))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], out.names)
+
+    own = [c for c in df.columns if c != "embedding"]
+    out = df.select(*own).schema.add("embedding", ArrayType(FloatType()))
+    return df.select(*own, F.col(text).alias("_embed")).mapInArrow(run, out)
+
+
 def first_by(hits: DataFrame, order: list, limit: int) -> DataFrame:
     """The first hits of each query, ranked: a window limit, which cuts before the shuffle too."""
     w = Window.partitionBy("qid").orderBy(*order)

@@ -82,6 +82,15 @@ FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey AND a.n_nationk
 JOIN (SELECT DISTINCT c_mktsegment AS room FROM {customer}) r ON (a.n_nationkey + b.n_nationkey) % 2 = length(r.room) % 2
 """
 
+OPS = """
+SELECT event_id AS seq, CASE WHEN event_id % 97 = 0 THEN 'create_wing' WHEN event_id % 19 = 1 THEN 'create_room' WHEN event_id % 5 = 2 THEN 'add_hall' WHEN event_id % 11 = 3 THEN 'create_tunnel'
+  ELSE 'link_drawer' END AS op, concat('w', CAST(user_id % 40 AS STRING)) AS wing, event_type AS room, concat('p', CAST(event_id % 23 AS STRING)) AS path,
+  CASE event_id % 6 WHEN 0 THEN 'hall_facts' WHEN 1 THEN 'hall_events' WHEN 2 THEN 'hall_discoveries' WHEN 3 THEN 'hall_preferences' WHEN 4 THEN 'hall_advice' ELSE 'nope' END AS hall_type,
+  props AS content, CAST(NULL AS STRING) AS type, concat('w', CAST((user_id + 7) % 40 AS STRING)) AS wing_b,
+  CASE WHEN event_id % 2 = 0 THEN 'hall_advice' END AS hall_a, CAST(NULL AS STRING) AS hall_b
+FROM {events}
+"""
+
 
 def frame(spark, sf_dir: str, sql: str):
     """A fixture as a frame; only the tables that it names are read."""

@@ -216,5 +216,22 @@ O["user_sessions"] = """SELECT user_id, min(ts) AS began, max(ts) AS last, count
 O["notes_with_links"] = f"SELECT rel_path FROM ({NOTES}) n WHERE len({_RAWLINKS}) > 0"
 O["palace_point_lookup"] = f"""SELECT a.wing, a.room, r.wing IS NOT NULL AS there, d.path FROM (SELECT wing, room FROM ({R_}) x UNION ALL SELECT 'NOWHERE', 'x') a
 LEFT JOIN ({R_}) r ON r.wing = a.wing AND r.room = a.room LEFT JOIN ({D_}) d ON d.wing = a.wing AND d.room = a.room"""
+OPS = _D(X.OPS)
+_LOG = f"""o AS ({OPS}), w AS (SELECT wing, max(seq) AS s FROM o WHERE op = 'create_wing' GROUP BY wing),
+live AS (SELECT o.* FROM o LEFT JOIN w ON w.wing = o.wing WHERE op IN ('create_room', 'link_drawer') AND seq > coalesce(w.s, -1)),
+r AS (SELECT wing, room, max(CASE WHEN op = 'create_room' THEN seq END) AS s, min(seq) AS made FROM live GROUP BY wing, room)"""
+O["palace_replay_drawers"] = f"""WITH {_LOG}, f AS (SELECT l.wing, l.room, path, min(seq) AS seq FROM live l JOIN r ON r.wing = l.wing AND r.room = l.room WHERE op = 'link_drawer' AND seq > coalesce(r.s, -1) GROUP BY l.wing, l.room, path)
+SELECT wing, room, path, CAST(row_number() OVER (PARTITION BY wing, room ORDER BY seq) - 1 AS INT) AS ord FROM f"""
+O["palace_replay_halls"] = f"""WITH {_LOG} SELECT o.wing, o.room, hall_type, arg_max(content, seq) AS content FROM o JOIN r ON r.wing = o.wing AND r.room = o.room
+WHERE op = 'add_hall' AND hall_type <> 'nope' AND seq > made AND seq > coalesce(r.s, -1) GROUP BY o.wing, o.room, hall_type"""
+O["palace_replay_tunnels"] = f"""SELECT concat(wing, ':', wing_b, ':', room) AS id, wing AS wing_a, wing_b, room, coalesce(first(hall_a ORDER BY seq), 'hall_events') AS hall_a, coalesce(first(hall_b ORDER BY seq), 'hall_facts') AS hall_b
+FROM ({OPS}) o WHERE op = 'create_tunnel' AND room = 'click' GROUP BY wing, wing_b, room"""
+O["template_fill"] = "SELECT doc_id, concat('# ', lang, chr(10), coalesce(text, ''), ' {{other}}') AS content FROM documents"
+O["text_measures"] = f"""SELECT doc_id, CAST(len({_W('text')}) AS BIGINT) AS tokens, array_to_string(list_filter(list_transform(string_split(string_split(text, chr(10))[1], ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS tags
+FROM documents WHERE text IS NOT NULL"""
+O["day_headings"] = "SELECT strftime(ts, '%Y-%m-%d (%A)') AS day, count(*) AS events FROM events GROUP BY 1"
+_MINE = NOTES.replace("WHERE NOT (", "WHERE ord % 4 = 0 AND NOT (")
+O["sync_counts_dual"] = f"""SELECT s.*, (SELECT CAST(sum(n) AS BIGINT) FROM ({O['kg_populate_counts'].replace(NOTES, _MINE)}) k) AS personal_kg_triples,
+(SELECT count(DISTINCT wing) FROM ({_BUILT.replace(NOTES, _MINE)}) b) AS personal_palace_wings FROM ({O['sync_counts']}) s"""
 # "at" is a keyword of DuckDB; quoted, except in a message text
 ORACLE = {k: re.sub(r"\bat\b(?! least)", '"at"', v) for k, v in O.items()}

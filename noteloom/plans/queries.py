@@ -409,3 +409,51 @@ def palace_point_lookup(spark, d):
     """Drawers of given rooms; rooms that aren't there have none."""
     asked = X.frame(spark, d, X.ROOMS).union(spark.createDataFrame([("NOWHERE", "x")], "wing string, room string"))
     return C.lookup(catalogue(spark, d), asked)
+
+
+def replayed(spark, d):
+    return C.replay(X.frame(spark, d, X.OPS).withColumn("keywords", F.lit(None).cast("array<string>")))
+
+
+@query
+def palace_replay_drawers(spark, d):
+    """Drawers after a log of operations: wings and rooms made again lose what they held."""
+    return replayed(spark, d).drawers
+
+
+@query
+def palace_replay_halls(spark, d):
+    return replayed(spark, d).halls
+
+
+@query
+def palace_replay_tunnels(spark, d):
+    """Tunnels after the log, of one room's name."""
+    return C.by_room(replayed(spark, d).tunnels, "click")
+
+
+@query
+def template_fill(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return docs.select("doc_id", T.fill(F.lit("# {{lang}}\n{{body}} {{other}}"), {"lang": F.col("lang"), "body": F.coalesce("text", F.lit(""))}).alias("content"))
+
+
+@query
+def text_measures(spark, d):
+    """Tokens that a text is estimated at, and the tags that its first line would give as an argument."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("text is not null")
+    return docs.select("doc_id", T.token_estimate("text").alias("tokens"), F.array_join(T.tag_list(F.get(F.split("text", "\n"), F.lit(0))), "|").alias("tags"))
+
+
+@query
+def day_headings(spark, d):
+    events = spark.read.parquet(f"{d}/events.parquet")
+    return events.groupBy(T.day_heading("ts").alias("day")).agg(F.count("*").alias("events"))
+
+
+@query
+def sync_counts_dual(spark, d):
+    """Synchronisation with a personal vault beside the shared one."""
+    n = notes(spark, d)
+    mine = n.where("ord % 4 = 0")
+    return P.sync(n, S.chunk(n), C.build(n).wings, mine, C.build(mine).wings)

@@ -96,20 +96,17 @@ def listing(spark: SparkSession, root: str, suffix: str = ".md") -> DataFrame:
 
 def read(spark: SparkSession, root: str) -> DataFrame:
     """Every note below root: rel_path, raw and the parsed columns. The listing is joined to the contents, so that files
-    that Spark's reader skips are read as well (these by their listed paths)."""
+    that Spark's reader skips (hidden, underscored and empty ones) are read as well, by the driver. A file that isn't UTF-8 is an empty note."""
     files = listing(spark, root)
-    seen = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root) if files.count() else None
-    if seen is None:
+    bare = lambda c: F.regexp_replace(c, r"^[a-z]+:/*", "/")
+    if not files.limit(1).count():
         return parse(files.select("rel_path", F.lit("").alias("raw")))
-    text = seen.select(F.regexp_replace("path", r"^[a-z]+:/*", "/").alias("_at"), F.decode("content", "utf-8").alias("raw"))
-    both = files.withColumn("_at", F.regexp_replace("path", r"^[a-z]+:/*", "/")).join(text, "_at", "left")
-    left = [r.path for r in both.where("raw is null").select("path").toLocalIterator()]
-    rows = both.where("raw is not null").select("rel_path", "raw")
-    for path in left:  # hidden and empty files, a handful
-        raw = _text(spark, path)
-        rel = files.where(F.col("path") == path).first()["rel_path"]
-        rows = rows.union(spark.createDataFrame([(rel, raw)], rows.schema))
-    return parse(rows)
+    seen = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root)
+    text = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.lit(""))
+    seen = seen.select(bare("path").alias("_at"), text.alias("raw"), F.lit(True).alias("_read"))
+    both = files.withColumn("_at", bare("path")).join(seen, "_at", "left")
+    rest = [(r.rel_path, _text(spark, r.path)) for r in both.where("_read is null").select("rel_path", "path").toLocalIterator()]
+    return parse(both.where("_read").select("rel_path", "raw").union(spark.createDataFrame(rest, "rel_path string, raw string")))
 
 
 def _text(spark: SparkSession, path: str) -> str:
@@ -117,7 +114,9 @@ def _text(spark: SparkSession, path: str) -> str:
     at = jvm.org.apache.hadoop.fs.Path(path)
     stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
     try:
-        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8", "replace")
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8")
+    except UnicodeDecodeError:
+        return ""
     finally:
         stream.close()
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..functions import text as T
 from ..operators import catalogue as C
 from ..operators import facts as K
 from ..operators import reports as P
+from ..operators import search as S
 from ..sources.stores import Versioned
 
 
@@ -19,30 +21,50 @@ def classified(messages: DataFrame, message: str = "message") -> DataFrame:
     return R.classify(messages, message)
 
 
+def add_facts(facts: Versioned, entities: Versioned, batch: DataFrame, today: str) -> None:
+    """Facts (subject, predicate, object, ..., seq) merged into the buckets of the stores that they touch."""
+    facts.merge(K.as_triples(batch, today), lambda old: K.upsert(old, batch, today))
+    names = K.entities_of(batch)
+    entities.merge(names.select(T.entity_id("name").alias("id")), lambda old: K.upsert_entities(old, names))
+
+
+def add_notes(notes: DataFrame, today: str, facts: Versioned, entities: Versioned, drawers: Versioned | None = None, chunks: Versioned | None = None,
+              embed: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Written notes kept up in the facts, in the catalogue's drawers (a write makes its room anew) and in the index (a note's
+    chunks are replaced), each by the buckets that it touches."""
+    found = K.candidates(notes, today).withColumn("seq", F.struct("ord", "at"))
+    facts.merge(K.as_triples(found, today), lambda old: K.upsert(old, found, today))
+    names = K.note_entities(notes, found)
+    entities.merge(names.select(T.entity_id("name").alias("id")), lambda old: K.upsert_entities(old, names))
+    if drawers is not None:
+        new = C.touched(notes).select("wing", "room", "path")
+        drawers.merge(new, lambda old: old.join(new, ["wing", "room"], "left_anti").select("wing", "room", "path").union(new))
+    if chunks is not None:
+        made = S.chunk(notes)
+        made = embed(made) if embed else made.withColumn("embedding", F.lit(None).cast("array<float>"))
+        made, paths = made.select("hash", "path", "chunk_index", "text", "embedding"), notes.select(F.col("rel_path").alias("path"))
+        chunks.merge(paths, lambda old: old.join(paths.distinct(), "path", "left_anti").select(*made.columns).union(made))
+
+
 def facts_into(facts: Versioned, entities: Versioned, today: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: facts (subject, predicate, object, ..., seq) merged into the stores in order of seq, not of event time,
+    """For foreachBatch: facts merged into the stores in order of seq, not of event time,
     since a late fact counts as any other. Ids are made from the texts, so a batch run twice changes nothing."""
 
     def merge(batch: DataFrame, _: int) -> None:
         batch.persist()
-        facts.write(K.upsert(facts.read(), batch, today))
-        entities.write(K.upsert_entities(entities.read(), K.entities_of(batch)))
+        add_facts(facts, entities, batch, today)
         batch.unpersist()
 
     return merge
 
 
-def notes_into(facts: Versioned, entities: Versioned, drawers: Versioned, today: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: written notes kept up in the facts and in the catalogue's drawers (a write makes its room anew)."""
+def notes_into(facts: Versioned, entities: Versioned, drawers: Versioned, today: str, chunks: Versioned | None = None,
+               embed: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: written notes kept up in all stores."""
 
     def merge(batch: DataFrame, _: int) -> None:
         batch.persist()
-        t, e = K.populate(facts.read(), entities.read(), batch, today)
-        facts.write(t)
-        entities.write(e)
-        new = C.touched(batch)
-        kept = drawers.read().join(new, ["wing", "room"], "left_anti")
-        drawers.write(kept.select("wing", "room", "path").union(new.select("wing", "room", "path")))
+        add_notes(batch, today, facts, entities, drawers, chunks, embed)
         batch.unpersist()
 
     return merge
@@ -67,9 +89,3 @@ def archive_into(path: str, agent: str, ts: str) -> Callable[[DataFrame, int], N
         P.session_records(P.archive(batch), agent, ts).write.mode("overwrite").json(f"{path}/batch-{number}")
 
     return merge
-
-
-def latest(rows: DataFrame, key: str, seq: str) -> DataFrame:
-    """The last row of each key."""
-    w = Window.partitionBy(key).orderBy(F.col(seq).desc())
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
