@@ -46,7 +46,7 @@ def link_targets(c, strip_md: bool = True) -> Column:
 
 def tag_list(value) -> Column:
     """Tags from a comma-separated text."""
-    return F.filter(F.transform(F.split(F.coalesce(col(value), F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(col(value), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def path_parts(c) -> Column:
