@@ -14,7 +14,9 @@ all occurrences that share the next r bytes. Within a node, the left contexts ar
 (from the anchor backwards): a class that shares l bytes is a maximal repeat of l + r bytes with all its occurrences, left- and
 right-diverse. If it has LENGTH bytes or more, all but its first occurrence are removed. groups() returns these repeats.
 
-The contexts of an anchor with more than GROUP different ones - a line or passage that stands in many surroundings - are not compared in one task: their
+The contexts of an anchor with more than GROUP different ones - a line or passage that stands in many surroundings - are dealt by what stands beside it: a window
+with up to half of what it can reach before the anchor holds the bytes after it that any such window holds, and the others the bytes before it. So each
+context goes to two tasks, with what windows of that half can hold, and meets those only that share these bytes. Of what is still over MOST different contexts,
 windows are reduced to their first places by an aggregation over 128-bit hashes.
 """
 
@@ -32,8 +34,8 @@ from .common import BASE, BROADCAST_IDS, Ids, as_bytes, chunks, free, ids_of, la
 
 LENGTH = 100
 K = 32
-#: Different contexts of an anchor that are compared in one task (about 200 bytes each); more are aggregated.
-GROUP = 1_000
+#: Different contexts of an anchor that are dealt by the anchor alone, and those that are compared in memory (about 200 bytes each).
+GROUP, MOST = 1_000, 20_000
 _PIECE = 1 << 19
 _PLACE = np.uint64((1 << 24) - 1)
 _BASE = np.uint64(BASE)
@@ -145,11 +147,22 @@ def repeats(group: list[tuple[bytes, bytes, tuple]], length: int) -> list[tuple[
     return [(o, a, b) for o, (a, b) in widest.items()]
 
 
-def _scan(length: int):
-    """Streams a partition sorted by anchor, right, left, doc and place; gives spans, and the contexts of anchors with many as they are."""
+def _halves(h: int, right: bytes, left: bytes, length: int) -> list[tuple[int, bytes, bytes]]:
+    """What a context of a hot anchor is dealt by, and what of it windows can hold there: those that begin up to half of their reach before
+    the anchor, and those that begin at half of it or earlier. A window of length bytes is in one of them."""
+    half = (length - K) // 2
+    out = []
+    for side, shared, parts in ((b"R", right[:length - half], (right, left[:half])), (b"L", left[:half], (right[:length - half], left))):
+        if len(shared) == (half if side == b"L" else length - half):
+            out.append((xxhash.xxh64_intdigest(side + h.to_bytes(8, "little", signed=True) + shared) - (1 << 63), *parts))
+    return out
+
+
+def _scan(length: int, most: int):
+    """Streams a partition sorted by anchor, right, left, doc and place; gives spans, and the contexts of groups with more than most as they are."""
 
     def run(batches):
-        anchor, group, last = None, [], None
+        anchor, group, last, over = None, [], None, False
         spans, rest = [], []
 
         def close():
@@ -165,19 +178,20 @@ def _scan(length: int):
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], ["doc_id", "a", "b", "bytes"])
 
         for batch in batches:
-            for h, d, p, right, left, many in zip(*(c.to_pylist() for c in batch.columns)):
-                if many:
-                    rest.append((d, p, len(left), left[::-1] + right))
-                    continue
+            for h, d, p, right, left in zip(*(c.to_pylist() for c in batch.columns)):
                 if h != anchor:
                     close()
-                    anchor, last = h, None
+                    anchor, last, over = h, None, False
                 if last is not None and last[0] == right and last[1] == left:
                     if (d, p) != last[2] and len(left) + len(right) >= length:
                         spans.append((d, p - len(left), p + len(right)))
                     continue
                 last = (right, left, (d, p))
                 group.append(last)
+                if over or len(group) > most:
+                    over = True
+                    rest += [(*o, len(y), y[::-1] + x) for x, y, o in group]
+                    group.clear()
             if len(spans) + len(rest) > 20_000:
                 yield flush()
         close()
@@ -227,7 +241,7 @@ def _occurrences(rows: DataFrame, length: int, settle: bool = True) -> DataFrame
     return rows.mapInArrow(find, "h bigint, c bigint, doc_id bigint, at bigint, again boolean")
 
 
-def removals(docs: DataFrame, length: int = LENGTH, group: int = GROUP, ids: Ids | None = None) -> DataFrame:
+def removals(docs: DataFrame, length: int = LENGTH, group: int = GROUP, ids: Ids | None = None, most: int = MOST) -> DataFrame:
     """(doc_id, text, cut, spans) of the documents that lose bytes: cut has whole contexts to remove, packed as place << 16 | bytes
     before << 8 | bytes from the place on; spans has further ones (a, b). They overlap as they come. ids: ids_of(docs)."""
     if not K <= length < 256:
@@ -252,20 +266,22 @@ def removals(docs: DataFrame, length: int = LENGTH, group: int = GROUP, ids: Ids
     def around(batches):
         for batch in batches:
             for d, text, ask in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist()):
-                spots = [(x["h"], x["at"] >> 16, x["at"] >> 8 & 255, x["at"] & 255) for x in ask]
-                many = [x["many"] for x in ask]
+                out = []
+                for x in ask:
+                    p, before, after = x["at"] >> 16, x["at"] >> 8 & 255, x["at"] & 255
+                    right, left = text[p:p + after], text[p - before:p][::-1]
+                    out += [(h, p, r, l) for h, r, l in _halves(x["h"], right, left, length)] if x["many"] else [(x["h"], p, right, left)]
+                cols = list(zip(*out)) if out else [[]] * 4
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([x[0] for x in spots], pa.int64()), pa.array([d] * len(spots), pa.int64()), pa.array([x[1] for x in spots], pa.int64()),
-                    pa.array([text[p:p + n] for _, p, _, n in spots], pa.binary()),
-                    pa.array([text[p - n:p][::-1] for _, p, n, _ in spots], pa.binary()), pa.array(many, pa.bool_())], ["h", "doc_id", "p", "right", "left", "many"])
+                    pa.array(cols[0], pa.int64()), pa.array([d] * len(out), pa.int64()), pa.array(cols[1], pa.int64()),
+                    pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["h", "doc_id", "p", "right", "left"])
 
     suffixes = (
         texts.join(repeated.where("size(ask) > 0"), "doc_id").select("doc_id", "text", "ask")
-        .mapInArrow(around, "h bigint, doc_id bigint, p bigint, right binary, left binary, many boolean")
-        .withColumn("deal", F.when(F.col("many"), F.xxhash64("doc_id", "p")).otherwise(F.col("h")))
-        .repartition(shuffle_parts(docs.sparkSession), "deal").drop("deal").sortWithinPartitions("h", "right", "left", "doc_id", "p")
+        .mapInArrow(around, "h bigint, doc_id bigint, p bigint, right binary, left binary")
+        .repartition(shuffle_parts(docs.sparkSession), "h").sortWithinPartitions("h", "right", "left", "doc_id", "p")
     )
-    decided = stored(suffixes.mapInArrow(_scan(length), "doc_id bigint, a bigint, b bigint, bytes binary"))
+    decided = stored(suffixes.mapInArrow(_scan(length, most), "doc_id bigint, a bigint, b bigint, bytes binary"))
     direct = decided.where("bytes is null").select("doc_id", "a", "b")
     if decided.where("bytes is not null").limit(1).count():
         over = decided.where("bytes is not null").mapInArrow(_windows(length), "w binary, doc_id bigint, a bigint")
@@ -286,7 +302,7 @@ def merged(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def cuts(docs: DataFrame, length: int = LENGTH, group: int = GROUP, with_text: bool = False, ids: Ids | None = None) -> DataFrame:
+def cuts(docs: DataFrame, length: int = LENGTH, group: int = GROUP, with_text: bool = False, ids: Ids | None = None, most: int = MOST) -> DataFrame:
     """For the documents that lose bytes: (doc_id, n_removed, n_spans, kept_sha256, kept), kept (the remaining bytes) null unless
     asked for."""
     def run(batches):
@@ -301,11 +317,11 @@ def cuts(docs: DataFrame, length: int = LENGTH, group: int = GROUP, with_text: b
                     col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], ["doc_id", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return removals(docs, length, group, ids).select("doc_id", "text", "cut", "spans").mapInArrow(
+    return removals(docs, length, group, ids, most).select("doc_id", "text", "cut", "spans").mapInArrow(
         run, "doc_id bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
 
 
-def dedupe_report(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
+def dedupe_report(docs: DataFrame, length: int = LENGTH, group: int = GROUP, most: int = MOST) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of docs.
 
     A byte goes if a string of length bytes that covers it also starts earlier: in a document of smaller doc_id, or in the same one
@@ -313,7 +329,7 @@ def dedupe_report(docs: DataFrame, length: int = LENGTH, group: int = GROUP) ->
     are repeats of one document and get equal rows; of rows that share a doc_id with different texts the one of least text hash is the
     document, and the others lose nothing and are no earlier copies; an empty table gives no rows; other columns are ignored."""
     ids = ids_of(docs)
-    cut = cuts(docs, length, group, ids=ids).select(F.col("doc_id").alias("id"), "n_removed", "n_spans", F.col("kept_sha256").alias("sha"))
+    cut = cuts(docs, length, group, ids=ids, most=most).select(F.col("doc_id").alias("id"), "n_removed", "n_spans", F.col("kept_sha256").alias("sha"))
     text = F.coalesce("text", F.lit(""))
     whole = main_rows(docs.select("doc_id", "text"), ids.odd).select(
         "doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"), "main")

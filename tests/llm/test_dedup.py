@@ -44,10 +44,10 @@ def copies(prose, seed=1):
     return docs
 
 
-@pytest.mark.parametrize("group", [X.GROUP, 3])
-def test_suffixes_match_brute_force(spark, prose, group):
+@pytest.mark.parametrize("group, most", [(X.GROUP, X.MOST), (3, X.MOST), (1, 2), (X.GROUP, 2)])
+def test_suffixes_match_brute_force(spark, prose, group, most):
     docs = copies(prose)
-    got = {r.doc_id: tuple(r)[1:5] for r in X.dedupe_report(frame(spark, [(i, t, "s") for i, t in docs]), group=group).collect()}
+    got = {r.doc_id: tuple(r)[1:5] for r in X.dedupe_report(frame(spark, [(i, t, "s") for i, t in docs]), group=group, most=most).collect()}
     want = brute([(i, t.encode()) for i, t in docs])
     assert got == want and any(v[1] for v in want.values())
 
