@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .pairs import paired
 
 COLUMNS = ["id", "subject", "predicate", "object", "valid_from", "valid_to", "confidence", "source_file"]
 RESULT = COLUMNS[1:]
@@ -97,8 +98,8 @@ def ordered(facts: DataFrame) -> DataFrame:
 
 
 def grid(triples: DataFrame, days: DataFrame) -> DataFrame:
-    """How many facts of each subject hold on each of the days (a calendar: few rows, joined by range)."""
-    return triples.join(days, holds("as_of")).groupBy("subject", "as_of").agg(F.count("*").alias("facts"))
+    """How many facts of each subject hold on each of the days (a calendar)."""
+    return paired(triples, days, holds("as_of")).groupBy("subject", "as_of").agg(F.count("*").alias("facts"))
 
 
 def relation(triples: DataFrame, keys: DataFrame) -> DataFrame:

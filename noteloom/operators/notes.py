@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .pairs import paired
 
 # Parts of paths that scans leave out, entry notes that are no orphans, and the vault's folders.
 EXCLUDE = [".git", ".claude", "thinking"]
@@ -141,7 +142,7 @@ def by_name(notes: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:
     from .search import first_by
 
     low = F.contains(F.lower("stem"), F.lower("query"))
-    hits = notes.join(queries, low).select(
+    hits = paired(notes, queries, low).select(
         "qid", F.col("rel_path").alias("path"), F.substring("content", 1, 200).alias("content_excerpt"), F.lit(1.0).alias("score"),
         F.lit("name").alias("match_type"))
     return first_by(hits, ["path"], limit)

@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, FloatType
 
 from ..functions import text as T
+from .pairs import paired
 
 # Chunk size in words, least length of a chunk, the largest limit, and the weight of shared words.
 CHUNK_WORDS, LEAST_CHARS, CAP, BOOST = 512, 20, 100, 0.3
@@ -74,7 +75,7 @@ def first_by(hits: DataFrame, order: list, limit: int) -> DataFrame:
 
 def keyword_chunks(chunks: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:
     """Chunks whose text holds the query, in chunk order (ord); a document can come more than once."""
-    hits = chunks.join(queries.select("qid", "query"), F.contains(F.lower("text"), F.lower("query"))).select(
+    hits = paired(chunks, queries.select("qid", "query"), F.contains(F.lower("text"), F.lower("query"))).select(
         "qid", "path", F.substring("text", 1, 200).alias("content_excerpt"), F.lit(1.0).alias("score"), F.lit("keyword").alias("match_type"), "ord")
     return first_by(hits, ["ord"], limit)
 
@@ -82,7 +83,7 @@ def keyword_chunks(chunks: DataFrame, queries: DataFrame, limit: int = 5) -> Dat
 def keyword_lines(notes: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:
     """The first line of each note's raw text that holds the query."""
     lines = notes.select(F.col("rel_path").alias("path"), F.posexplode(F.split("raw", "\n")).alias("at", "line"))
-    hits = lines.join(queries.select("qid", "query"), F.contains(F.lower("line"), F.lower("query")))
+    hits = paired(lines, queries.select("qid", "query"), F.contains(F.lower("line"), F.lower("query")))
     first = hits.groupBy("qid", "path").agg(F.min_by("line", "at").alias("line"))
     return first_by(first.select("qid", "path", F.substring("line", 1, 200).alias("content_excerpt"), F.lit(1.0).alias("score"), F.lit("keyword").alias("match_type")), ["path"], limit)
 

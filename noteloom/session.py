@@ -13,5 +13,6 @@ def build(master: str = "local[*]", name: str = "noteloom", **conf) -> SparkSess
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     return b.config(map={**base, **conf}).getOrCreate()

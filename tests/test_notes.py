@@ -135,6 +135,16 @@ def test_search(spark):
     assert S.chunk(notes(spark, ("x.md", " ".join(["word"] * 1100)), ("y.md", "tiny"))).count() == 3
 
 
+def test_pairs_in_blocks(spark):
+    """The same pairs whether the side asked for is small or not."""
+    from noteloom.operators.pairs import paired
+
+    rows = spark.range(60).select(F.col("id").alias("n"), F.concat(F.lit("t"), "id").alias("text"))
+    asked = spark.range(9).select(F.col("id").alias("qid"), F.concat(F.lit("t"), "id").alias("query"))
+    got = [{(r.n, r.qid) for r in paired(rows, asked, F.startswith("text", F.col("query")), small).collect()} for small in (100, 2)]
+    assert got[0] == got[1] and len(got[0]) == 9 + 50
+
+
 def test_reports(spark):
     n = notes(spark, ("brain/North Star.md", HEAD + "# x\n## Current Focus\nShip it\n## Later\nno"), ("work/active/Auth.md", HEAD + "[[North Star]]"))
     from noteloom.operators import facts as K
