@@ -23,6 +23,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     is unset (local tests) a local one is made."""
     sc = spark.sparkContext
     at = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     if not at:
         at = tempfile.mkdtemp(prefix="noteloom-checkpoints-")
     if not sc.getCheckpointDir():
