@@ -88,17 +88,20 @@ def user_message(messages: DataFrame, message: str = "message") -> DataFrame:
 def archive(turns: DataFrame) -> DataFrame:
     """(conv_id, transcript_length, transcript_excerpt): length and last characters of each conversation's transcript.
 
-    The end needs no more than the last TAIL characters of each turn, and of these only turns whose following text is shorter than
-    TAIL: running lengths from the end pick them, so no whole transcript is gathered."""
+    Lengths are sums, added up before they are shuffled. A turn has three characters at least (its colon, blank and line end), so the last
+    TAIL characters are in the last TAIL / 3 turns: only these are ranked, by a window limit that cuts before the shuffle too, and of these the ones
+    whose following text is shorter than TAIL are joined. So no task holds a whole transcript."""
     from pyspark.sql import Window
 
     line = turns.select("conv_id", "turn", "role", F.concat(F.coalesce("role", F.lit("")), F.lit(": "), F.coalesce("text", F.lit(""))).alias("line"))
-    back = Window.partitionBy("conv_id").orderBy(F.col("turn").desc(), F.col("role").desc(), F.col("line").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    sized = line.withColumn("size", F.length("line")).withColumn("after", F.coalesce(F.sum(F.col("size") + 1).over(back), F.lit(0)))
-    total = (F.sum("size") + F.count("*") - 1).cast("long").alias("transcript_length")
-    tail = F.when(F.col("after") <= TAIL, F.struct((-F.col("after")).alias("o"), F.right("line", F.lit(TAIL)).alias("t")))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(tail)), lambda x: x.t), "\n")
-    return sized.groupBy("conv_id").agg(total, F.right(joined, F.lit(TAIL)).alias("transcript_excerpt"))
+    back = Window.partitionBy("conv_id").orderBy(F.col("turn").desc(), F.col("role").desc(), F.col("line").desc())
+    total = line.groupBy("conv_id").agg((F.sum(F.length("line")) + F.count("*") - 1).cast("long").alias("transcript_length"))
+    near = line.withColumn("place", F.row_number().over(back)).where(F.col("place") <= TAIL // 3 + 1)
+    ahead = F.coalesce(F.sum(F.length("line") + 1).over(back.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tail = F.when(F.col("after") <= TAIL, F.struct((-F.col("after")).alias("o"), F.col("place").alias("p"), F.right("line", F.lit(TAIL)).alias("t")))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(tail)), lambda x: x.t), "\n")
+    last = near.withColumn("after", ahead).groupBy(F.col("conv_id").alias("c")).agg(F.right(joined, F.lit(TAIL)).alias("transcript_excerpt"))
+    return total.join(last, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
 
 
 def session_records(archived: DataFrame, agent: str, ts: str) -> DataFrame:
