@@ -324,16 +324,21 @@ def main_text(pages: DataFrame, prior: bool = True) -> DataFrame:
 
     Null or empty html, and pages without main text, give an empty text; a null or odd url puts the page on the host "";
     repeated rows give equal rows and count as pages of their own; an empty table gives no rows; other columns are ignored."""
-    rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
+    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     low = saved(low_nodes(rows)).withColumnRenamed("host", "low_host")
     few = low.agg(F.coalesce(F.sum(F.size("low") + F.size("high")), F.lit(0))).first()[0] <= BROADCAST_IDS
-    joined = rows.join(F.broadcast(low) if few else low, F.col("host") == F.col("low_host"), "left").select("page_id", "url", "html", "low", "high")
+    if few:  # the judged paths of all hosts, counted: one table for every worker
+        table = {r.low_host: (frozenset(r.low), frozenset(r.high)) for r in low.collect()}
+        shared = pages.sparkSession.sparkContext.broadcast(table)
+        judged = lambda batch: (shared.value.get(h, ((), ())) for h in batch.column(3).to_pylist())
+    else:
+        rows = rows.join(low, F.col("host") == F.col("low_host"), "left").select("page_id", "url", "html", "low", "high")
+        judged = lambda batch: ((frozenset(x or ()), frozenset(y or ())) for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()))
 
     def run(batches):
         for batch in batches:
-            judged = zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())
-            texts = [extract(raw.decode("utf-8", "replace"), set(low or ()), set(high or ()), prior) for raw, (low, high) in zip(as_bytes(batch.column(2)), judged)]
+            texts = [extract(raw.decode("utf-8", "replace"), low, high, prior) for raw, (low, high) in zip(as_bytes(batch.column(2)), judged(batch))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")
+    return rows.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")
