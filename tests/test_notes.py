@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,6 +136,33 @@ def test_search(spark):
     assert S.chunk(notes(spark, ("x.md", " ".join(["word"] * 1100)), ("y.md", "tiny"))).count() == 3
 
 
+def test_vector_search_in_blocks(spark):
+    """The same rows as brute force for any blocks and parts, equal vectors in chunk order, while texts travel once and not for each block of queries."""
+    rng = np.random.default_rng(4)
+    unit = lambda v: v / np.linalg.norm(v)
+    near = [rng.normal(size=6).round(3).tolist() for _ in range(500)]
+    near[100:160] = [near[100]] * 60
+    words = lambda: " ".join(map(str, rng.integers(0, 40, 3).tolist() + rng.integers(1 << 40, 1 << 60, 120).tolist()))
+    rows = [(i, f"h{i}", f"p{i % 70}", words(), v) for i, v in enumerate(near)]
+    chunks = spark.createDataFrame(rows, "ord bigint, hash string, path string, text string, embedding array<double>").coalesce(1).cache()
+    chunks.count()
+    asked = [(r[0], " ".join(r[3].split()[:3]), r[4]) for r in rows[::5]]
+    q = spark.createDataFrame(asked, "qid bigint, query string, embedding array<double>")
+    want = []
+    for qid, query, v in asked:
+        own, found = set(query.split()), {}
+        for o, _, path, text, u in rows:
+            b = len(own & set(text.split())) / len(own) * 0.3
+            found[path] = min(found.get(path, (9, 0, "")), (-round((unit(np.array(v)) * unit(np.array(u))).sum() + b, 9), o, "hybrid" if b else "semantic"))
+        want += [(qid, k + 1, path, rows[o][3][:300] + "...", -s, kind) for k, (path, (s, o, kind)) in enumerate(sorted(found.items(), key=lambda x: x[1][:2])[:4])]
+    sent = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    for block, part in ((8, 30), (3, 200)):
+        before = sent()
+        got = S.vector(chunks, q, 4, True, block, part).collect()
+        assert sorted((r.qid, r["rank"], r.path, r.content_excerpt, round(r.score, 9), r.match_type) for r in got) == want, (block, part)
+        assert sent() - before < 3 * sum(len(r[3]) for r in rows), (block, part)
+
+
 def test_pairs_in_blocks(spark):
     """The same pairs whether the side asked for is small or not."""
     from noteloom.operators.pairs import paired
