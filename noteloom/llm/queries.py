@@ -27,7 +27,7 @@ def op4_decontaminate(spark, sf_dir):
 
 
 def op5_ngram(spark, sf_dir):
-    return ngram.score(table(spark, sf_dir, "documents"))
+    return ngram.score(table(spark, sf_dir, "documents"), whole=True)
 
 
 def op6_perspectives(spark, sf_dir):

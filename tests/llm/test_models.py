@@ -139,6 +139,25 @@ def test_ngram(spark, prose, odd, none, monkeypatch, hot, shard):
     assert [w for w in want if w[1] and w[2] > 1] and next(w for w in want if w[0] == kept)[3] == 1
 
 
+@pytest.mark.parametrize("hot, shard", [(400, 2_000_000), (12, 300), (1500, 700)])
+def test_whole_ngram(spark, prose, odd, none, monkeypatch, hot, shard):
+    """The model without any cut: contexts of frequent words, and of two of them, have the probabilities that one place gives them."""
+    rows = [(i, prose(40) + (" The the THE of" * 5 if i % 3 == 0 else ""), "s") for i in range(120)] + [(500, None, "s"), (501, "", "s"), (None, "x the the the", "s")]
+    key = lambda r: (r[0] is None, r[0] or 0, r[2])
+    monkeypatch.setattr(G, "HOT", 0)  # no word is frequent for the definition
+    want = sorted(slow_scores([r[:2] for r in rows]), key=key)
+    monkeypatch.setattr(G, "HOT", hot)
+    monkeypatch.setattr(G, "SHARD", shard)
+    spread = G._prepared(frame(spark, rows), True)[-1]
+    assert spread.words and spread.pairs and (hot != 12 or min(spread.pairs.values()) > 1)
+    got = sorted((tuple(r) for r in G.score(frame(spark, rows), whole=True).collect()), key=key)
+    assert len(got) == len(want)
+    for g, w in zip(got, want):
+        off = 1e-6 if shard > 1_000_000 else 0.02 + 0.01 * w[2]  # each part of a spread context has codes of its own, of 1/8 octave
+        assert g[:5] == w[:5] and abs(g[5] - w[5]) < 1e-6 and abs(g[6] - w[6]) < off, (g, w)
+    assert G.score(none, whole=True).count() == 0 and G.score(odd, whole=True).count() == odd.count()
+
+
 def test_ngram_keeps_the_mass(prose):
     """What the successors of a context keep and leave over is one, up to the codes."""
     table = asked_of([[prose(60).encode() for _ in range(6)]])
